@@ -6,14 +6,14 @@ with it.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOUR = F.expr("INTERVAL '1' HOUR")
-
 
 def hours(n: int) -> Column:
-    return F.make_dt_interval(hours=F.lit(n))
+    return F.lit(timedelta(hours=n))
 
 
 def at_hour(day: Column, hour: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridpulse.functions.activity import lookup, maybe_round, number_text
-from gridpulse.functions.times import hour_index
+from gridpulse.functions.times import hour_index, hours
 from gridpulse.operators.aggregate import effective_as_of
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.operators.ranks import exact_percentiles
@@ -56,7 +56,7 @@ def alert_inputs(
     previous = F.lag("total_activity").over(by_time)
     if require_adjacent:
         gap = F.col("timestamp") - F.lag("timestamp").over(by_time)
-        previous = F.when(gap == F.expr("INTERVAL '1' HOUR"), previous)
+        previous = F.when(gap == hours(1), previous)
     extra = [c for c in bucket if c != "grid_id"]
     prepared = hourly.select("grid_id", "timestamp", "total_activity", *extra).withColumns(
         {

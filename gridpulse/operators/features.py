@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridpulse.functions.times import HOUR, from_hour_index, hour_index
+from gridpulse.functions.times import from_hour_index, hour_index, hours
 from gridpulse.operators.ranks import order_statistics
 from gridpulse.schemas import (
     FEATURES,
@@ -35,7 +35,7 @@ def fill_hours(hourly: DataFrame) -> DataFrame:
     """
     by_time = Window.partitionBy("grid_id").orderBy("timestamp")
     upcoming = F.lead("timestamp").over(by_time)
-    last_filler = F.greatest(upcoming - HOUR, F.col("timestamp"))
+    last_filler = F.greatest(upcoming - hours(1), F.col("timestamp"))
     spans = hourly.select(
         "grid_id", "timestamp", "total_activity", "internet_activity"
     ).withColumn("until", F.coalesce(last_filler, F.col("timestamp")))
@@ -44,7 +44,7 @@ def fill_hours(hourly: DataFrame) -> DataFrame:
         F.col("timestamp").alias("seen"),
         "total_activity",
         "internet_activity",
-        F.explode(F.sequence("timestamp", "until", HOUR)).alias("timestamp"),
+        F.explode(F.sequence("timestamp", "until", hours(1))).alias("timestamp"),
     ).select(
         "grid_id",
         "timestamp",
@@ -76,7 +76,7 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     total = F.col("total_activity")
     row = F.row_number().over(by_time)
     breaks = F.coalesce(
-        F.col("timestamp") - F.lag("timestamp").over(by_time) != HOUR, F.lit(True)
+        F.col("timestamp") - F.lag("timestamp").over(by_time) != hours(1), F.lit(True)
     )
     df = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity").withColumns(
         {
@@ -111,7 +111,7 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     ]
     if label_threshold is None:
         return kept.select(*columns)
-    labelled = kept.filter(F.col("_next_at") == F.col("timestamp") + HOUR)
+    labelled = kept.filter(F.col("_next_at") == F.col("timestamp") + hours(1))
     return labelled.select(
         *columns,
         F.col("_next").alias("next_hour_activity"),
@@ -125,7 +125,7 @@ def next_hour_label(
     """Stored features joined to the activity one hour later; rows without it drop out."""
     following = hourly.select(
         "grid_id",
-        (F.col("timestamp") - HOUR).alias("feature_timestamp"),
+        (F.col("timestamp") - hours(1)).alias("feature_timestamp"),
         F.col("total_activity").alias("next_hour_activity"),
     )
     return features.join(following, ["grid_id", "feature_timestamp"]).withColumn(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.schemas import AUDIT_SCHEMA, FILE_NAME_PATTERN, RAW_ACTIVITY, RAW_COLUMNS
 
 # Audit reasons.
@@ -142,4 +143,4 @@ def accepted_rows(rows: DataFrame, verdict: DataFrame) -> DataFrame:
     names = verdict.filter(F.col("status") == "ACCEPTED").select(
         F.col("filename").alias("file_name")
     )
-    return rows.join(names, "file_name", "left_semi")
+    return rows.join(broadcast_if_small(names), "file_name", "left_semi")

@@ -134,9 +134,15 @@ def ingest_stage(spark: SparkSession, landing_path: str, raw_path: str, audit_pa
     audit = _audit_or_empty(spark, audit_path)
     accepted = audit.filter(F.col("status") == "ACCEPTED").select("filename")
     verdict = sinks.stage_table(landing.landing_verdict(rows, headers, accepted), "verdict")
+    # Raw rows first, one folder per file, so a repeat after a failure replaces them.
+    (
+        landing.accepted_rows(rows, verdict)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("file_name")
+        .parquet(raw_path)
+    )
     sinks.append_audit(landing.audit_records(verdict), audit_path)
-    good = landing.accepted_rows(rows, verdict)
-    good.write.mode("append").parquet(raw_path)
     return landing.landing_summary(verdict).first().asDict()
 
 
