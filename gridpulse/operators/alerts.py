@@ -31,10 +31,17 @@ def activity_floor(
     bucket: tuple[str, ...] = ("grid_id",),
     decimals: int | None = None,
 ) -> DataFrame:
-    """One row: the percentile of the per-cell totals over the whole period."""
+    """One row: the percentile of the per-cell totals over the whole period.
+
+    The totals are at most one per valid cell id (10,000), so the exact
+    percentile's buffer is bounded; a wider ``bucket`` goes through the
+    segmented ranks.
+    """
     totals = hourly.groupBy(*bucket).agg(
         maybe_round(F.sum("total_activity"), decimals).alias("total")
     )
+    if tuple(bucket) == ("grid_id",):
+        return totals.agg(F.percentile("total", probability).alias("activity_floor"))
     return exact_percentiles(totals, [], "total", {"activity_floor": probability}).select(
         "activity_floor"
     )
@@ -58,11 +65,10 @@ def alert_inputs(
         gap = F.col("timestamp") - F.lag("timestamp").over(by_time)
         previous = F.when(gap == hours(1), previous)
     extra = [c for c in bucket if c != "grid_id"]
-    prepared = hourly.select("grid_id", "timestamp", "total_activity", *extra).withColumns(
-        {
-            "previous_activity": previous,
-            "grid_total": maybe_round(F.sum("total_activity").over(whole), decimals),
-        }
+    prepared = (
+        hourly.select("grid_id", "timestamp", "total_activity", *extra)
+        .withColumn("previous_activity", previous)
+        .withColumn("grid_total", maybe_round(F.sum("total_activity").over(whole), decimals))
     )
     return leave_one_out_median(prepared, list(bucket), decimals=decimals)
 

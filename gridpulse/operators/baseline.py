@@ -35,11 +35,9 @@ def leave_one_out_median(
     if not bucket:
         raise ValueError("bucket must name at least one column")
     whole = Window.partitionBy(*bucket)
-    ranked = hourly.withColumns(
-        {
-            "history_count": F.count("*").over(whole),
-            "_r": F.row_number().over(whole.orderBy(value, order)),
-        }
+    # The rank comes first: its sort also serves the windows over whole buckets.
+    ranked = hourly.withColumn("_r", F.row_number().over(whole.orderBy(value, order))).withColumn(
+        "history_count", F.count("*").over(whole)
     )
     n, r = F.col("history_count"), F.col("_r")
     low = F.floor(n / 2)

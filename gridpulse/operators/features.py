@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridpulse.functions.times import from_hour_index, hour_index, hours
-from gridpulse.operators.ranks import order_statistics
 from gridpulse.schemas import (
     FEATURES,
     FEATURE_COLUMNS,
@@ -31,14 +30,19 @@ def fill_hours(hourly: DataFrame) -> DataFrame:
     """Zero rows for the missing hours between a cell's first and last hour.
 
     Each row is followed by fillers up to the cell's next row, so no calendar
-    is joined and the cell partitioning is kept.
+    is joined and the cell partitioning is kept. The exchange by cell is given
+    the session's shuffle width: adaptive coalescing would size the partitions
+    by the rows before they are expanded.
     """
+    width = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_time = Window.partitionBy("grid_id").orderBy("timestamp")
     upcoming = F.lead("timestamp").over(by_time)
     last_filler = F.greatest(upcoming - hours(1), F.col("timestamp"))
-    spans = hourly.select(
-        "grid_id", "timestamp", "total_activity", "internet_activity"
-    ).withColumn("until", F.coalesce(last_filler, F.col("timestamp")))
+    spans = (
+        hourly.select("grid_id", "timestamp", "total_activity", "internet_activity")
+        .repartition(width, "grid_id")
+        .withColumn("until", F.coalesce(last_filler, F.col("timestamp")))
+    )
     return spans.select(
         "grid_id",
         F.col("timestamp").alias("seen"),
@@ -63,7 +67,7 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     """Six features per cell and hour that ends a gap-free run of 48 rows.
 
     Recent window: the last 24 rows; prior window: the 24 before, read as the
-    recent mean 24 rows ago. Runs are found by marking the rows that do not
+    recent sum 24 rows ago. Runs are found by marking the rows that do not
     follow their predecessor by exactly one hour.
 
     With ``label_threshold`` the next hour's outcome is added in the same pass
@@ -82,7 +86,6 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
         {
             "_row": row,
             "_break": breaks,
-            "_avg": F.avg(total).over(recent),
             "_hours": F.count_if(total > 0).over(recent),
             "_peak": F.max(total).over(recent),
             "_std": F.stddev_pop(total).over(recent),
@@ -94,10 +97,10 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     ).withColumns(
         {
             "_run": F.max(F.when(F.col("_break"), F.col("_row"))).over(so_far),
-            "_prior": F.lag("_avg", RECENT_HOURS).over(by_time),
+            "_prior": F.lag("_sum", RECENT_HOURS).over(by_time) / RECENT_HOURS,
         }
     )
-    avg = F.col("_avg")
+    avg = F.col("_sum") / RECENT_HOURS  # kept rows have full windows
     kept = df.filter(F.col("_row") - F.col("_run") >= HISTORY_HOURS - 1)
     columns = [
         F.col("grid_id"),
@@ -142,10 +145,13 @@ def split_cutoff(
     within 1 .. n - 1 (counting from 0). One distinct stamp gives no row.
     """
     stamps = df.select(hour_index(F.col(column)).alias("idx")).distinct()
-    n = F.col("n")
-    position = F.greatest(F.least(F.floor(n * ratio), n - 1), F.lit(1))
-    picked = order_statistics(stamps, [], "idx", {"cut": position + 1})
-    return picked.select(from_hour_index(F.col("cut").cast("long")).alias("cutoff"))
+    # One array of the distinct hours: as long as the calendar, whatever the row count.
+    ordered = stamps.agg(F.array_sort(F.collect_list("idx")).alias("hours"))
+    n = F.size("hours")
+    position = F.greatest(F.least(F.floor(n * ratio).cast("int"), n - 1), F.lit(1))
+    return ordered.filter(n > 1).select(
+        from_hour_index(F.get("hours", position)).alias("cutoff")
+    )
 
 
 def chronological_split(

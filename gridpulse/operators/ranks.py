@@ -99,7 +99,8 @@ def score_levels(df: DataFrame, score: str, label: str) -> DataFrame:
     """Distinct scores with their positives and negatives and the totals above each.
 
     Running totals are taken inside a score segment and offset by the totals of
-    the higher segments, so no ordering runs over all scores at once.
+    the higher segments, so no ordering runs over all scores at once; only the
+    segment table (bounded, see ``segment``) is ordered as a whole.
     """
     levels = (
         df.groupBy(F.col(score).alias("score"))
@@ -110,8 +111,8 @@ def score_levels(df: DataFrame, score: str, label: str) -> DataFrame:
     )
     down = Window.orderBy(F.desc("seg"))
     offsets = (
-        df.groupBy(segment(F.col(score)).alias("seg"))
-        .agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+        levels.groupBy("seg")
+        .agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
         .withColumn("pos_above", F.sum("p").over(down) - F.col("p"))
         .withColumn("neg_above", F.sum("q").over(down) - F.col("q"))
         .drop("p", "q")

@@ -576,8 +576,8 @@ def _(spark, sf):
 
 @query("network_summary")
 def _(spark, sf):
-    df = aggregate.network_summary(star(spark, sf))
-    return df.unionByName(aggregate.network_summary(star(spark, sf), AS_OF))
+    facts = star(spark, sf)
+    return aggregate.network_summary(facts).unionByName(aggregate.network_summary(facts, AS_OF))
 
 
 @query("grid_history")
