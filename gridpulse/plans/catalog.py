@@ -771,7 +771,9 @@ def _(spark, sf):
 
 @query("feature_quantiles")
 def _(spark, sf):
-    return signals.feature_quantiles(labelled(spark, sf))
+    # read three times (moments, segments, values), so stored once
+    rows = labelled(spark, sf).select("high_activity_target", "avg_activity")
+    return signals.feature_quantiles(sinks.stage_table(rows, "labelled"))
 
 
 @query("threshold_rates")
