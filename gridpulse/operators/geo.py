@@ -69,9 +69,9 @@ def top_grids(hourly: DataFrame, lookup: DataFrame, limit: int = 10) -> DataFram
     """Busiest cells with geometry; the join happens after the limit."""
     totals = hourly.groupBy("grid_id").agg(F.sum("total_activity").alias("total_activity"))
     top = totals.orderBy(F.desc("total_activity"), F.asc("grid_id")).limit(limit)
-    dim = lookup.dropDuplicates(["grid_id"])
+    dim = broadcast_if_small(lookup.dropDuplicates(["grid_id"]))
     return (
-        dim.join(F.broadcast(top), "grid_id", "right")
+        top.join(dim, "grid_id", "left")
         .select("grid_id", "geometry", "total_activity")
         .orderBy(F.desc("total_activity"), F.asc("grid_id"))
     )

@@ -52,20 +52,20 @@ def staged_rows(spark: SparkSession, path: str, verdict: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("verdict") == verdict).drop("verdict")
 
 
-def publish_clean(staged: DataFrame, path: str, files_per_date: int) -> int:
+def publish_clean(staged: DataFrame, path: str) -> int:
     written = Observation("clean")
     clean = add_totals(add_time_features(zero_nulls(staged.drop("rejection_reason"))))
     clean = clean.select(*CLEAN_SCHEMA.fieldNames()).observe(
         written, F.count("*").alias("clean_rows")
     )
-    sinks.write_by_date(clean, path, files_per_date)
+    sinks.write_by_date(clean, path)
     return written.get["clean_rows"]
 
 
-def publish_hourly(clean: DataFrame, path: str, files_per_date: int = 1) -> int:
+def publish_hourly(clean: DataFrame, path: str) -> int:
     written = Observation("hourly")
     hourly = aggregate.grid_hour(clean).observe(written, F.count("*").alias("hourly_rows"))
-    sinks.write_by_date(hourly.select(*HOURLY_COLUMNS), path, files_per_date)
+    sinks.write_by_date(hourly.select(*HOURLY_COLUMNS), path)
     return written.get["hourly_rows"]
 
 
@@ -82,7 +82,6 @@ def run_batch(
     input_path: str,
     output_path: str,
     reference_path: str,
-    files_per_date: int = 8,
     expected_grids: int = EXPECTED_GRIDS,
 ) -> BatchResult:
     """Raw CSV folder and GeoJSON to clean, rejected, hourly, enriched and dashboard outputs."""
@@ -95,7 +94,7 @@ def run_batch(
 
     sinks.write_parquet(staged_rows(spark, paths["staged"], "rejected"), paths["rejected"])
     staged = staged_rows(spark, paths["staged"], "clean")
-    counters["clean_rows"] = publish_clean(staged, paths["clean_activity"], files_per_date)
+    counters["clean_rows"] = publish_clean(staged, paths["clean_activity"])
 
     clean = spark.read.parquet(paths["clean_activity"])
     counters["hourly_rows"] = publish_hourly(clean, paths["hourly"])

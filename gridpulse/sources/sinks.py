@@ -16,17 +16,17 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_by_date(df: DataFrame, path: str, files_per_date: int = 1) -> None:
+def write_by_date(df: DataFrame, path: str, tasks: int | None = None) -> None:
     """Date-partitioned Parquet, sorted by cell inside each file for min/max skipping.
 
-    A day's rows spread over ``files_per_date`` tasks (hash of date and a cell
-    bucket), so one heavy day is never a single task. Dynamic overwrite
-    replaces only the dates present in the frame.
+    By default the rows are rebalanced by date: adaptive execution splits a
+    heavy day over as many tasks as its bytes need and merges light days, so
+    files come out near the advisory size at any scale. ``tasks`` fixes a plain
+    hash layout instead. Dynamic overwrite replaces only the dates present.
     """
-    bucket = F.pmod(F.xxhash64("grid_id"), F.lit(files_per_date))
+    laid = df.hint("rebalance", F.col("date")) if tasks is None else df.repartition(tasks, "date")
     (
-        df.repartition(F.col("date"), bucket)
-        .sortWithinPartitions("date", "grid_id", "timestamp")
+        laid.sortWithinPartitions("date", "grid_id", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
