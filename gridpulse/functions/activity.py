@@ -50,9 +50,11 @@ def share(part: Column, whole: Column) -> Column:
 def number_text(value: Column, decimals: int) -> Column:
     """Shortest text of a rounded double with at least one decimal: 36.0, 36.5, 36.51.
 
-    A plain cast to string would switch to exponents from 1e7 on.
+    Rounds the scaled value half to even, as array libraries do. A plain cast
+    to string would switch to exponents from 1e7 on.
     """
-    text = F.format_string(f"%.{decimals}f", F.round(value, decimals))
+    scale = 10.0**decimals
+    text = F.format_string(f"%.{decimals}f", F.rint(value * scale) / scale)
     return text if decimals == 1 else F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
 

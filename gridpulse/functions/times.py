@@ -6,7 +6,7 @@ with it.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,13 @@ def hours(n: int) -> Column:
     return F.lit(timedelta(hours=n))
 
 
+def literal(stamp: datetime) -> Column:
+    """A wall-clock stamp as a literal; text avoids a detour over a zoned timestamp."""
+    return F.lit(stamp.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def at_hour(day: Column, hour: Column) -> Column:
-    return day.cast("timestamp_ntz") + F.make_dt_interval(hours=hour)
+    return day.cast("timestamp_ntz") + hour * hours(1)
 
 
 def hour_floor(ts: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions.activity import add_totals, maybe_round, share
-from gridpulse.functions.times import add_time_features, hour_index, hours
+from gridpulse.functions.checks import require_columns
+from gridpulse.functions.times import add_time_features, hour_index, hours, literal
 from gridpulse.schemas import ACTIVITY, GRID_MAX, GRID_MIN, HOURLY_COLUMNS, MEASURES
 
 
@@ -23,6 +24,7 @@ def grid_hour(clean: DataFrame, decimals: int | None = None) -> DataFrame:
     ``decimals`` rounds the sums, which makes later threshold comparisons
     independent of summation order.
     """
+    require_columns(clean, ["timestamp", "grid_id", *ACTIVITY])
     sums = clean.groupBy("timestamp", "grid_id").agg(
         *[maybe_round(F.sum(c), decimals).alias(c) for c in ACTIVITY]
     )
@@ -128,7 +130,7 @@ def effective_as_of(df: DataFrame, as_of: datetime | None, column: str = "timest
     A given cutoff is a literal and reaches the Parquet scan.
     """
     if as_of is not None:
-        return F.lit(as_of).cast("timestamp_ntz")
+        return literal(as_of)
     return df.agg(F.max(column).alias("as_of")).scalar()
 
 
@@ -141,7 +143,7 @@ def network_summary(fact: DataFrame, as_of: datetime | None = None) -> DataFrame
     """
     scoped = fact
     if as_of is not None:
-        scoped = fact.filter(F.col("timestamp") <= F.lit(as_of).cast("timestamp_ntz"))
+        scoped = fact.filter(F.col("timestamp") <= literal(as_of))
     sets = scoped.groupingSets([["timestamp"], ["grid_id"]], "timestamp", "grid_id").agg(
         F.sum("total_activity").alias("t"),
         F.max(F.col("total_activity") > 0).alias("active"),
@@ -150,7 +152,7 @@ def network_summary(fact: DataFrame, as_of: datetime | None = None) -> DataFrame
     per_hour = F.col("per_hour") == 1
     earliest = F.struct("t", (-hour_index(F.col("timestamp"))).alias("o"))
     lowest = F.struct("t", (-F.col("grid_id")).alias("o"))
-    newest = F.max("timestamp") if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    newest = F.max("timestamp") if as_of is None else literal(as_of)
     return sets.agg(
         F.coalesce(F.sum(F.when(per_hour, F.col("t"))), F.lit(0.0)).alias("total_activity"),
         F.count_if(~per_hour & F.col("active")).alias("active_grids"),

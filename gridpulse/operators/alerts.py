@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridpulse.functions.activity import lookup, maybe_round, number_text
+from gridpulse.functions.checks import require_columns
 from gridpulse.functions.times import hour_index, hours
 from gridpulse.operators.aggregate import effective_as_of
 from gridpulse.operators.baseline import leave_one_out_median
@@ -58,6 +59,7 @@ def alert_inputs(
     All windows share the cell key, so the hourly rows are exchanged once. The
     previous row bridges gaps unless ``require_adjacent`` is set.
     """
+    require_columns(hourly, ["grid_id", "timestamp", "total_activity", *bucket])
     by_time = Window.partitionBy("grid_id").orderBy("timestamp")
     whole = Window.partitionBy("grid_id")
     previous = F.lag("total_activity").over(by_time)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridpulse.functions.activity import number_text
+from gridpulse.functions.checks import require_columns
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.functions.times import hour_index
 from gridpulse.operators.baseline import leave_one_out_median
@@ -23,6 +24,7 @@ def anomaly_scores(
 
     NULL score and direction where history is too short or the baseline is 0.
     """
+    require_columns(hourly, ["grid_id", "timestamp", "total_activity"])
     rows = hourly.select(
         "grid_id", "timestamp", F.hour("timestamp").alias("hour_of_day"), "total_activity"
     )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridpulse.functions.times import from_hour_index, hour_index, hours
+from gridpulse.functions.checks import require_columns
+from gridpulse.functions.times import from_hour_index, hour_index, hours, literal
 from gridpulse.schemas import (
     FEATURES,
     FEATURE_COLUMNS,
@@ -74,6 +75,7 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     (columns ``next_hour_activity`` and ``high_activity_target``), and rows
     whose next row is not the next hour are dropped.
     """
+    require_columns(hourly, ["grid_id", "timestamp", "total_activity", "internet_activity"])
     by_time = Window.partitionBy("grid_id").orderBy("timestamp")
     recent = by_time.rowsBetween(-(RECENT_HOURS - 1), 0)
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
@@ -181,7 +183,7 @@ def grid_features_at(
         return feature_status(features.limit(0))
     rows = feature_status(features.filter(F.col("grid_id") == grid_id))
     if at is not None:
-        return rows.filter(F.col("feature_timestamp") == F.lit(at).cast("timestamp_ntz"))
+        return rows.filter(F.col("feature_timestamp") == literal(at))
     return rows.filter(F.col("freshness") == "CURRENT")
 
 

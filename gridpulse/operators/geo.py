@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions import geometry as geom
-from gridpulse.functions.checks import check_rows, zero
+from gridpulse.functions.checks import check_rows, require_columns, zero
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.operators.quality import out_of_grid
 from gridpulse.schemas import ENRICHED_COLUMNS, EXPECTED_GRIDS
@@ -19,6 +19,7 @@ def enrich(df: DataFrame, lookup: DataFrame, hint: str | None = "broadcast") ->
     measured. ``hint`` may name another strategy ("merge", "shuffle_hash") or
     be None to leave the choice to the optimizer.
     """
+    require_columns(lookup, ["grid_id", "geometry"])
     dim = lookup.dropDuplicates(["grid_id"])
     if hint == "broadcast":
         dim = broadcast_if_small(dim)

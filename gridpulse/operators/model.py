@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpulse.functions.times import literal
 from gridpulse.operators.ranks import ranking_metrics
 from gridpulse.operators.signals import TARGET, confusion, risk_level
 from gridpulse.schemas import FEATURES, MODEL_VERSION
@@ -78,7 +79,7 @@ def predict_point(
     """Prediction for one cell and stamp; no row means no stored features."""
     wanted = features.filter(
         (F.col("grid_id") == grid_id)
-        & (F.col("feature_timestamp") == F.lit(at).cast("timestamp_ntz"))
+        & (F.col("feature_timestamp") == literal(at))
     )
     return score(model, wanted).select(
         "grid_id",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions import geometry as geom
-from gridpulse.functions.checks import check_rows, zero
+from gridpulse.functions.checks import check_rows, require_columns, zero
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.functions.times import add_time_features, time_key
 from gridpulse.schemas import DIM_GRID_COLUMNS, DIM_TIME_COLUMNS, FACT_COLUMNS, MEASURES
@@ -36,6 +36,7 @@ def dim_grid(lookup: DataFrame) -> DataFrame:
 
 def fact(hourly: DataFrame, times: DataFrame, grids: DataFrame) -> DataFrame:
     """Hourly rows with their dimension keys; both key lookups are measured, then broadcast."""
+    require_columns(hourly, ["timestamp", "grid_id", *MEASURES])
     time_keys = broadcast_if_small(times.select("time_key", "timestamp"))
     grid_keys = broadcast_if_small(grids.select("grid_key", "grid_id"))
     joined = hourly.join(time_keys, "timestamp").join(grid_keys, "grid_id")

@@ -2,14 +2,14 @@
 
 Every stage reads the table the previous one wrote: no source is parsed twice,
 nothing is cached, and a lost executor costs only its own tasks. Row counters
-ride along with the writes (``Observation``) instead of separate count jobs.
+are read from the written tables: Parquet row counts need the footers only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.activity import add_totals, null_cells, zero_nulls
@@ -29,52 +29,56 @@ class BatchResult:
 
 
 def stage_classified(raw: DataFrame, path: str) -> dict[str, int]:
-    """Cast, classify and store every raw row once, split by verdict; returns the counters."""
-    seen = Observation("classified")
+    """Cast, classify and store every raw row once, split by verdict; returns the counters.
+
+    The counters come from two narrow columns of the stored table.
+    """
     reason = F.col("rejection_reason")
-    rows = cleaning.classify(cleaning.cast_columns(source.to_canonical(raw)))
-    rows = rows.withColumn(
-        "verdict", F.when(reason.isNull(), F.lit("clean")).otherwise(F.lit("rejected"))
-    ).observe(
-        seen,
-        F.count("*").alias("input_rows"),
-        F.count_if(reason.isNotNull()).alias("rejected_rows"),
-        F.coalesce(F.sum(F.when(reason.isNull(), null_cells())), F.lit(0)).alias("nulls_handled"),
-        *[F.count_if(reason == r).alias(r) for r in cleaning.REASONS],
+    rows = cleaning.classify(cleaning.cast_columns(source.to_canonical(raw))).withColumns(
+        {
+            "null_cells": null_cells(),
+            "verdict": F.when(reason.isNull(), F.lit("clean")).otherwise(F.lit("rejected")),
+        }
     )
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
         "verdict"
     ).parquet(path)
-    return seen.get
+    stored = raw.sparkSession.read.parquet(path)
+    return (
+        stored.agg(
+            F.count("*").alias("input_rows"),
+            F.count_if(reason.isNotNull()).alias("rejected_rows"),
+            F.coalesce(
+                F.sum(F.when(reason.isNull(), F.col("null_cells"))), F.lit(0)
+            ).alias("nulls_handled"),
+            *[F.count_if(reason == r).alias(r) for r in cleaning.REASONS],
+        )
+        .first()
+        .asDict()
+    )
 
 
 def staged_rows(spark: SparkSession, path: str, verdict: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("verdict") == verdict).drop("verdict")
+    """Stored rows of one verdict (a partition of the staged table)."""
+    staged = spark.read.parquet(path).filter(F.col("verdict") == verdict)
+    return staged.drop("verdict", "null_cells")
 
 
 def publish_clean(staged: DataFrame, path: str) -> int:
-    written = Observation("clean")
     clean = add_totals(add_time_features(zero_nulls(staged.drop("rejection_reason"))))
-    clean = clean.select(*CLEAN_SCHEMA.fieldNames()).observe(
-        written, F.count("*").alias("clean_rows")
-    )
-    sinks.write_by_date(clean, path)
-    return written.get["clean_rows"]
+    sinks.write_by_date(clean.select(*CLEAN_SCHEMA.fieldNames()), path)
+    return staged.sparkSession.read.parquet(path).count()
 
 
 def publish_hourly(clean: DataFrame, path: str) -> int:
-    written = Observation("hourly")
-    hourly = aggregate.grid_hour(clean).observe(written, F.count("*").alias("hourly_rows"))
-    sinks.write_by_date(hourly.select(*HOURLY_COLUMNS), path)
-    return written.get["hourly_rows"]
+    sinks.write_by_date(aggregate.grid_hour(clean).select(*HOURLY_COLUMNS), path)
+    return clean.sparkSession.read.parquet(path).count()
 
 
 def publish_enriched(hourly: DataFrame, lookup: DataFrame, path: str) -> int:
-    """Enriched rows without the centroid text; geometry is joined last and not kept upstream."""
-    written = Observation("enriched")
-    enriched = geo.enrich(hourly, lookup).observe(written, F.count("*").alias("enriched_rows"))
-    sinks.write_by_date(enriched, path)
-    return written.get["enriched_rows"]
+    """Hourly rows with geometry, joined last and not kept upstream."""
+    sinks.write_by_date(geo.enrich(hourly, lookup), path)
+    return hourly.sparkSession.read.parquet(path).count()
 
 
 def run_batch(
@@ -90,7 +94,7 @@ def run_batch(
     paths = {name: f"{output_path}/{name}" for name in names}
     lookup = load_grid_lookup(spark, reference_path, expected_grids)
     raw = source.read_text_csv(spark, input_path)
-    counters = dict(stage_classified(raw, paths["staged"]))
+    counters = stage_classified(raw, paths["staged"])
 
     sinks.write_parquet(staged_rows(spark, paths["staged"], "rejected"), paths["rejected"])
     staged = staged_rows(spark, paths["staged"], "clean")

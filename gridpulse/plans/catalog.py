@@ -187,11 +187,11 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(features.grid_features(filled(spark, sf)), 6)
+    return settle(features.grid_features(filled(spark, sf)), 9)
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(features.grid_features(filled(spark, sf), LABEL_THRESHOLD), 6)
+    return settle(features.grid_features(filled(spark, sf), LABEL_THRESHOLD), 9)
 
 
 def rule_score(avg: Column) -> Column:
@@ -678,12 +678,12 @@ def _(spark, sf):
 # --- anomalies ---------------------------------------------------------------------
 
 
-@query("anomaly_scores")
+@query("anomaly_scores", decimals=9)
 def _(spark, sf):
     return anomaly_rows(spark, sf)
 
 
-@query("anomaly_scores_filled")
+@query("anomaly_scores_filled", decimals=9)
 def _(spark, sf):
     return anomaly.anomaly_scores(filled(spark, sf), threshold=1.0, decimals=4)
 
@@ -693,21 +693,21 @@ def _(spark, sf):
     return anomaly.anomaly_summary(anomaly_rows(spark, sf))
 
 
-@query("anomaly_cases")
+@query("anomaly_cases", decimals=9)
 def _(spark, sf):
-    return anomaly.anomaly_cases(settle(anomaly_rows(spark, sf), 6))
+    return anomaly.anomaly_cases(settle(anomaly_rows(spark, sf), 9))
 
 
 @query("case_history")
 def _(spark, sf):
-    cases = anomaly.anomaly_cases(settle(anomaly_rows(spark, sf), 6))
+    cases = anomaly.anomaly_cases(settle(anomaly_rows(spark, sf), 9))
     return anomaly.case_history(cases, hourly(spark, sf))
 
 
 # --- features, label, split ----------------------------------------------------------
 
 
-@query("grid_features")
+@query("grid_features", decimals=9)
 def _(spark, sf):
     return features.grid_features(filled(spark, sf))
 
@@ -717,7 +717,7 @@ def _(spark, sf):
     return quality.feature_checks(feature_rows(spark, sf))
 
 
-@query("latest_features")
+@query("latest_features", decimals=9)
 def _(spark, sf):
     return features.latest_features(feature_rows(spark, sf))
 
@@ -728,7 +728,7 @@ def _(spark, sf):
     return df.select("grid_id", "feature_timestamp", "data_quality", "freshness")
 
 
-@query("grid_features_at")
+@query("grid_features_at", decimals=9)
 def _(spark, sf):
     rows = feature_rows(spark, sf)
     return features.grid_features_at(rows, 7).unionByName(
@@ -744,7 +744,7 @@ def _(spark, sf):
     )
 
 
-@query("next_hour_label_windowed")
+@query("next_hour_label_windowed", decimals=9)
 def _(spark, sf):
     return labelled(spark, sf)
 
@@ -804,7 +804,7 @@ def _(spark, sf):
     return signals.nearest_scores(scored(spark, sf))
 
 
-@query("three_way")
+@query("three_way", decimals=9)
 def _(spark, sf):
     return comparison(spark, sf)
 
@@ -819,9 +819,9 @@ def _(spark, sf):
     return signals.outcome_rates(comparison(spark, sf))
 
 
-@query("disagreements")
+@query("disagreements", decimals=9)
 def _(spark, sf):
-    return signals.disagreements(settle(comparison(spark, sf), 6))
+    return signals.disagreements(settle(comparison(spark, sf), 9))
 
 
 @query("alert_vs_model")
@@ -839,7 +839,7 @@ def _(spark, sf):
     return signals.alert_type_overlap(alert_comparison(spark, sf))
 
 
-@query("risk_rows_rule_score")
+@query("risk_rows_rule_score", decimals=9)
 def _(spark, sf):
     anomalies = anomaly.anomaly_scores(filled(spark, sf), decimals=4)
     return signals.risk_table(signals.combine_risk(scored(spark, sf), anomalies))

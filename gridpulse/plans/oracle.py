@@ -156,8 +156,7 @@ _CTES: list[tuple[str, str]] = [
 
 
 def _text(value: str) -> str:
-    rounded = f"round(CAST({value} AS DECIMAL(18, 4)), 2)"
-    return f"regexp_replace(printf('%.2f', CAST({rounded} AS DOUBLE)), '(\\.\\d+?)0+$', '\\1')"
+    return f"regexp_replace(printf('%.2f', round_even({value}, 2)), '(\\.\\d+?)0+$', '\\1')"
 
 
 def _alert_union(floor: str, spike: float, adjacent: bool) -> str:
@@ -190,7 +189,7 @@ def _anomaly(source: str, threshold: float) -> str:
     WHEN baseline_activity <= 0
       THEN 'Historical baseline is zero; percentage deviation cannot be calculated.'
     WHEN anomaly_score >= {threshold} AND direction IN ('HIGH', 'LOW')
-      THEN direction || ' anomaly: activity is ' || printf('%.1f', round(anomaly_score * 100, 1))
+      THEN direction || ' anomaly: activity is ' || printf('%.1f', round_even(anomaly_score * 100, 1))
         || '% away from the historical median for this grid and hour-of-day.'
     ELSE 'Within expected historical range for this grid and hour-of-day.' END AS reason
     FROM (SELECT *, current_activity - baseline_activity AS deviation,
@@ -246,12 +245,12 @@ _CTES += [
     ),
     (
         "features",
-        """SELECT grid_id, feature_timestamp, round(a, 6) + 0.0 AS avg_activity,
-    round(CASE WHEN p = 0 THEN 0.0 ELSE (a - p) / p END, 6) + 0.0 AS activity_growth,
+        """SELECT grid_id, feature_timestamp, round(a, 9) + 0.0 AS avg_activity,
+    round(CASE WHEN p = 0 THEN 0.0 ELSE (a - p) / p END, 9) + 0.0 AS activity_growth,
     CAST(h AS INTEGER) AS active_hours,
-    round(CASE WHEN a = 0 THEN 0.0 ELSE m / a END, 6) + 0.0 AS peak_ratio,
-    round(s, 6) + 0.0 AS variability,
-    round(CASE WHEN t = 0 THEN 0.0 ELSE i / t END, 6) + 0.0 AS internet_share
+    round(CASE WHEN a = 0 THEN 0.0 ELSE m / a END, 9) + 0.0 AS peak_ratio,
+    round(s, 9) + 0.0 AS variability,
+    round(CASE WHEN t = 0 THEN 0.0 ELSE i / t END, 9) + 0.0 AS internet_share
     FROM windowed WHERE rows48 = 48 AND first48 = feature_timestamp - INTERVAL 47 HOUR""",
     ),
     (
@@ -314,9 +313,9 @@ _CTES += [
       SELECT *, row_number() OVER (PARTITION BY direction ORDER BY
           CASE WHEN cell_rank = 1 THEN 0 ELSE 1 END, anomaly_score DESC, grid_id, "timestamp")::INTEGER
         AS case_number
-      FROM (SELECT * REPLACE (round(anomaly_score, 6) AS anomaly_score),
+      FROM (SELECT * REPLACE (round(anomaly_score, 9) AS anomaly_score),
           row_number() OVER (PARTITION BY direction, grid_id
-            ORDER BY round(anomaly_score, 6) DESC, "timestamp") AS cell_rank
+            ORDER BY round(anomaly_score, 9) DESC, "timestamp") AS cell_rank
         FROM anomaly_rows WHERE is_anomaly))
     WHERE case_number <= 2""",
     ),
@@ -891,7 +890,7 @@ FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_id
     FROM ({_feed(_UP_TO, 60, _AS_OF)})) WHERE k = 1) a ON h.grid_id = a.grid_id""",
     ["total_activity", "current_activity"],
 )
-_SCORE_DOUBLES = ["current_activity", "baseline_activity", "deviation", "anomaly_score"]
+_SCORE_DOUBLES = ["current_activity", "baseline_activity", "deviation:9", "anomaly_score:9"]
 _add("anomaly_scores", "SELECT * FROM anomaly_rows", _SCORE_DOUBLES)
 _add("anomaly_scores_filled", "SELECT * FROM anomaly_filled", _SCORE_DOUBLES)
 _add(
@@ -1066,7 +1065,7 @@ _add(
     ["target", "risk_score"],
 )
 _COMPARE_DOUBLES = [
-    "next_hour_activity", "ml3_probability", "anomaly_score", "baseline_activity",
+    "next_hour_activity", "ml3_probability", "anomaly_score:9", "baseline_activity",
     "current_activity",
 ]
 _add("three_way", "SELECT * FROM comparison", _COMPARE_DOUBLES)
@@ -1111,13 +1110,13 @@ _add(
     "disagreements",
     f"""(SELECT 'anomaly_not_model' AS kind, {_SHOWN} FROM comparison
   WHERE ml4_anomaly AND NOT ml3_positive
-  ORDER BY round(anomaly_score, 6) DESC, grid_id, "timestamp" LIMIT 1)
+  ORDER BY round(anomaly_score, 9) DESC, grid_id, "timestamp" LIMIT 1)
 UNION ALL (SELECT 'model_not_anomaly', {_SHOWN} FROM comparison
   WHERE ml3_positive AND NOT ml4_anomaly
   ORDER BY ml3_probability DESC, grid_id, "timestamp" LIMIT 1)
 UNION ALL (SELECT 'alert_differs_from_anomaly', {_SHOWN} FROM comparison
   WHERE np3_alert <> ml4_anomaly ORDER BY grid_id, "timestamp" LIMIT 1)""",
-    ["anomaly_score", "ml3_probability", "next_hour_activity"],
+    ["anomaly_score:9", "ml3_probability", "next_hour_activity"],
 )
 _add("alert_vs_model", "SELECT * FROM versus", ["ml3_probability"])
 _add(
@@ -1169,7 +1168,7 @@ _add(
   a.reason AS anomaly_reason
 FROM scored s JOIN anomaly_filled_default a
   ON a.grid_id = s.grid_id AND a."timestamp" = s.feature_timestamp""",
-    ["risk_score", "anomaly_score"],
+    ["risk_score", "anomaly_score:9"],
 )
 _add(
     "by_date_layout",

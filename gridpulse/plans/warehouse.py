@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridpulse.functions.checks import require
 from gridpulse.operators import alerts, anomaly, features, model, signals, warehouse
-from gridpulse.schemas import EXPECTED_GRIDS, FEATURES
+from gridpulse.schemas import EXPECTED_GRIDS, FEATURES, RISK_THRESHOLD, TARGET_THRESHOLD
 from gridpulse.sources import sinks
 
 
@@ -81,3 +82,62 @@ def risk_job(
     table = signals.risk_table(signals.combine_risk(scored, anomalies))
     sinks.replace_table(table, path)
     return feature_rows.sparkSession.read.parquet(path)
+
+
+def comparison_job(
+    fitted: PipelineModel,
+    feature_rows: DataFrame,
+    hourly: DataFrame,
+    alert_rows: DataFrame,
+    anomalies: DataFrame,
+    path: str,
+    threshold: float = TARGET_THRESHOLD,
+    zone: str | None = None,
+) -> dict[str, DataFrame]:
+    """Model, alerts and anomalies side by side on the test part; reports beside the tables.
+
+    The joined tables are stored first, so each report reads only the columns
+    it needs instead of repeating the joins.
+    """
+    spark = feature_rows.sparkSession
+    labelled = features.next_hour_label(feature_rows, hourly, threshold)
+    split = features.chronological_split(labelled).filter("split = 'test'").drop("split")
+    test = sinks.stage_table(model.score(fitted, split), "test")
+    positive = F.col("risk_score") >= RISK_THRESHOLD
+    three = signals.three_way(
+        test.select(
+            "grid_id",
+            F.col("feature_timestamp").alias("timestamp"),
+            "next_hour_activity",
+            F.col("high_activity_target").alias("target"),
+            F.col("risk_score").alias("ml3_probability"),
+            positive.alias("ml3_positive"),
+        ),
+        alert_rows,
+        anomalies,
+    )
+    versus = signals.alert_vs_model(
+        test.select(
+            "grid_id",
+            "feature_timestamp",
+            positive.cast("int").alias("ml3_prediction"),
+            F.col("risk_score").alias("ml3_probability"),
+            "high_activity_target",
+        ),
+        alert_rows,
+        zone,
+    )
+    sinks.write_parquet(three, f"{path}/three_way")
+    sinks.write_parquet(versus, f"{path}/alert_vs_model")
+    three = spark.read.parquet(f"{path}/three_way")
+    versus = spark.read.parquet(f"{path}/alert_vs_model")
+    reports = {
+        "three_way_overlap": signals.three_way_overlap(three),
+        "outcome_rates": signals.outcome_rates(three),
+        "disagreements": signals.disagreements(three),
+        "comparison_summary": signals.comparison_summary(versus),
+        "alert_type_overlap": signals.alert_type_overlap(versus),
+    }
+    for name, report in reports.items():
+        sinks.write_report(report, f"{path}/{name}")
+    return {name: spark.read.json(f"{path}/{name}") for name in reports}

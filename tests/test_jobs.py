@@ -301,6 +301,17 @@ def test_warehouse_and_derived_jobs(spark, tmp_path):
     assert 0 <= metrics.first()["accuracy"] <= 1
     risk = warehouse_plan.risk_job(fitted, feature_rows, anomalies, f"{path}/risk")
     assert risk.count() == feature_rows.count()
+    reports = warehouse_plan.comparison_job(
+        fitted, feature_rows, star, alerts, anomalies, f"{path}/comparison", threshold=60.0
+    )
+    rows = sum(r["rows"] for r in reports["three_way_overlap"].collect())
+    assert rows == reports["comparison_summary"].first()["total_comparison_rows"] > 0
+    assert reports["outcome_rates"].count() == 5
+
+
+def test_missing_columns_are_named(spark):
+    with pytest.raises(ValueError, match="internet_activity"):
+        aggregate.grid_hour(spark.createDataFrame([(1,)], "grid_id int"))
 
 
 def test_star_checks_find_damage(spark, hours_frame):
