@@ -36,42 +36,44 @@ def order_statistics(
     ``ranks`` maps an output column to its 1-based rank, an expression over the
     group size ``n``. NULL values are ignored. Output: keys, n, one column per rank.
     """
+    grouped = df if keys else df.withColumn("_all", F.lit(0))
     keys = keys or ["_all"]
-    base = df.filter(F.col(value).isNotNull())
-    if keys == ["_all"]:
-        base = base.withColumn("_all", F.lit(0))
-    base = base.select(*keys, F.col(value).cast("double").alias("v")).withColumn(
-        "seg", segment(F.col("v"))
+    base = (
+        grouped.filter(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_v"))
+        .withColumn("_seg", segment(F.col("_v")))
     )
     per_group = Window.partitionBy(*keys)
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_k"))
+            for name, rank in ranks.items()
+        ]
+    )
     located = (
-        base.groupBy(*keys, "seg")
-        .agg(F.count("*").alias("c"))
-        .withColumn("n", F.sum("c").over(per_group))
-        .withColumn("upto", F.sum("c").over(per_group.orderBy("seg")))
-        .withColumn(
-            "wanted",
-            F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("k")) for k, r in ranks.items()]),
+        base.groupBy(*keys, "_seg")
+        .agg(F.count("*").alias("_c"))
+        .withColumn("n", F.sum("_c").over(per_group))
+        .withColumn("_upto", F.sum("_c").over(per_group.orderBy("_seg")))
+        .select(*keys, "_seg", "n", "_c", "_upto", F.inline(wanted))
+        .filter((F.col("_k") > F.col("_upto") - F.col("_c")) & (F.col("_k") <= F.col("_upto")))
+        .select(
+            *keys, "_seg", "n", "_name", (F.col("_k") - F.col("_upto") + F.col("_c")).alias("_k")
         )
-        .select(*keys, "seg", "n", (F.col("upto") - F.col("c")).alias("below"), "upto",
-                F.inline("wanted"))
-        .filter((F.col("k") > F.col("below")) & (F.col("k") <= F.col("upto")))
-        .select(*keys, "seg", "n", "name", (F.col("k") - F.col("below")).alias("k"))
     )
-    segments = located.select(*keys, "seg").distinct()
-    in_segment = Window.partitionBy(*keys, "seg").orderBy("v")
+    in_segment = Window.partitionBy(*keys, "_seg").orderBy("_v")
     counted = (
-        base.join(segments, keys + ["seg"], "left_semi")
-        .groupBy(*keys, "seg", "v")
-        .agg(F.count("*").alias("c"))
-        .withColumn("upto", F.sum("c").over(in_segment))
+        base.join(located.select(*keys, "_seg").distinct(), keys + ["_seg"], "left_semi")
+        .groupBy(*keys, "_seg", "_v")
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_upto", F.sum("_c").over(in_segment))
     )
-    picked = located.join(counted, keys + ["seg"]).filter(
-        (F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("c"))
+    picked = located.join(counted, keys + ["_seg"]).filter(
+        (F.col("_k") <= F.col("_upto")) & (F.col("_k") > F.col("_upto") - F.col("_c"))
     )
     wide = picked.groupBy(*keys).agg(
         F.first("n").alias("n"),
-        *[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ranks],
+        *[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in ranks],
     )
     return wide.drop("_all")
 

@@ -165,7 +165,7 @@ def all_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 def star(spark: SparkSession, sf: str) -> DataFrame:
     hours = hourly(spark, sf)
-    times_dim, grids_dim = dims(spark, sf)
+    times_dim, grids_dim = stored_dims(spark, sf)
     return warehouse.star(warehouse.fact(hours, times_dim, grids_dim), times_dim, grids_dim)
 
 
@@ -174,6 +174,12 @@ def dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return warehouse.dim_time(valid), warehouse.dim_grid(all_cells(spark, sf))
 
 
+def stored_dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Dimensions as small tables: measuring and joining them does not scan the events again."""
+    time_dim, grid_dim = dims(spark, sf)
+    return sinks.stage_table(time_dim, "dim_time"), sinks.stage_table(grid_dim, "dim_grid")
+
+
 def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.alerts(hourly(spark, sf), decimals=4)
 
@@ -308,7 +314,8 @@ def _(spark, sf):
 @query("landing_accepted_rows")
 def _(spark, sf):
     rows = raw_text(spark, sf)
-    good = landing.accepted_rows(rows, landing.landing_verdict(rows))
+    verdict = sinks.stage_table(landing.landing_verdict(rows), "verdict")
+    good = landing.accepted_rows(rows, verdict)
     return quality.file_report(good, "file_name")
 
 
@@ -559,7 +566,7 @@ def _(spark, sf):
 
 @query("fact_build")
 def _(spark, sf):
-    return warehouse.fact(hourly(spark, sf), *dims(spark, sf))
+    return warehouse.fact(hourly(spark, sf), *stored_dims(spark, sf))
 
 
 @query("star_join")
@@ -569,7 +576,7 @@ def _(spark, sf):
 
 @query("star_checks")
 def _(spark, sf):
-    hours, (t, g) = hourly(spark, sf), dims(spark, sf)
+    hours, (t, g) = hourly(spark, sf), stored_dims(spark, sf)
     facts = sinks.stage_table(warehouse.fact(hours, t, g), "fact")
     return warehouse.star_checks(hours, facts, t, g)
 
@@ -701,6 +708,7 @@ def _(spark, sf):
 @query("case_history")
 def _(spark, sf):
     cases = anomaly.anomaly_cases(settle(anomaly_rows(spark, sf), 9))
+    cases = sinks.stage_table(cases, "cases")
     return anomaly.case_history(cases, hourly(spark, sf))
 
 
