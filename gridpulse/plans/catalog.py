@@ -7,6 +7,7 @@ engines; the library itself does not round them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 from functools import reduce
@@ -40,7 +41,9 @@ from gridpulse.schemas import (
 )
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.sources import grid, sinks
+from gridpulse.session import shared_dir
 from gridpulse.sources.activity import events_as_activity
+from gridpulse.streaming import hotspots as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -591,9 +594,9 @@ def _(spark, sf):
 def _(spark, sf):
     s = star(spark, sf)
     parts = [
-        aggregate.grid_history(s, 7).withColumn("request", F.lit("last 24 hours")),
-        aggregate.grid_history(s, 7, date=DAY).withColumn("request", F.lit("date")),
-        aggregate.grid_history(s, 7, hour=9, as_of=AS_OF).withColumn("request", F.lit("hour")),
+        aggregate.grid_history(s, 8).withColumn("request", F.lit("last 24 hours")),
+        aggregate.grid_history(s, 8, date=DAY).withColumn("request", F.lit("date")),
+        aggregate.grid_history(s, 8, hour=9, as_of=AS_OF).withColumn("request", F.lit("hour")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -895,6 +898,25 @@ def _(spark, sf):
     return model.predict_point(fit, table, 7, AS_OF)
 
 
+# --- stream ---------------------------------------------------------------------------
+
+
+@query("live_hotspots")
+def _(spark, sf):
+    """The event table read as a stream; hours closed by the watermark are judged."""
+    baseline = settle(live.static_baseline(hourly(spark, sf)), 4)
+    raw = (
+        spark.readStream.schema(events(spark, sf).schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf)
+    )
+    totals = live.hourly_stream(events_as_activity(raw), decimals=2)
+    found = live.hotspot_alerts(totals, sinks.stage_table(baseline, "baseline"))
+    folder = f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}"
+    live.start(found, f"{folder}/alerts", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/alerts")
+
+
 # --- layout -------------------------------------------------------------------------
 
 

@@ -796,10 +796,10 @@ _add(
 _HISTORY = f'"timestamp", {", ".join(_MEASURES)}'
 _add(
     "grid_history",
-    f"""SELECT {_HISTORY}, 'last 24 hours' AS request FROM hourly WHERE grid_id = 7
+    f"""SELECT {_HISTORY}, 'last 24 hours' AS request FROM hourly WHERE grid_id = 8
   AND "timestamp" BETWEEN {_NEWEST} - INTERVAL 23 HOUR AND {_NEWEST}
-UNION ALL SELECT {_HISTORY}, 'date' FROM hourly WHERE grid_id = 7 AND date = DATE '2024-01-15'
-UNION ALL SELECT {_HISTORY}, 'hour' FROM hourly WHERE grid_id = 7 AND hour = 9
+UNION ALL SELECT {_HISTORY}, 'date' FROM hourly WHERE grid_id = 8 AND date = DATE '2024-01-15'
+UNION ALL SELECT {_HISTORY}, 'hour' FROM hourly WHERE grid_id = 8 AND hour = 9
   AND "timestamp" <= {_AS_OF}""",
     _MEASURES,
 )
@@ -1170,6 +1170,16 @@ FROM scored s JOIN anomaly_filled_default a
   ON a.grid_id = s.grid_id AND a."timestamp" = s.feature_timestamp""",
     ["risk_score", "anomaly_score:9"],
 )
+_add(
+    "live_hotspots",
+    """SELECT h.grid_id, h."timestamp", 'HIGH_ACTIVITY' AS alert_type,
+  h.total_activity AS current_activity, b.baseline AS baseline_activity
+FROM hourly h JOIN (SELECT grid_id, hour, round(quantile_cont(total_activity, 0.5), 4) AS baseline
+  FROM hourly GROUP BY ALL) b USING (grid_id, hour)
+WHERE b.baseline > 0 AND h.total_activity >= b.baseline * 2.0
+  AND h."timestamp" + INTERVAL 3 HOUR <= (SELECT max("timestamp") FROM hourly)""",
+    _ALERT_DOUBLES,
+)
 _add(
     "by_date_layout",
     f"SELECT date, {_sum_list(_MEASURES)} FROM clean GROUP BY date",

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridpulse.functions.activity import add_totals, zero_nulls
+from gridpulse.functions.activity import add_totals, maybe_round, zero_nulls
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.operators.cleaning import valid_rows
 from gridpulse.schemas import ACTIVITY, HIGH_RATIO
 
 
-def hourly_stream(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
+def hourly_stream(
+    stream: DataFrame, watermark: str = "2 hours", decimals: int | None = None
+) -> DataFrame:
     """Grid-hour totals of an activity stream; late rows within the watermark count.
 
     State is one row per open (hour, cell), combined map-side before the state
@@ -24,10 +26,10 @@ def hourly_stream(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
     sums = (
         rows.withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", "1 hour"), "grid_id")
-        .agg(*[F.sum(c).alias(c) for c in ACTIVITY])
+        .agg(*[maybe_round(F.sum(c), decimals).alias(c) for c in ACTIVITY])
     )
     hour = F.col("window.start").cast("timestamp_ntz").alias("timestamp")
-    return add_totals(sums).select(hour, "grid_id", *ACTIVITY, "total_activity")
+    return add_totals(sums, decimals).select(hour, "grid_id", *ACTIVITY, "total_activity")
 
 
 def hotspot_alerts(
