@@ -175,3 +175,9 @@ def test_hot_cell_results_stay_exact(spark, skewed, name):
         np.testing.assert_allclose(
             got[c].to_numpy(float), want[c].to_numpy(float), rtol=0, atol=1.5e-6, equal_nan=True
         )
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from gridpulse.session import shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
