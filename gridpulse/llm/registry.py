@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import minhash_dedup
+from gridpulse.llm import minhash_dedup, mixing, packing, quality_classifier, quality_rules
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_retrieval_packing": packing.op8_retrieval_packing,
+        "op9_source_mixing": mixing.op9_source_mixing,
+        "op10_rule_ensemble": quality_classifier.op10_rule_ensemble,
     }
 
 
