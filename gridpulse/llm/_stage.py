@@ -19,7 +19,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it again: cuts the lineage and survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -53,12 +62,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         )
         low = stage(large.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("low")), name)
         joined = large.join(low, F.col("child") == F.col("node"))
-        now = stage(
+        last, now = now, stage(
             joined.where("parent <> low").select(F.col("parent").alias("child"), F.col("low").alias("parent"))
             .unionByName(low.select(F.col("node").alias("child"), F.col("low").alias("parent")))
             .distinct(),
             name,
         )
+        discard(last, least, large, low)
     return (
         now.select(F.col("child").alias("node"), F.col("parent").alias("component"))
         .unionByName(now.select(F.col("parent").alias("node"), F.col("parent").alias("component")))

@@ -25,8 +25,8 @@ WORDS = 5
 BANDS, ROWS = 28, 4
 SLOTS = BANDS * ROWS
 #: Candidates whose signatures agree in a smaller share of slots than this are not
-#: compared again: five deviations (0.041) below the least similarity of a link.
-LEAST_AGREEMENT = 0.55
+#: compared again: more than four deviations (0.041) below the least similarity of a link.
+LEAST_AGREEMENT = 0.58
 #: Members of one bucket compared in one task; larger buckets are split by further bands, then into blocks.
 BUCKET = 1024
 
@@ -130,34 +130,53 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             )
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that lie in different components and whose signatures agree enough.
+def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Confirmed links between components that meet in a bucket, enough of them to unite these.
 
-    Rows come sorted by bucket; the last bucket of a batch waits for the next one.
+    Rows come sorted by bucket; the last bucket of a batch waits for the
+    next one. A pair is looked at in the first band that it shares, unless
+    earlier links of the bucket have united it already.
     """
     kept: list[pa.Table] = []
 
-    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = table["bucket"].to_numpy()
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ids, comp, size, side = (table[c].to_numpy() for c in ("rep", "component", "n_shingles", "side"))
+        ids, comp, size, side, band, second = (
+            table[c].to_numpy() for c in ("rep", "component", "n_shingles", "side", "band", "second")
+        )
         sig = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        items = table["items"].combine_chunks()
+        flat, at = items.flatten().to_numpy(), np.append(0, np.cumsum(size))
         left, right = [], []
         for low, high in zip(edges, np.append(edges[1:], len(keys))):
-            if high - low < 2:
-                continue
+            group = comp[low:high].copy()
             for x in range(low, high - 1):
-                later = slice(x + 1, high)
-                fit = (comp[later] != comp[x]) & (np.minimum(size[later], size[x]) * 4 >= np.maximum(size[later], size[x]) * 3)
-                fit &= (side[later] != side[x]) | (side[x] == 2)
-                at = np.flatnonzero(fit) + x + 1
-                if len(at):
-                    at = at[(sig[at] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-                    left.append(np.full(len(at), ids[x]))
-                    right.append(ids[at])
+                later = np.flatnonzero(group[x + 1 - low :] != group[x - low]) + x + 1
+                later = later[np.minimum(size[later], size[x]) * 100 >= np.maximum(size[later], size[x]) * least]
+                later = later[(side[later] != side[x]) | (side[x] == 2)]
+                if not len(later):
+                    continue
+                agree = (sig[later] == sig[x]).mean(axis=1)
+                same = bands[later, : second[x]] == bands[x, : second[x]]
+                same[:, band[x] : band[x] + 1] = False
+                later = later[(agree >= LEAST_AGREEMENT) & ~same.any(axis=1)]
+                own = np.sort(flat[at[x] : at[x + 1]])
+                for part in np.split(later, range(64, len(later), 64)):
+                    part = part[group[part - low] != group[x - low]]
+                    if not len(part):
+                        continue
+                    other = np.concatenate([flat[at[k] : at[k + 1]] for k in part])
+                    found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                    both = np.add.reduceat(found, np.cumsum(size[part]) - size[part], dtype=np.int64)
+                    for y in part[100 * both >= least * (size[part] + size[x] - both)]:
+                        if group[y - low] != group[x - low]:
+                            left.append(ids[x])
+                            right.append(ids[y])
+                            group[group == group[y - low]] = group[x - low]
         if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     for batch in batches:
         if not batch.num_rows:
@@ -166,19 +185,22 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table["bucket"].to_numpy()
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
-            yield from pairs(table.slice(0, cut).combine_chunks())
+            yield from links(table.slice(0, cut))
         kept = [table.slice(cut)]
     if kept:
-        yield from pairs(kept[0].combine_chunks())
+        yield from links(kept[0])
+
+
+def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, items): full shingle sets of the documents in ``ids`` (doc_id, staged)."""
+    texts = documents.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
+    return stage(texts.mapInArrow(lambda it: _sets(it, WORDS), "doc_id long, items array<long>"), "minhash")
 
 
 def _confirmed(documents: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """Those of the pairs (a, b, staged) that are links on their full sets."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash")
-    texts = documents.select("doc_id", "text").join(broadcast_if_small(ids), "doc_id", "left_semi")
-    sets = stage(
-        texts.mapInArrow(lambda it: _sets(it, WORDS), "doc_id long, items array<long>"), "minhash"
-    )
+    sets = _sets_of(documents, ids)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return stage(
@@ -195,9 +217,9 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
     Documents are linked when ``100 * intersection >= least * union`` of their
     sets of five-word shingles (``least`` of 75 or more keeps the banding's
     recall above 0.9999). Documents with the same set are one class, held by
-    its smallest doc_id. Candidates are taken in two steps: every member of
+    its smallest doc_id. Candidates are taken in steps: every member of
     a bucket against the bucket's first; then, in buckets that still hold
-    several components, the pairs between these whose signatures agree.
+    several components, all the pairs between these whose signatures agree.
 
     Null or wordless texts have no shingles and are linked with nothing.
     Rows with a null doc_id are linked with nothing and kept (component_id
@@ -249,9 +271,8 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
         .select("rep", "n_shingles", "slots", "bands", F.coalesce("component", "rep").alias("component")),
         "minhash",
     )
-    pairs = stage(_cross_pairs(placed).join(stars, ["a", "b"], "left_anti"), "minhash")
-    if not pairs.isEmpty():
-        more = _confirmed(documents, pairs, least)
+    more = _more_links(documents, placed, least)
+    if not more.isEmpty():
         group = components(links.unionByName(more))
     homes = stage(
         classes.join(group, classes["rep"] == group["node"], "left")
@@ -266,23 +287,27 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
     )
 
 
-def _cross_pairs(placed: DataFrame) -> DataFrame:
-    """Agreeing pairs between components that share a bucket, without hubs' own pairs.
+def _shared_buckets(placed: DataFrame) -> DataFrame:
+    """(rep, bucket, band, second, side) of the buckets that hold several components.
 
     Buckets of more than BUCKET members are split by a second band each;
     what is still larger is compared block by block, each pair of blocks
-    being a group of its own, so that no task holds an unbounded group.
+    being a group of its own, so that no task holds an unbounded group. A
+    group stands for the pairs whose first common band is ``band`` and that
+    share none other before ``second``.
     """
     member = placed.select("rep", "component", F.posexplode("bands").alias("band", "bucket"))
     state = [F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]
     open_ = stage(member.groupBy("bucket").agg(*state).where("low <> high").select("bucket", "n"), "minhash")
-    small = member.join(open_.where(f"n <= {BUCKET}"), "bucket").select("rep", "bucket", F.lit(1).alias("blocks"))
+    small = member.join(open_.where(f"n <= {BUCKET}"), "bucket").select(
+        "rep", "bucket", "band", F.col("band").alias("second"), F.lit(1).alias("blocks")
+    )
     large = stage(
         member.join(open_.where(f"n > {BUCKET}"), "bucket").select("rep", "component", "band", "bucket")
         .join(placed.select("rep", "bands"), "rep")
-        .select("rep", "component", "band", "bucket", F.posexplode("bands").alias("other", "second"))
-        .where("other > band")
-        .select("rep", "component", F.xxhash64("bucket", "second").alias("bucket")),
+        .select("rep", "component", "band", "bucket", F.posexplode("bands").alias("second", "key"))
+        .where("second > band")
+        .withColumn("bucket", F.xxhash64("bucket", "key")),
         "minhash",
     )
     still = stage(
@@ -290,22 +315,31 @@ def _cross_pairs(placed: DataFrame) -> DataFrame:
         .select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")),
         "minhash",
     )
-    rows = small.unionByName(large.join(still, "bucket").select("rep", "bucket", "blocks"))
+    rows = small.unionByName(large.join(still, "bucket").select("rep", "bucket", "band", "second", "blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        rows.select("rep", "bucket", block.alias("block"), other.alias("other"))
+    return stage(
+        rows.select("rep", "bucket", "band", "second", block.alias("block"), other.alias("other"))
         .select(
-            "rep",
+            "rep", "band", "second",
             F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"),
             # 2: a block against itself; else the pairs of different blocks only
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
+        ),
+        "minhash",
     )
-    full = dealt.join(placed.select("rep", "component", "n_shingles", "slots"), "rep")
-    return (
-        full.repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_agreeing, "a long, b long").distinct()
+
+
+def _more_links(documents: DataFrame, placed: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) between components that share buckets, confirmed on full sets."""
+    shared = _shared_buckets(placed)
+    ids = stage(shared.select(F.col("rep").alias("doc_id")).distinct(), "minhash")
+    sets = _sets_of(documents, ids).withColumnRenamed("doc_id", "rep")
+    known = stage(placed.join(sets.dropDuplicates(["rep"]), "rep"), "minhash")
+    full = shared.join(known, "rep")
+    return stage(
+        full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _united(it, least), "a long, b long").distinct(),
+        "minhash",
     )
 
 
