@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridpulse.llm import minhash_dedup, mixing, packing, quality_classifier, quality_rules
+from gridpulse.llm import (
+    embedding_dedup,
+    language_id,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op3_hnsw_dedup": embedding_dedup.op3_hnsw_dedup,
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op8_retrieval_packing": packing.op8_retrieval_packing,
         "op9_source_mixing": mixing.op9_source_mixing,
         "op10_rule_ensemble": quality_classifier.op10_rule_ensemble,
