@@ -1,19 +1,58 @@
-"""Corpus pipeline: the stages and their order; each reads what the one before it wrote."""
+"""Corpus pipeline: classify, apply rules, remove near-duplicates, mix sources, pack.
+
+Every stage takes (spark, docs, sf_dir) and reads what the stage before it
+wrote; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from gridpulse.llm import minhash_dedup, mixing, packing, quality_classifier, quality_rules
+from gridpulse.llm._stage import stage
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble accepts; it is fitted on the labelled ones among ``docs``."""
+    model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.accepted_documents(docs, model)
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose host passes."""
+    return quality_rules.kept_documents(docs)
+
+
+def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash_dedup.kept_documents(docs)
 
-#: Trained models, signatures and tokenization cannot be expressed in SQL; tests use brute force.
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often and as far as their source's target takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in their sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("near duplicates", remove_copies),
+    ("source mix", mix),
+    ("packing", pack),
+]
+
+#: The fitted ensemble, the signatures and the tokenizer cannot be expressed in SQL;
+#: tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over ``documents``; every stage is written and read again."""
-    from gridpulse.llm._stage import stage
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))

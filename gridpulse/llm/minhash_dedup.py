@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.llm._stage import components, stage
+from gridpulse.llm._stats import free_name
 from gridpulse.llm._text import mix, slices, windows, words
 
 WORDS = 5
@@ -343,5 +344,28 @@ def _more_links(documents: DataFrame, placed: DataFrame, least: int) -> DataFram
     )
 
 
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that stay: one document of each group, rows without doc_id all.
+
+    Of rows that repeat a kept doc_id one stays.
+    """
+    found = near_duplicates(documents)
+    keep = stage(
+        found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")), "minhash"
+    )
+    name = free_name(documents, "kept_id")
+    ids = keep.where("n = 1").select(F.col("doc_id").alias(name))
+    same = F.col("doc_id").cast("long") == F.col(name)
+    out = documents.join(broadcast_if_small(ids), same, "left_semi")
+    parts = [out, documents.where("doc_id is null")]
+    repeated = keep.where("n > 1")
+    if not repeated.isEmpty():
+        again = documents.join(broadcast_if_small(repeated.select(F.col("doc_id").alias(name))), same, "left_semi")
+        parts.append(again.dropDuplicates(["doc_id"]))
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0]
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

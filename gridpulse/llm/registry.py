@@ -15,14 +15,18 @@ from gridpulse.llm import (
     quality_classifier,
     quality_rules,
     toxicity,
+    url_filter,
+    warc_archive,
 )
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_hnsw_dedup": embedding_dedup.op3_hnsw_dedup,
         "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
+        "op5_warc_archive": warc_archive.op5_warc_archive,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_toxicity_grammar": toxicity.op7_toxicity_grammar,
         "op8_retrieval_packing": packing.op8_retrieval_packing,
@@ -32,4 +36,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op5_warc_archive": warc_archive.ORACLE_SQL}
