@@ -66,3 +66,9 @@ def lookup(mapping: dict, key: Column) -> Column:
     for k, v in pairs:
         chain = chain.when(key == k, F.lit(v))
     return chain
+
+
+def whole_number(column: str) -> Column:
+    """Text as an int: any spelling of a whole number (``7``, ``7.0``); else NULL."""
+    number = F.expr(f"try_cast({column} as double)")
+    return F.when(number == F.floor(number), F.expr(f"try_cast(try_cast({column} as double) as int)"))

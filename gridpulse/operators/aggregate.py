@@ -11,11 +11,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridpulse.functions.activity import add_totals, maybe_round, share
 from gridpulse.functions.checks import require_columns
 from gridpulse.functions.times import add_time_features, hour_index, hours, literal
-from gridpulse.schemas import ACTIVITY, GRID_MAX, GRID_MIN, HOURLY_COLUMNS, MEASURES
+from gridpulse.schemas import ACTIVITY, GRID_RANGE, HOURLY_COLUMNS, MEASURES
 
 
 def grid_hour(clean: DataFrame, decimals: int | None = None) -> DataFrame:
@@ -174,10 +175,17 @@ def grid_history(
         df = df.filter(F.hour("timestamp") == hour)
     if date is None and hour is None:
         df = df.filter(F.col("timestamp") >= cutoff - hours(23))
-    return df.select("timestamp", *MEASURES).orderBy("timestamp")
+    repeats = F.count("*").over(Window.partitionBy("timestamp")) > 1
+    unique = F.assert_true(~repeats, "several rows for one stamp of the cell")
+    return (
+        df.select("timestamp", *MEASURES).withColumn("_unique", unique)
+        .filter(F.col("_unique").isNull()).drop("_unique").orderBy("timestamp")
+    )
 
 
-def grid_exists(requested: DataFrame, dim_grid: DataFrame) -> DataFrame:
+def grid_exists(
+    requested: DataFrame, dim_grid: DataFrame, grids: tuple[int, int] = GRID_RANGE
+) -> DataFrame:
     """Requested ids that are in range and in the dimension."""
-    in_range = requested.filter(F.col("grid_id").between(GRID_MIN, GRID_MAX))
+    in_range = requested.filter(F.col("grid_id").between(*grids))
     return in_range.join(dim_grid.select("grid_id"), "grid_id", "left_semi")

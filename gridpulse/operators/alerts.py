@@ -34,15 +34,11 @@ def activity_floor(
 ) -> DataFrame:
     """One row: the percentile of the per-cell totals over the whole period.
 
-    The totals are at most one per valid cell id (10,000), so the exact
-    percentile's buffer is bounded; a wider ``bucket`` goes through the
-    segmented ranks.
+    Totals are counted per segment first, so no buffer holds all cells.
     """
     totals = hourly.groupBy(*bucket).agg(
         maybe_round(F.sum("total_activity"), decimals).alias("total")
     )
-    if tuple(bucket) == ("grid_id",):
-        return totals.agg(F.percentile("total", probability).alias("activity_floor"))
     return exact_percentiles(totals, [], "total", {"activity_floor": probability}).select(
         "activity_floor"
     )

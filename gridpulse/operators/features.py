@@ -18,8 +18,7 @@ from gridpulse.functions.times import from_hour_index, hour_index, hours, litera
 from gridpulse.schemas import (
     FEATURES,
     FEATURE_COLUMNS,
-    GRID_MAX,
-    GRID_MIN,
+    GRID_RANGE,
     HISTORY_HOURS,
     RECENT_HOURS,
     TARGET_THRESHOLD,
@@ -159,11 +158,14 @@ def split_cutoff(
 def chronological_split(
     df: DataFrame, ratio: float = TRAIN_RATIO, column: str = "feature_timestamp"
 ) -> DataFrame:
-    """Adds ``split``: "train" before the cutoff stamp, "test" from it on."""
+    """Adds ``split``: "train" before the cutoff stamp, "test" from it on.
+
+    Fewer than two distinct stamps raise: one of the sides would be empty.
+    """
     cutoff = split_cutoff(df, ratio, column).scalar()
-    return df.withColumn(
-        "split", F.when(F.col(column) < cutoff, F.lit("train")).otherwise(F.lit("test"))
-    )
+    side = F.when(F.col(column) < cutoff, F.lit("train")).when(F.col(column) >= cutoff, F.lit("test"))
+    missing = F.raise_error("a chronological split needs two distinct stamps").cast("string")
+    return df.withColumn("split", F.coalesce(side, F.when(cutoff.isNull(), missing)))
 
 
 def latest_features(features: DataFrame) -> DataFrame:
@@ -176,10 +178,13 @@ def latest_features(features: DataFrame) -> DataFrame:
 
 
 def grid_features_at(
-    features: DataFrame, grid_id: int, at: datetime | None = None
+    features: DataFrame,
+    grid_id: int,
+    at: datetime | None = None,
+    grids: tuple[int, int] = GRID_RANGE,
 ) -> DataFrame:
     """Feature row of one cell at a stamp (default: its newest), with quality and freshness."""
-    if not GRID_MIN <= grid_id <= GRID_MAX:
+    if not grids[0] <= grid_id <= grids[1]:
         return feature_status(features.limit(0))
     rows = feature_status(features.filter(F.col("grid_id") == grid_id))
     if at is not None:

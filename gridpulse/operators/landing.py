@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridpulse.functions.activity import whole_number
 from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.schemas import AUDIT_SCHEMA, FILE_NAME_PATTERN, RAW_ACTIVITY, RAW_COLUMNS
 
@@ -14,6 +15,7 @@ from gridpulse.schemas import AUDIT_SCHEMA, FILE_NAME_PATTERN, RAW_ACTIVITY, RAW
 ACCEPTED_REASON = "File validated and routed to raw."
 SKIPPED_REASON = "File with the same filename already exists in raw."
 EMPTY_REASON = "File contains zero data rows."
+UNREADABLE_REASON = "Unable to read CSV: lines with too many fields: "
 
 
 def named_like_contract(files: DataFrame, column: str = "file_name") -> DataFrame:
@@ -28,10 +30,10 @@ def _rules() -> list[tuple[str, Column, str]]:
     """(counter, predicate, reason prefix), in the order in which they decide."""
     rules = [
         ("bad_datetime", _unparsable("datetime", "timestamp_ntz"), "Invalid datetime values: "),
-        ("bad_cell", _unparsable("CellID", "double"), "Invalid or missing CellID values: "),
+        ("bad_cell", whole_number("CellID").isNull(), "Invalid or missing CellID values: "),
         (
             "bad_country",
-            _unparsable("countrycode", "double"),
+            whole_number("countrycode").isNull(),
             "Invalid or missing countrycode values: ",
         ),
     ]
@@ -57,8 +59,11 @@ def file_quality(rows: DataFrame) -> DataFrame:
     Counters combine map-side, so a file holding most of the rows sends one
     partial row per task to its reducer.
     """
+    if "surplus_fields" not in rows.columns:
+        rows = rows.withColumn("surplus_fields", F.lit(0))
     return rows.groupBy("file_name").agg(
         F.count("*").alias("row_count"),
+        F.count_if(F.col("surplus_fields") > 0).alias("too_wide"),
         *[F.count_if(predicate).alias(name) for name, predicate, _ in _rules()],
     )
 
@@ -72,7 +77,11 @@ def landing_verdict(
     without rows; ``accepted`` (filename) marks repeated deliveries SKIPPED.
     """
     verdict = file_quality(rows)
-    reason = F.when(F.coalesce("row_count", F.lit(0)) == 0, F.lit(EMPTY_REASON))
+    wide = F.coalesce(F.col("too_wide") > 0, F.lit(False))
+    unreadable = F.concat(F.lit(UNREADABLE_REASON), F.col("too_wide").cast("string"))
+    reason = F.when(wide, unreadable).when(
+        F.coalesce("row_count", F.lit(0)) == 0, F.lit(EMPTY_REASON)
+    )
     if headers is not None:
         verdict = headers.join(verdict, "file_name", "left")
         expected = F.array(*[F.lit(c) for c in RAW_COLUMNS])
@@ -82,8 +91,10 @@ def landing_verdict(
             F.lit("Missing required columns: ["), F.array_join(quoted, ", "), F.lit("]")
         )
         schema_failed = F.size(missing) > 0
-        reason = F.when(schema_failed, text).when(
-            F.coalesce("row_count", F.lit(0)) == 0, F.lit(EMPTY_REASON)
+        reason = (
+            F.when(schema_failed, text)
+            .when(wide, unreadable)
+            .when(F.coalesce("row_count", F.lit(0)) == 0, F.lit(EMPTY_REASON))
         )
         verdict = verdict.withColumn(
             "row_count", F.when(schema_failed, F.lit(0)).otherwise(F.col("row_count"))
@@ -98,7 +109,7 @@ def landing_verdict(
     verdict = verdict.withColumn("failure", reason)
     status = F.when(F.col("failure").isNotNull(), "REJECTED").otherwise("ACCEPTED")
     text = F.coalesce("failure", F.lit(ACCEPTED_REASON))
-    count = F.coalesce("row_count", F.lit(0)).cast("long")
+    count = F.when(wide, F.lit(0)).otherwise(F.coalesce("row_count", F.lit(0))).cast("long")
     if accepted is not None:
         known = accepted.select(F.col("filename").alias("file_name")).distinct()
         verdict = verdict.join(known.withColumn("seen", F.lit(True)), "file_name", "left")
@@ -143,4 +154,4 @@ def accepted_rows(rows: DataFrame, verdict: DataFrame) -> DataFrame:
     names = verdict.filter(F.col("status") == "ACCEPTED").select(
         F.col("filename").alias("file_name")
     )
-    return rows.join(broadcast_if_small(names), "file_name", "left_semi")
+    return rows.drop("surplus_fields").join(broadcast_if_small(names), "file_name", "left_semi")

@@ -6,33 +6,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_PARTITIONS, MAX_PARTITIONS = 8, 32
 
 
-def date_partitions(distinct_dates: int) -> int:
-    """Partition count for a date layout, kept within fixed bounds."""
-    return max(MIN_PARTITIONS, min(MAX_PARTITIONS, distinct_dates))
+def by_date(df: DataFrame) -> DataFrame:
+    """Layout by date: heavy days are split over as many tasks as their bytes need."""
+    return df.hint("rebalance", F.col("date"))
 
 
-def by_date(df: DataFrame, partitions: int | None = None, spread: int = 1) -> DataFrame:
-    """Hash layout by date.
-
-    ``spread`` splits each day over that many partitions by cell, for days too
-    heavy for one task; without ``partitions`` the shuffle width is left to
-    adaptive execution.
-    """
-    keys = [F.col("date")]
-    if spread > 1:
-        keys.append(F.pmod(F.xxhash64("grid_id"), F.lit(spread)))
-    return df.repartition(*keys) if partitions is None else df.repartition(partitions, *keys)
-
-
-def sample_rows(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Seeded sample without replacement."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, seed: int, key: Column) -> DataFrame:
+    """Seeded sample without replacement, by a digest of ``key``: the same rows in any partitioning."""
+    bound = f"{min(int(fraction * 16**8), 16**8 - 1):08x}" if fraction < 1 else "g"
+    return df.filter(F.md5(F.concat_ws("|", F.lit(str(seed)), key)) < bound)
 
 
 @contextmanager

@@ -11,12 +11,19 @@ from pyspark.sql.window import Window
 
 from gridpulse.functions import times
 from gridpulse.functions.checks import check_rows, zero
-from gridpulse.schemas import ACTIVITY, ALERT_SEVERITY, FEATURES, GRID_MAX, GRID_MIN, MEASURES
+from gridpulse.schemas import (
+    ACTIVITY,
+    ALERT_SEVERITY,
+    EXPECTED_GRIDS,
+    FEATURES,
+    GRID_RANGE,
+    MEASURES,
+)
 
 
-def out_of_grid(column: str = "grid_id") -> Column:
+def out_of_grid(grids: tuple[int, int] = GRID_RANGE, column: str = "grid_id") -> Column:
     c = F.col(column)
-    return c.isNull() | (c < GRID_MIN) | (c > GRID_MAX)
+    return c.isNull() | (c < grids[0]) | (c > grids[1])
 
 
 # --- cadence ---------------------------------------------------------------
@@ -120,7 +127,12 @@ def raw_grain_checks(df: DataFrame) -> DataFrame:
     )
 
 
-def grain_checks(clean: DataFrame, hourly: DataFrame) -> DataFrame:
+def grain_checks(
+    clean: DataFrame,
+    hourly: DataFrame,
+    grids: tuple[int, int] = GRID_RANGE,
+    expected_grids: int = EXPECTED_GRIDS,
+) -> DataFrame:
     """Acceptance of the hourly table against the clean rows.
 
     One grouping of the hourly rows by their key serves the duplicate, range
@@ -132,11 +144,11 @@ def grain_checks(clean: DataFrame, hourly: DataFrame) -> DataFrame:
         keys.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count_if(F.col("n") > 1).alias("dups"),
-            F.count_if(out_of_grid()).alias("bad_grid"),
+            F.count_if(out_of_grid(grids)).alias("bad_grid"),
             F.count_distinct(F.to_date("timestamp")).alias("days"),
         )
         .withColumn("clean_rows", clean_rows)
-        .withColumn("ceiling", F.col("days") * 24 * GRID_MAX)
+        .withColumn("ceiling", F.col("days") * 24 * expected_grids)
     )
     has_country = int("country_code" in hourly.columns)
     return check_rows(
@@ -151,7 +163,9 @@ def grain_checks(clean: DataFrame, hourly: DataFrame) -> DataFrame:
     )
 
 
-def ingest_acceptance(df: DataFrame, expected_files: int | None = None) -> DataFrame:
+def ingest_acceptance(
+    df: DataFrame, expected_files: int | None = None, grids: tuple[int, int] = GRID_RANGE
+) -> DataFrame:
     """Ingestion acceptance; ``source_file`` must be present.
 
     Grid-hours are counted from a grouping that also carries the row counts, so
@@ -165,7 +179,7 @@ def ingest_acceptance(df: DataFrame, expected_files: int | None = None) -> DataF
     stats = cells.agg(
         F.sum("n").alias("rows"),
         F.sum("no_file").alias("no_file"),
-        F.sum(F.when(out_of_grid(), F.col("n")).otherwise(0)).alias("bad_grid"),
+        F.sum(F.when(out_of_grid(grids), F.col("n")).otherwise(0)).alias("bad_grid"),
         F.count_distinct("source_file").alias("files"),
         F.count_distinct("timestamp").alias("stamps"),
         F.count_distinct(hours).alias("grid_hours"),
@@ -291,7 +305,7 @@ def roundtrip_checks(written: DataFrame, source: DataFrame, keys: list[str]) ->
 # --- inputs of the alert, anomaly and model operators -----------------------
 
 
-def alert_input_checks(hourly: DataFrame) -> DataFrame:
+def alert_input_checks(hourly: DataFrame, grids: tuple[int, int] = GRID_RANGE) -> DataFrame:
     """Grid-hour input of the alert and anomaly operators."""
     total = F.col("total_activity")
     keys = hourly.groupBy("timestamp", "grid_id").agg(
@@ -304,7 +318,7 @@ def alert_input_checks(hourly: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("timestamp").isNull(), n)), F.lit(0)).alias("bad_ts"),
         F.coalesce(F.sum(F.when(F.col("grid_id").isNull(), n)), F.lit(0)).alias("no_grid"),
         F.coalesce(
-            F.sum(F.when(F.col("grid_id").isNotNull() & out_of_grid(), n)), F.lit(0)
+            F.sum(F.when(F.col("grid_id").isNotNull() & out_of_grid(grids), n)), F.lit(0)
         ).alias("bad_grid"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("dups"),
         F.coalesce(F.sum("no_total"), F.lit(0)).alias("no_total"),
@@ -323,7 +337,9 @@ def alert_input_checks(hourly: DataFrame) -> DataFrame:
     )
 
 
-def alert_table_checks(alerts: DataFrame, dim_grid: DataFrame) -> DataFrame:
+def alert_table_checks(
+    alerts: DataFrame, dim_grid: DataFrame, grids: tuple[int, int] = GRID_RANGE
+) -> DataFrame:
     """Stored alerts: keys, known types, grids present in the dimension."""
     types = list(ALERT_SEVERITY)
     unknown = (
@@ -331,7 +347,7 @@ def alert_table_checks(alerts: DataFrame, dim_grid: DataFrame) -> DataFrame:
     )
     stats = alerts.agg(
         F.count_if(F.col("timestamp").isNull()).alias("bad_ts"),
-        F.count_if(out_of_grid()).alias("bad_grid"),
+        F.count_if(out_of_grid(grids)).alias("bad_grid"),
         F.count_if(~F.coalesce(F.col("alert_type").isin(types), F.lit(False))).alias("bad_type"),
     ).withColumn("unknown", unknown.agg(F.count("*").alias("n")).scalar())
     return check_rows(

@@ -9,6 +9,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridpulse.functions.checks import unfold
 from gridpulse.functions.times import hour_index, shift_zone
@@ -37,14 +38,23 @@ def prediction_label(prediction: Column) -> Column:
     return F.when(prediction == 1, "HIGH").when(prediction == 0, "NOT_HIGH")
 
 
+def _once(df: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """``df``, raising at run time if a key repeats; the window shares the join's exchange."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    unique = F.assert_true(place == 1, f"several {what} for one grid and hour")
+    return df.withColumn("_place", unique).filter(F.col("_place").isNull()).drop("_place")
+
+
 def combine_risk(
     scored: DataFrame, anomalies: DataFrame, model_version: str = MODEL_VERSION
 ) -> DataFrame:
     """Risk rows (grid_id, feature_timestamp, risk_score) with their anomaly result.
 
-    Left join on unique keys. ``anomaly_present`` tells a missing anomaly row
-    from one whose score is NULL because its baseline is 0.
+    Left join one to one: a key that stands twice on either side raises.
+    ``anomaly_present`` tells a missing anomaly row from one whose score is
+    NULL because its baseline is 0.
     """
+    keys = ["grid_id", "timestamp"]
     right = anomalies.select(
         "grid_id",
         "timestamp",
@@ -61,7 +71,8 @@ def combine_risk(
         risk_level(F.col("risk_score")).alias("risk_level"),
         F.lit(model_version).alias("model_version"),
     )
-    joined = left.join(right, ["grid_id", "timestamp"], "left")
+    left, right = _once(left, keys, "risk rows"), _once(right, keys, "anomaly rows")
+    joined = left.join(right, keys, "left")
     return joined.withColumn(
         "anomaly_present", F.coalesce("anomaly_present", F.lit(False))
     ).select(*RISK_COLUMNS, "anomaly_present")

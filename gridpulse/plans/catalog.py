@@ -42,7 +42,7 @@ from gridpulse.schemas import (
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.sources import grid, sinks
 from gridpulse.session import shared_dir
-from gridpulse.sources.activity import events_as_activity
+from gridpulse.sources.activity import events_as_activity, stream_table
 from gridpulse.streaming import hotspots as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 LABEL_THRESHOLD = 100.0
 FEATURE_THRESHOLDS = [1.0, 2.0, 4.0, 8.0, 12.0, 16.0]
 FEATURE_BANDS = [0.0, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0, 15.0, 20.0]
+# Cells of the event table are user ids + 1: any positive id is valid, 0 is the injected bad one.
+CELLS = (1, 2**31 - 1)
+BAD_CELL = 0
 AS_OF = datetime(2024, 1, 20, 12)
 DAY = date(2024, 1, 15)
 
@@ -106,7 +109,7 @@ def defective(spark: SparkSession, sf: str) -> DataFrame:
         {
             "timestamp": F.when(every(101, 0), None).otherwise(F.col("timestamp")),
             "grid_id": F.when(every(89, 3), None)
-            .when(every(83, 5), 10_001)
+            .when(every(83, 5), BAD_CELL)
             .otherwise(F.col("grid_id"))
             .cast("int"),
             "sms_in": F.when(every(97, 7), -1.0).otherwise(F.col("sms_in")),
@@ -143,26 +146,31 @@ def raw_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_activity(activity(spark, sf))
+    return cleaning.clean_activity(activity(spark, sf), CELLS)
 
 
 def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.grid_hour(clean(spark, sf), decimals=2)
 
 
+def cell_count(spark: SparkSession, sf: str) -> int:
+    """Largest cell id of the events; one aggregate over one column."""
+    return events(spark, sf).agg(F.max("user_id") + 1).first()[0] or 0
+
+
 def cell_reference(spark: SparkSession, sf: str) -> DataFrame:
     """Cell geometry for the ids of the supplier table (fewer cells than the activity has)."""
     ids = spark.read.parquet(f"{sf}/supplier.parquet").select(
         (F.col("s_suppkey") + 1).cast("int").alias("grid_id")
     )
-    inside = ids.filter(F.col("grid_id").between(1, 10_000)).distinct()
+    inside = ids.filter(F.col("grid_id").between(*CELLS)).distinct()
     return inside.withColumn("geometry", grid.square_cell(F.col("grid_id")))
 
 
 def all_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Cell geometry for every cell of the activity."""
     ids = events(spark, sf).select((F.col("user_id") + 1).cast("int").alias("grid_id"))
-    inside = ids.filter(F.col("grid_id").between(1, 10_000)).distinct()
+    inside = ids.filter(F.col("grid_id").between(*CELLS)).distinct()
     return inside.withColumn("geometry", grid.square_cell(F.col("grid_id")))
 
 
@@ -173,7 +181,7 @@ def star(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    valid = cleaning.valid_rows(activity(spark, sf))
+    valid = cleaning.valid_rows(activity(spark, sf), CELLS)
     return warehouse.dim_time(valid), warehouse.dim_grid(all_cells(spark, sf))
 
 
@@ -257,22 +265,22 @@ def _(spark, sf):
 
 @query("quarantine")
 def _(spark, sf):
-    return cleaning.rejected_rows(defective(spark, sf))
+    return cleaning.rejected_rows(defective(spark, sf), CELLS)
 
 
 @query("clean_activity")
 def _(spark, sf):
-    return cleaning.clean_activity(defective(spark, sf))
+    return cleaning.clean_activity(defective(spark, sf), CELLS)
 
 
 @query("cleaning_counts")
 def _(spark, sf):
-    return cleaning.cleaning_counts(defective(spark, sf))
+    return cleaning.cleaning_counts(defective(spark, sf), CELLS)
 
 
 @query("null_policy")
 def _(spark, sf):
-    return cleaning.nulls_handled(cleaning.valid_rows(defective(spark, sf)))
+    return cleaning.nulls_handled(cleaning.valid_rows(defective(spark, sf), CELLS))
 
 
 @query("null_profile")
@@ -283,12 +291,12 @@ def _(spark, sf):
 @query("reconcile")
 def _(spark, sf):
     rows = defective(spark, sf)
-    return cleaning.reconcile(rows, cleaning.clean_activity(rows))
+    return cleaning.reconcile(rows, cleaning.clean_activity(rows, CELLS), CELLS)
 
 
 @query("fail_fast_checks")
 def _(spark, sf):
-    return cleaning.fail_fast_checks(defective(spark, sf))
+    return cleaning.fail_fast_checks(defective(spark, sf), CELLS)
 
 
 @query("landing_verdict")
@@ -359,7 +367,7 @@ def _(spark, sf):
 
 @query("grain_checks")
 def _(spark, sf):
-    return quality.grain_checks(clean(spark, sf), hourly(spark, sf))
+    return quality.grain_checks(clean(spark, sf), hourly(spark, sf), CELLS, cell_count(spark, sf))
 
 
 def with_source_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,7 +379,7 @@ def with_source_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ingest_acceptance")
 def _(spark, sf):
-    return quality.ingest_acceptance(with_source_file(spark, sf))
+    return quality.ingest_acceptance(with_source_file(spark, sf), grids=CELLS)
 
 
 @query("file_report")
@@ -391,19 +399,19 @@ def _(spark, sf):
 
 @query("alert_input_checks")
 def _(spark, sf):
-    return quality.alert_input_checks(hourly(spark, sf))
+    return quality.alert_input_checks(hourly(spark, sf), CELLS)
 
 
 @query("alert_table_checks")
 def _(spark, sf):
-    return quality.alert_table_checks(alert_rows(spark, sf), cell_reference(spark, sf))
+    return quality.alert_table_checks(alert_rows(spark, sf), cell_reference(spark, sf), CELLS)
 
 
 @query("parity", decimals=4)
 def _(spark, sf):
     names = {v: k for k, v in RAW_TO_CANONICAL.items()}
     text = activity(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in names])
-    other = cleaning.clean_or_raise(cleaning.cast_columns(text))
+    other = cleaning.clean_or_raise(cleaning.cast_columns(text), CELLS)
     return quality.parity(clean(spark, sf), other)
 
 
@@ -604,7 +612,7 @@ def _(spark, sf):
 @query("grid_exists")
 def _(spark, sf):
     requested = events(spark, sf).select((F.col("user_id") + 1).cast("int").alias("grid_id"))
-    return aggregate.grid_exists(requested.distinct(), cell_reference(spark, sf))
+    return aggregate.grid_exists(requested.distinct(), cell_reference(spark, sf), CELLS)
 
 
 @query("hourly_trend")
@@ -742,8 +750,8 @@ def _(spark, sf):
 @query("grid_features_at", decimals=9)
 def _(spark, sf):
     rows = feature_rows(spark, sf)
-    return features.grid_features_at(rows, 7).unionByName(
-        features.grid_features_at(rows, 7, AS_OF)
+    return features.grid_features_at(rows, 7, grids=CELLS).unionByName(
+        features.grid_features_at(rows, 7, AS_OF, CELLS)
     )
 
 
@@ -905,12 +913,8 @@ def _(spark, sf):
 def _(spark, sf):
     """The event table read as a stream; hours closed by the watermark are judged."""
     baseline = settle(live.static_baseline(hourly(spark, sf)), 4)
-    raw = (
-        spark.readStream.schema(events(spark, sf).schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
-    totals = live.hourly_stream(events_as_activity(raw), decimals=2)
+    raw = stream_table(spark, f"{sf}/events.parquet", events(spark, sf).schema)
+    totals = live.hourly_stream(events_as_activity(raw), decimals=2, grids=CELLS)
     found = live.hotspot_alerts(totals, sinks.stage_table(baseline, "baseline"))
     folder = f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}"
     live.start(found, f"{folder}/alerts", f"{folder}/checkpoint", once=True).awaitTermination()
@@ -922,7 +926,9 @@ def _(spark, sf):
 
 @query("sampled_rows")
 def _(spark, sf):
-    sample = layout.sample_rows(clean(spark, sf), 0.1, 42)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH")
+    key = F.concat_ws("|", "grid_id", stamp, "country_code")
+    sample = layout.sample_rows(clean(spark, sf), 0.1, 42, key)
     return sample.agg(F.count("*").alias("rows"), F.sum("total_activity").alias("total_activity"))
 
 

@@ -28,7 +28,7 @@ _TIME = """CAST("timestamp" AS DATE) AS date, CAST(hour("timestamp") AS INTEGER)
 
 _REASON = """CASE WHEN "timestamp" IS NULL THEN 'missing_timestamp'
     WHEN grid_id IS NULL THEN 'missing_grid_id'
-    WHEN grid_id < 1 OR grid_id > 10000 THEN 'invalid_grid_id'
+    WHEN grid_id < 1 THEN 'invalid_grid_id'
     WHEN coalesce(sms_in < 0, false) OR coalesce(sms_out < 0, false)
       OR coalesce(call_in < 0, false) OR coalesce(call_out < 0, false)
       OR coalesce(internet_activity < 0, false) THEN 'negative_activity' END"""
@@ -57,7 +57,7 @@ _CTES: list[tuple[str, str]] = [
         "defective",
         f"""SELECT event_id,
     CASE WHEN event_id % 101 <> 0 THEN "timestamp" END AS "timestamp",
-    CASE WHEN event_id % 89 = 3 THEN NULL WHEN event_id % 83 = 5 THEN 10001
+    CASE WHEN event_id % 89 = 3 THEN NULL WHEN event_id % 83 = 5 THEN 0
       ELSE grid_id END AS grid_id,
     country_code, CASE WHEN event_id % 97 = 7 THEN -1.0 ELSE sms_in END AS sms_in,
     sms_out, call_in, call_out, internet_activity
@@ -118,7 +118,7 @@ _CTES: list[tuple[str, str]] = [
     FROM (SELECT grid_id, 9.0::DOUBLE + ((grid_id - 1) % 100) * 0.002::DOUBLE AS w,
         45.0::DOUBLE + ((grid_id - 1) // 100) * 0.002::DOUBLE AS s
       FROM (SELECT DISTINCT CAST(s_suppkey + 1 AS INTEGER) AS grid_id FROM supplier
-        WHERE s_suppkey + 1 BETWEEN 1 AND 10000))""",
+        WHERE s_suppkey + 1 >= 1))""",
     ),
     (
         "all_cells",
@@ -513,8 +513,8 @@ _add(
     "grain_checks",
     _checks(
         """SELECT (SELECT count(*) FROM hourly) AS r, (SELECT count(*) FROM clean) AS c,
-    (SELECT count(DISTINCT date) FROM hourly) * 24 * 10000 AS ceiling,
-    (SELECT count(*) FROM hourly WHERE grid_id NOT BETWEEN 1 AND 10000) AS bad""",
+    (SELECT count(DISTINCT date) FROM hourly) * 24 * (SELECT max(user_id) + 1 FROM events) AS ceiling,
+    (SELECT count(*) FROM hourly WHERE grid_id < 1) AS bad""",
         {
             "duplicate_grid_hours": ("0", "true"),
             "rows_reduced": ("r", "r < c"),
@@ -528,7 +528,7 @@ _add(
     "ingest_acceptance",
     _checks(
         """SELECT count(DISTINCT "timestamp") AS t, count(DISTINCT CAST("timestamp" AS DATE)) AS f,
-    count(*) FILTER (grid_id NOT BETWEEN 1 AND 10000) AS bad, count(*) AS r,
+    count(*) FILTER (grid_id < 1) AS bad, count(*) AS r,
     count(DISTINCT ("timestamp", grid_id)) AS g FROM activity""",
         {
             "distinct_timestamps": ("t", "t = f * 24"),
@@ -560,7 +560,7 @@ _add(
     "alert_input_checks",
     _checks(
         """SELECT count(*) FILTER ("timestamp" IS NULL) AS a, count(*) FILTER (grid_id IS NULL) AS b,
-    count(*) FILTER (grid_id NOT BETWEEN 1 AND 10000) AS c,
+    count(*) FILTER (grid_id < 1) AS c,
     count(*) - count(DISTINCT ("timestamp", grid_id)) AS d,
     count(*) FILTER (total_activity IS NULL) AS e, count(*) FILTER (total_activity < 0) AS f
     FROM hourly""",
@@ -578,7 +578,7 @@ _add(
     "alert_table_checks",
     _checks(
         """SELECT count(*) FILTER ("timestamp" IS NULL) AS a,
-    count(*) FILTER (grid_id NOT BETWEEN 1 AND 10000) AS b,
+    count(*) FILTER (grid_id < 1) AS b,
     count(*) FILTER (alert_type NOT IN ('HIGH_ACTIVITY', 'ACTIVITY_DROP', 'ACTIVITY_SPIKE')) AS c,
     count(DISTINCT grid_id) FILTER (grid_id NOT IN (SELECT grid_id FROM cells)) AS d
     FROM alert_rows""",
@@ -1185,6 +1185,13 @@ _add(
     f"SELECT date, {_sum_list(_MEASURES)} FROM clean GROUP BY date",
     _MEASURES,
 )
+_add(
+    "sampled_rows",
+    """SELECT count(*) AS rows, sum(total_activity) AS total_activity FROM clean
+WHERE md5('42|' || concat_ws('|', grid_id, strftime("timestamp", '%Y-%m-%d %H'), country_code))
+  < '19999999'""",
+    ["total_activity"],
+)
 
 
 def statements() -> dict[str, str]:

@@ -24,8 +24,8 @@ MEASURES = ACTIVITY + TOTALS
 FILE_NAME_PATTERN = r"^sms-call-internet-mi-\d{4}-\d{2}-\d{2}\.csv$"
 FILE_GLOB = "sms-call-internet-mi-*.csv"
 
-# Grid bounds.
-GRID_MIN, GRID_MAX = 1, 10_000
+# Valid cell ids of the reference grid; operators take other ranges as arguments.
+GRID_RANGE = (1, 10_000)
 EXPECTED_GRIDS = 10_000
 
 # Thresholds.

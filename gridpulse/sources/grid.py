@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.checks import check_rows, require, zero
-from gridpulse.schemas import EXPECTED_GRIDS, GRID_MAX, GRID_MIN
+from gridpulse.schemas import EXPECTED_GRIDS, GRID_RANGE
 
 _COLLECTION = (
     "struct<type:string,features:array<struct<properties:struct<cellId:string>,geometry:string>>>"
@@ -43,7 +43,9 @@ def grid_lookup(features: DataFrame) -> DataFrame:
     )
 
 
-def reference_checks(features: DataFrame, expected: int = EXPECTED_GRIDS) -> DataFrame:
+def reference_checks(
+    features: DataFrame, expected: int = EXPECTED_GRIDS, grids: tuple[int, int] = GRID_RANGE
+) -> DataFrame:
     """Validation of the reference as check rows, from one aggregate."""
     grid = F.expr("try_cast(cell_id as int)")
     stats = features.agg(
@@ -53,7 +55,7 @@ def reference_checks(features: DataFrame, expected: int = EXPECTED_GRIDS) -> Dat
         F.count("*").alias("features"),
         F.count_if(F.col("cell_id").isNull()).alias("missing_id"),
         F.count_if(F.col("cell_id").isNotNull() & grid.isNull()).alias("invalid_id"),
-        F.count_if((grid < GRID_MIN) | (grid > GRID_MAX)).alias("out_of_range"),
+        F.count_if((grid < grids[0]) | (grid > grids[1])).alias("out_of_range"),
         F.count_distinct(grid).alias("distinct_ids"),
     )
     return check_rows(

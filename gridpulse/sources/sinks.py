@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.functions.sizing import measured_size
 from gridpulse.schemas import INSERT_BATCH
 from gridpulse.session import shared_dir
 
@@ -55,12 +54,6 @@ def write_csv(df: DataFrame, path: str, timestamp_format: str = "yyyy-MM-dd HH:m
     )
 
 
-def write_single_csv(df: DataFrame, path: str, max_bytes: int = 256 * 1024 * 1024) -> None:
-    """One CSV part for small reports; larger frames keep their parts."""
-    _, size = measured_size(df)
-    write_csv(df.coalesce(1) if size <= max_bytes else df, path)
-
-
 def write_report(metrics: DataFrame, path: str) -> None:
     """Metrics rows as JSON lines."""
     metrics.write.mode("overwrite").json(path)

@@ -8,27 +8,33 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridpulse.functions.activity import add_totals, maybe_round, zero_nulls
 from gridpulse.functions.sizing import broadcast_if_small
+from gridpulse.functions.times import from_hour_index, hour_index
 from gridpulse.operators.cleaning import valid_rows
-from gridpulse.schemas import ACTIVITY, HIGH_RATIO
+from gridpulse.schemas import ACTIVITY, GRID_RANGE, HIGH_RATIO
 
 
 def hourly_stream(
-    stream: DataFrame, watermark: str = "2 hours", decimals: int | None = None
+    stream: DataFrame,
+    watermark: str = "2 hours",
+    decimals: int | None = None,
+    grids: tuple[int, int] = GRID_RANGE,
 ) -> DataFrame:
     """Grid-hour totals of an activity stream; late rows within the watermark count.
 
     State is one row per open (hour, cell), combined map-side before the state
-    store, so a hot cell does not gather its raw rows in one task.
+    store, so a hot cell does not gather its raw rows in one task. Event time
+    is counted in hours since 1970, so wall-clock hours do not pass through the
+    session's time zone and its daylight saving.
     """
-    rows = zero_nulls(valid_rows(stream)).withColumn(
-        "event_time", F.col("timestamp").cast("timestamp")
+    rows = zero_nulls(valid_rows(stream, grids)).withColumn(
+        "event_time", F.timestamp_seconds(hour_index(F.col("timestamp")) * 3600)
     )
     sums = (
         rows.withWatermark("event_time", watermark)
         .groupBy(F.window("event_time", "1 hour"), "grid_id")
         .agg(*[maybe_round(F.sum(c), decimals).alias(c) for c in ACTIVITY])
     )
-    hour = F.col("window.start").cast("timestamp_ntz").alias("timestamp")
+    hour = from_hour_index(F.floor(F.unix_seconds("window.start") / 3600)).alias("timestamp")
     return add_totals(sums, decimals).select(hour, "grid_id", *ACTIVITY, "total_activity")
 
 

@@ -107,6 +107,8 @@ def test_split_position(hours_frame, stamp, n, cut):
 def test_split_needs_two_stamps(hours_frame):
     df = hours_frame([(1, 0, 1)]).withColumnRenamed("timestamp", "feature_timestamp")
     assert features.split_cutoff(df).count() == 0
+    with pytest.raises(Exception, match="two distinct stamps"):
+        features.chronological_split(df).collect()
 
 
 def test_feature_lookup(hours_frame, stamp):
@@ -219,6 +221,9 @@ def test_risk_table_keeps_zero_baselines_and_refuses_missing(spark, stamp):
     assert [(r["risk_level"], r["anomaly_score"], r["is_anomaly"]) for r in rows] == [
         ("HIGH", None, 0), ("LOW", 1.0, 1),
     ]
+    for left, right in ((scored.union(scored), anomalies), (scored, anomalies.union(anomalies))):
+        with pytest.raises(Exception, match="for one grid and hour"):
+            signals.combine_risk(left, right).collect()
     missing = signals.combine_risk(scored, anomalies.filter("grid_id = 1"))
     with pytest.raises(Exception, match="without anomaly"):
         signals.risk_table(missing).collect()

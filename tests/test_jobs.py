@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from gridpulse.functions import geometry as geom
@@ -80,6 +81,37 @@ def test_typed_and_text_scans_agree(spark, tmp_path):
     assert all(r["passed"] for r in checks)
 
 
+def test_csv_columns_are_read_by_name(spark, tmp_path):
+    names = HEADER.split(",")
+    swapped = ",".join([*names[:3], names[4], names[3], *names[5:]])
+    folder = tmp_path / "swapped"
+    folder.mkdir()
+    day_file(folder, 1, ["2013-11-01 00:00:00,1,39,5,10,3,2,100"], header=swapped)
+    for read in (source.read_typed_csv, source.read_text_csv):
+        row = read(spark, str(folder)).first()
+        assert (float(row["smsin"]), float(row["smsout"])) == (10.0, 5.0)
+    short = tmp_path / "short"
+    short.mkdir()
+    day_file(short, 1, ["2013-11-01 00:00:00,1,39,5,10,3"], header=",".join(names[:6]))
+    with pytest.raises(ValueError, match="callout"):
+        source.read_text_csv(spark, str(short))
+    day_file(folder, 2, ["2013-11-02 00:00:00,1,39,10,5,3,2,100"])
+    with pytest.raises(Exception, match="header"):
+        source.read_text_csv(spark, str(folder)).collect()
+
+
+def test_wide_cell_ids_are_kept(spark, stamp):
+    rows = [(stamp(0), c, 39, 1.0, None, None, None, None) for c in (1, 10_001, 3_000_000)]
+    df = spark.createDataFrame(
+        rows,
+        "timestamp timestamp_ntz, grid_id int, country_code int, sms_in double, sms_out double, "
+        "call_in double, call_out double, internet_activity double",
+    )
+    assert cleaning.clean_activity(df).count() == 1
+    assert cleaning.clean_activity(df, (1, 2**31 - 1)).count() == 3
+    assert cleaning.rejected_rows(df, (1, 2**31 - 1)).isEmpty()
+
+
 def test_file_discovery(spark, raw_folder, tmp_path):
     files = source.require_files(spark, str(raw_folder))
     assert landing.named_like_contract(files).count() == 2
@@ -100,6 +132,10 @@ def test_landing_verdicts(spark, tmp_path):
     day_file(folder, 6, ["x,100,1,2013-11-01 00:00:00,39,1,2,3,4"],
              header="note,internet,CellID,datetime,countrycode,smsin,smsout,callin,callout")
     day_file(folder, 7, ["bad,zz,,x,1,1,1,1"])
+    day_file(folder, 8, [good, good + ",9"])
+    day_file(folder, 9, [good, HEADER, good])
+    day_file(folder, 10, [good + ",8"], header=HEADER + ",smsin")
+    day_file(folder, 11, [good.replace(",1,39,", ",1.0,39,")])
     (folder / "sms-call-internet-mi-latest.csv").write_text(HEADER + "\n" + good + "\n")
     rows, headers = source.read_landing(spark, str(folder))
     headers, rows = landing.named_like_contract(headers), landing.named_like_contract(rows)
@@ -116,7 +152,13 @@ def test_landing_verdicts(spark, tmp_path):
         "05": ("REJECTED", 0, "Missing required columns: ['callout', 'internet']"),
         "06": ("ACCEPTED", 1, ok),
         "07": ("REJECTED", 1, "Invalid datetime values: 1"),
+        "08": ("REJECTED", 0, "Unable to read CSV: lines with too many fields: 1"),
+        "09": ("REJECTED", 3, "Invalid datetime values: 1"),
+        "10": ("ACCEPTED", 1, ok),
+        "11": ("ACCEPTED", 1, ok),
     }
+    again = cleaning.cast_columns(source.to_canonical(rows.drop("surplus_fields")))
+    assert again.filter(F.col("file_name").endswith("11.csv")).first()["grid_id"] == 1
     moved = rows.filter(F.col("file_name").endswith("06.csv")).first()
     assert (moved["internet"], moved["CellID"], moved["callout"]) == ("100", "1", "4")
 
@@ -337,7 +379,7 @@ def test_replace_table_can_read_its_target(spark, tmp_path):
 
 def test_csv_formats(spark, tmp_path, stamp):
     df = spark.createDataFrame([(stamp(1), 1.5)], "timestamp timestamp_ntz, v double")
-    sinks.write_single_csv(df, str(tmp_path / "c"))
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "c"))
     parts = list((tmp_path / "c").glob("part-*.csv"))
     assert len(parts) == 1
     assert parts[0].read_text() == "timestamp,v\n2024-01-01 01:00:00,1.5\n"
@@ -347,17 +389,20 @@ def test_layout(spark, hours_frame):
     df = hours_frame([(g, h, 1) for g in range(1, 40) for h in range(48)]).withColumn(
         "date", F.to_date("timestamp")
     )
-    assert [layout.date_partitions(n) for n in (1, 20, 500)] == [8, 20, 32]
-    assert layout.by_date(df, 8).rdd.getNumPartitions() == 8
-
-    def tasks_per_date(laid):
-        placed = laid.select("date", F.spark_partition_id().alias("pid")).distinct()
-        return [r["count"] for r in placed.groupBy("date").count().collect()]
-
-    assert tasks_per_date(layout.by_date(df, 8)) == [1, 1]
-    assert all(n > 1 for n in tasks_per_date(layout.by_date(df, 8, spread=4)))
-    a, b = layout.sample_rows(df, 0.1, 42).count(), layout.sample_rows(df, 0.1, 42).count()
-    assert a == b and 0 < a < df.count()
+    one_day = df.filter("date = '2024-01-01'").repartition(8)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        placed = layout.by_date(one_day).withColumn("pid", F.spark_partition_id())
+        parts = placed.groupBy("pid").agg(F.max("timestamp"), F.max("grid_id"), F.sum("total_activity"))
+        assert len(parts.collect()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    key = F.concat_ws("|", "grid_id", "timestamp")
+    a = layout.sample_rows(df, 0.1, 42, key)
+    b = layout.sample_rows(df.repartition(7), 0.1, 42, key)
+    assert 0.05 * df.count() < a.count() < 0.15 * df.count()
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert layout.sample_rows(df, 1.0, 42, key).count() == df.count()
     with layout.reused(df, ["grid_id"]) as kept:
         assert kept.columns == ["grid_id"] and kept.is_cached
     assert not kept.is_cached
@@ -401,6 +446,25 @@ def test_live_alerts_equal_batch(spark, tmp_path, stamp):
     assert got == [(1, stamp(3), 50.0)]
 
 
+def test_live_hotspots_on_file_and_folder(spark, tmp_path):
+    from gridpulse.plans import catalog
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    for name in ("supplier", "events"):
+        frame = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        frame.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = catalog.registered()["live_hotspots"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    single = run(spark, SMALL)
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Rome")
+        folder = run(spark, str(tmp_path))
+        assert events.count() > 0 and single.count() > 0
+        assert sorted(map(str, single.collect())) == sorted(map(str, folder.collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_static_baseline(hours_frame):
     df = hours_frame([(1, 3, 1), (1, 27, 5), (1, 51, 3)])
     assert live.static_baseline(df).first()["baseline_activity"] == 3.0

@@ -7,9 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from gridpulse.plans import catalog, oracle
 from tools.compare import TABLES, TYPE_NAMES, comparable
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.registered(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +21,11 @@ def duck():
     return con
 
 
-def test_only_fitted_and_sampled_results_lack_sql():
+def test_only_fitted_results_lack_sql():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     assert set(QUERIES) - set(SQL) == {
         "risk_model", "risk_model_metrics", "risk_ablation", "risk_scores", "risk_point",
-        "sampled_rows",
     }
 
 
