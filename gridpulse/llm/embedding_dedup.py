@@ -319,3 +319,22 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
 
 def op3_hnsw_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The definition: all pairs by cosine, components by reachability.
+ORACLE_SQL = f"""
+WITH RECURSIVE fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ways AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reached AS (
+  SELECT a AS vec_id, a AS node FROM ways UNION SELECT r.vec_id, w.b FROM reached r JOIN ways w ON w.a = r.node),
+groups AS (SELECT vec_id, min(node) AS component_id FROM reached GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM ways GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN groups USING (vec_id)
+"""

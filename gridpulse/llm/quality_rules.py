@@ -104,3 +104,42 @@ def kept_documents(documents: DataFrame) -> DataFrame:
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: The counts and verdicts from the definitions: words and windows unnested, moments of host rates as in ``host_rates``.
+ORACLE_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, source AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+windows AS (
+  SELECT k, i, words[i : i + 2] AS w FROM (SELECT k, words, unnest(range(1, len(words) - 1)) AS i FROM docs)),
+twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, w) AS n FROM windows) WHERE n > 1),
+covered AS (
+  SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY k),
+lines AS (
+  SELECT k, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '{_WORD}') GROUP BY k),
+counted AS (
+  SELECT k, doc_id, host, len(words) AS n_words, length(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (k) LEFT JOIN covered USING (k)),
+judged AS (
+  SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counted),
+hosts AS (
+  SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM judged WHERE host IS NOT NULL GROUP BY host),
+moments AS (
+  SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS hosts, sum(n * (f / n) * (f / n)) AS squares, sum(n * n) AS nn FROM hosts),
+between_hosts AS (
+  SELECT n, m, CASE WHEN n - nn / n > 0 THEN (squares - n * m * m - hosts * m * (1 - m) + m * (1 - m)) / (n - nn / n) ELSE 0 END AS b
+  FROM moments),
+prior AS (
+  SELECT m, least(greatest(CASE WHEN b > 0 THEN m * (1 - m) / b - 1 ELSE n END, 1.0), n) AS w FROM between_hosts),
+gone AS (SELECT host FROM hosts, prior WHERE (f + m * w) / (hosts.n + w) > {HOST_RATE})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (host IS NULL OR host NOT IN (SELECT host FROM gone)) AS kept
+FROM judged
+"""

@@ -85,7 +85,7 @@ def grammar() -> tuple[Transducer, ...]:
     )
 
 
-FACTORS = {"aimed": 1.25, "denied": 0.1, "reported": 0.35}
+FACTORS = {"aimed": 1.25, "denied": 0.1, "reported": 0.2}
 
 
 class Composed:
