@@ -28,8 +28,9 @@ SLOTS = BANDS * ROWS
 #: Candidates whose signatures agree in a smaller share of slots than this are not
 #: compared again: more than four deviations (0.041) below the least similarity of a link.
 LEAST_AGREEMENT = 0.58
-#: Members of one bucket compared in one task; larger buckets are split by further bands, then into blocks.
-BUCKET = 1024
+#: Members of a block; a task compares one pair of blocks of a bucket. Buckets of more than MOST_BLOCKS
+#: are split by a second band first, which costs up to BANDS rows per member.
+BUCKET, MOST_BLOCKS = 1024, 16
 
 
 def shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
@@ -291,20 +292,22 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
 def _shared_buckets(placed: DataFrame) -> DataFrame:
     """(rep, bucket, band, second, side) of the buckets that hold several components.
 
-    Buckets of more than BUCKET members are split by a second band each;
-    what is still larger is compared block by block, each pair of blocks
-    being a group of its own, so that no task holds an unbounded group. A
+    Buckets of more than BUCKET members are compared block by block, each
+    pair of blocks being a group of its own, so that no task holds an
+    unbounded group; those of more than MOST_BLOCKS blocks are split by a
+    second band each before. A
     group stands for the pairs whose first common band is ``band`` and that
     share none other before ``second``.
     """
     member = placed.select("rep", "component", F.posexplode("bands").alias("band", "bucket"))
     state = [F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]
-    open_ = stage(member.groupBy("bucket").agg(*state).where("low <> high").select("bucket", "n"), "minhash")
-    small = member.join(open_.where(f"n <= {BUCKET}"), "bucket").select(
-        "rep", "bucket", "band", F.col("band").alias("second"), F.lit(1).alias("blocks")
+    blocks = F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")
+    open_ = stage(member.groupBy("bucket").agg(*state).where("low <> high").select("bucket", blocks), "minhash")
+    small = member.join(open_.where(f"blocks <= {MOST_BLOCKS}"), "bucket").select(
+        "rep", "bucket", "band", F.col("band").alias("second"), "blocks"
     )
     large = stage(
-        member.join(open_.where(f"n > {BUCKET}"), "bucket").select("rep", "component", "band", "bucket")
+        member.join(open_.where(f"blocks > {MOST_BLOCKS}"), "bucket").select("rep", "component", "band", "bucket")
         .join(placed.select("rep", "bands"), "rep")
         .select("rep", "component", "band", "bucket", F.posexplode("bands").alias("second", "key"))
         .where("second > band")
@@ -313,7 +316,7 @@ def _shared_buckets(placed: DataFrame) -> DataFrame:
     )
     still = stage(
         large.groupBy("bucket").agg(*state).where("low <> high")
-        .select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")),
+        .select("bucket", blocks),
         "minhash",
     )
     rows = small.unionByName(large.join(still, "bucket").select("rep", "bucket", "band", "second", "blocks"))

@@ -74,8 +74,10 @@ def test_edited_copies_and_shared_passages(spark):
     check_documents(spark, rows)
 
 
-def test_buckets_beyond_the_bound_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("most", [2, 100])
+def test_buckets_beyond_the_bound_are_split(spark, monkeypatch, most):
     monkeypatch.setattr(minhash_dedup, "BUCKET", 8)
+    monkeypatch.setattr(minhash_dedup, "MOST_BLOCKS", most)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(150)]
     rows = []
