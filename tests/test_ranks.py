@@ -89,3 +89,11 @@ def test_ranking_metrics_match_brute_force(spark, levels):
 def test_ranking_metrics_one_class(spark):
     got = ranks.ranking_metrics(spark.createDataFrame([(0.5, 0)], "s double, y int"), "s", "y")
     assert got.first()["roc_auc"] is None
+
+
+def test_close_scores_spread_over_cells(spark):
+    df = spark.range(200_000).select((0.01 + F.rand(7) * 0.02).alias("v"))
+    sizes = df.groupBy(ranks.cell(F.col("v"))).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[1] > 50_000 and sizes[0] < 40
+    out = ranks.exact_percentiles(df, [], "v", {"p50": 0.5}).first()
+    assert out["n"] == 200_000 and abs(out["p50"] - 0.02) < 0.001
