@@ -153,6 +153,11 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.grid_hour(clean(spark, sf), decimals=2)
 
 
+def stored_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly table, written once, for queries that read it several times."""
+    return sinks.stage_table(hourly(spark, sf), "hourly")
+
+
 def cell_count(spark: SparkSession, sf: str) -> int:
     """Largest cell id of the events; one aggregate over one column."""
     return events(spark, sf).agg(F.max("user_id") + 1).first()[0] or 0
@@ -180,6 +185,10 @@ def star(spark: SparkSession, sf: str) -> DataFrame:
     return warehouse.star(warehouse.fact(hours, times_dim, grids_dim), times_dim, grids_dim)
 
 
+def stored_star(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.stage_table(star(spark, sf), "star")
+
+
 def dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     valid = cleaning.valid_rows(activity(spark, sf), CELLS)
     return warehouse.dim_time(valid), warehouse.dim_grid(all_cells(spark, sf))
@@ -191,24 +200,24 @@ def stored_dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return sinks.stage_table(time_dim, "dim_time"), sinks.stage_table(grid_dim, "dim_grid")
 
 
-def alert_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts.alerts(hourly(spark, sf), decimals=4)
+def alert_rows(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    return alerts.alerts(hourly(spark, sf) if hours is None else hours, decimals=4)
 
 
-def anomaly_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return anomaly.anomaly_scores(hourly(spark, sf), decimals=4)
+def anomaly_rows(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    return anomaly.anomaly_scores(hourly(spark, sf) if hours is None else hours, decimals=4)
 
 
-def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return features.fill_hours(hourly(spark, sf))
+def filled(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    return features.fill_hours(hourly(spark, sf) if hours is None else hours)
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
     return settle(features.grid_features(filled(spark, sf)), 9)
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return settle(features.grid_features(filled(spark, sf), LABEL_THRESHOLD), 9)
+def labelled(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    return settle(features.grid_features(filled(spark, sf, hours), LABEL_THRESHOLD), 9)
 
 
 def rule_score(avg: Column) -> Column:
@@ -216,17 +225,24 @@ def rule_score(avg: Column) -> Column:
     return F.round(1.0 / (1.0 + F.exp(-(avg - 8.0) / 2.0)), 6)
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    rows = features.chronological_split(labelled(spark, sf))
+def split(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    """Labelled rows with their side; written before the cutoff is taken from them."""
+    stored = sinks.stage_table(labelled(spark, sf, hours), "labelled")
+    return features.chronological_split(stored)
+
+
+def scored(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    rows = split(spark, sf, hours)
     return rows.withColumn("risk_score", rule_score(F.col("avg_activity")))
 
 
-def model_test(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).filter("split = 'test'")
+def model_test(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
+    return scored(spark, sf, hours).filter("split = 'test'")
 
 
 def comparison(spark: SparkSession, sf: str) -> DataFrame:
-    test = model_test(spark, sf).select(
+    hours = stored_hourly(spark, sf)
+    test = model_test(spark, sf, hours).select(
         "grid_id",
         F.col("feature_timestamp").alias("timestamp"),
         "next_hour_activity",
@@ -234,18 +250,19 @@ def comparison(spark: SparkSession, sf: str) -> DataFrame:
         F.col("risk_score").alias("ml3_probability"),
         (F.col("risk_score") >= 0.5).alias("ml3_positive"),
     )
-    return signals.three_way(test, alert_rows(spark, sf), anomaly_rows(spark, sf))
+    return signals.three_way(test, alert_rows(spark, sf, hours), anomaly_rows(spark, sf, hours))
 
 
 def alert_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    test = model_test(spark, sf).select(
+    hours = stored_hourly(spark, sf)
+    test = model_test(spark, sf, hours).select(
         "grid_id",
         "feature_timestamp",
         (F.col("risk_score") >= 0.5).cast("int").alias("ml3_prediction"),
         F.col("risk_score").alias("ml3_probability"),
         "high_activity_target",
     )
-    return signals.alert_vs_model(test, alert_rows(spark, sf))
+    return signals.alert_vs_model(test, alert_rows(spark, sf, hours))
 
 
 # --- cleaning and quality ----------------------------------------------------
@@ -531,7 +548,7 @@ def _(spark, sf):
 
 @query("geo_acceptance")
 def _(spark, sf):
-    hours, cells = hourly(spark, sf), cell_reference(spark, sf)
+    hours, cells = stored_hourly(spark, sf), cell_reference(spark, sf)
     return geo.acceptance(hours, geo.enrich(hours, cells), cells)
 
 
@@ -587,20 +604,20 @@ def _(spark, sf):
 
 @query("star_checks")
 def _(spark, sf):
-    hours, (t, g) = hourly(spark, sf), stored_dims(spark, sf)
+    hours, (t, g) = stored_hourly(spark, sf), stored_dims(spark, sf)
     facts = sinks.stage_table(warehouse.fact(hours, t, g), "fact")
     return warehouse.star_checks(hours, facts, t, g)
 
 
 @query("network_summary")
 def _(spark, sf):
-    facts = star(spark, sf)
+    facts = stored_star(spark, sf)
     return aggregate.network_summary(facts).unionByName(aggregate.network_summary(facts, AS_OF))
 
 
 @query("grid_history")
 def _(spark, sf):
-    s = star(spark, sf)
+    s = stored_star(spark, sf)
     parts = [
         aggregate.grid_history(s, 8).withColumn("request", F.lit("last 24 hours")),
         aggregate.grid_history(s, 8, date=DAY).withColumn("request", F.lit("date")),
@@ -658,7 +675,8 @@ def _(spark, sf):
 
 @query("alert_summary")
 def _(spark, sf):
-    return alerts.alert_summary(alert_rows(spark, sf), hourly(spark, sf))
+    hours = stored_hourly(spark, sf)
+    return alerts.alert_summary(alert_rows(spark, sf, hours), hours)
 
 
 @query("alert_top_grids")
@@ -770,7 +788,7 @@ def _(spark, sf):
 
 @query("chrono_split")
 def _(spark, sf):
-    return model.describe_split(features.chronological_split(labelled(spark, sf)))
+    return model.describe_split(split(spark, sf))
 
 
 @query("feature_means")
@@ -860,15 +878,16 @@ def _(spark, sf):
 
 @query("risk_rows_rule_score", decimals=9)
 def _(spark, sf):
-    anomalies = anomaly.anomaly_scores(filled(spark, sf), decimals=4)
-    return signals.risk_table(signals.combine_risk(scored(spark, sf), anomalies))
+    hours = stored_hourly(spark, sf)
+    anomalies = anomaly.anomaly_scores(filled(spark, sf, hours), decimals=4)
+    return signals.risk_table(signals.combine_risk(scored(spark, sf, hours), anomalies))
 
 
 # --- fitted model -------------------------------------------------------------------
 
 
 def fitted(spark: SparkSession, sf: str):
-    rows = features.chronological_split(labelled(spark, sf))
+    rows = split(spark, sf)
     table = sinks.stage_table(rows, "labelled")
     return model.train(table.filter("split = 'train'")), table
 
@@ -888,7 +907,7 @@ def _(spark, sf):
 
 @query("risk_ablation")
 def _(spark, sf):
-    rows = features.chronological_split(labelled(spark, sf))
+    rows = split(spark, sf)
     table = sinks.stage_table(rows, "labelled")
     return model.ablation(table.filter("split = 'train'"), table.filter("split = 'test'"))
 
