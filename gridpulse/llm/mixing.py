@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.llm._stage import stage
+from gridpulse.llm._stats import free_name
 from gridpulse.llm._text import slices, spans
 
 WEIGHTS = (3, 1, 2)
@@ -215,20 +217,29 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     listed = (
         passes.join(placed.where("size > 0").select("source_no", "begin", "doc_id", "row_hash", "size"), ["source_no", "begin"])
-        .groupBy("doc_id", "row_hash")
+        .groupBy(F.col("doc_id").alias("listed_id"), F.col("row_hash").alias("listed_hash"))
         .agg(F.collect_list(F.struct("slot", "epoch", "words", "size")).alias("passes"))
     )
     columns = documents.columns
-    hashed = documents.withColumn("row_hash", _row_hash(documents)).withColumn("key", F.col("doc_id").cast("long"))
-    single = hashed.groupBy("key", "row_hash").agg(*[F.first(c).alias(c) for c in columns if c != "row_hash"])
-    joined = single.withColumnRenamed("row_hash", "hash").join(
-        listed.withColumnRenamed("doc_id", "listed_id"),
-        F.col("key").eqNullSafe(F.col("listed_id")) & (F.col("hash") == F.col("row_hash")),
+    names = [free_name(documents, n) for n in ("mix_key", "mix_hash", "mix_pass")]
+    key, known, taken = names
+    hashed = documents.withColumns({key: F.col("doc_id").cast("long"), known: _row_hash(documents)})
+    same = F.col(key).eqNullSafe(F.col("listed_id")) & (F.col(known) == F.col("listed_hash"))
+    repeats = stage(
+        placed.where("size > 0").groupBy(F.col("doc_id").alias("listed_id"), F.col("row_hash").alias("listed_hash"))
+        .agg(F.count("*").alias("n")).where("n > 1").drop("n"),
+        "mixing",
     )
+    if not repeats.isEmpty():  # of equal rows one is kept, which gives the passes of all
+        again = broadcast_if_small(repeats)
+        one = hashed.join(again, same, "left_semi").dropDuplicates([key, known])
+        hashed = hashed.join(again, same, "left_anti").unionByName(one)
+    joined = hashed.join(listed.hint("shuffle_hash"), same).withColumn(taken, F.explode("passes"))
     upto = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("pass.words") < F.col("pass.size"), F.array_join(F.slice(upto, 1, F.col("pass.words").cast("int")), "")).otherwise(F.col("text"))
+    part = F.array_join(F.slice(upto, 1, F.col(f"{taken}.words").cast("int")), "")
+    text = F.when(F.col(f"{taken}.words") < F.col(f"{taken}.size"), part).otherwise(F.col("text"))
     return (
-        joined.withColumn("pass", F.explode("passes")).sortWithinPartitions("pass.slot")
+        joined.sortWithinPartitions(f"{taken}.slot")
         .select(*[text.alias("text") if c == "text" else F.col(c) for c in columns])
     )
 

@@ -33,7 +33,7 @@ QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: A term in more than this share of a shard's documents is in no query.
 COMMON = 0.25
-SLICE = 1 << 23
+SLICE = 1 << 21
 
 
 @cache

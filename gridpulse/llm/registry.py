@@ -20,6 +20,8 @@ from gridpulse.llm import (
     warc_archive,
 )
 
+from gridpulse.llm._stage import small_batches
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -37,7 +39,7 @@ QUERIES: dict[str, Query] = {
 
 
 def importable(query: Query) -> Query:
-    """``query`` with this code on the path of a local session's Python workers.
+    """``query`` with small Arrow batches, and this code on the path of a local session's workers.
 
     On a cluster the package comes with ``--py-files``.
     """
@@ -48,6 +50,7 @@ def importable(query: Query) -> Query:
         held = variables.get("PYTHONPATH", "")
         if spark.sparkContext.master.startswith("local[") and root not in held.split(":"):
             variables["PYTHONPATH"] = f"{root}:{held}" if held else root
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run
