@@ -34,6 +34,7 @@ from gridpulse.operators import (
     warehouse,
 )
 from gridpulse.schemas import (
+    ACTIVITY,
     CANONICAL_COLUMNS,
     HOURLY_COLUMNS,
     MEASURES,
@@ -42,7 +43,14 @@ from gridpulse.schemas import (
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.sources import grid, sinks
 from gridpulse.session import shared_dir
-from gridpulse.sources.activity import events_as_activity, stream_table
+from gridpulse.sources.activity import (
+    events_as_activity,
+    read_table,
+    read_text_csv,
+    read_typed_csv,
+    stream_table,
+    to_canonical,
+)
 from gridpulse.streaming import hotspots as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -940,6 +948,77 @@ def _(spark, sf):
     return spark.read.schema(found.schema).parquet(f"{folder}/alerts")
 
 
+# --- files ----------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}"
+
+
+def csv_folder(spark: SparkSession, sf: str) -> str:
+    """The activity as raw CSV files with the columns in another order than the contract's."""
+    path = scratch(spark)
+    raw = activity(spark, sf).withColumnsRenamed({v: k for k, v in RAW_TO_CANONICAL.items()})
+    sinks.write_csv(raw.select(*reversed(raw.columns)), path)
+    return path
+
+
+@query("csv_typed_scan")
+def _(spark, sf):
+    rows = read_typed_csv(spark, csv_folder(spark, sf), "*.csv")
+    return to_canonical(rows).select(*CANONICAL_COLUMNS)
+
+
+@query("csv_text_scan")
+def _(spark, sf):
+    rows = to_canonical(read_text_csv(spark, csv_folder(spark, sf)))
+    named = F.count_if(F.col("input_file_name").endswith(".csv"))
+    counts = cleaning.cast_columns(rows).groupBy("grid_id")
+    return counts.agg(named.alias("rows_with_file"), *[F.sum(c).alias(c) for c in ACTIVITY])
+
+
+@query("parquet_round_trip")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_parquet(hourly(spark, sf), path)
+    return read_table(spark, path).select(*HOURLY_COLUMNS)
+
+
+@query("date_partitions_round_trip")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.write_by_date(clean(spark, sf), path)
+    sinks.write_by_date(clean(spark, sf).filter(F.col("date") == F.lit(DAY)), path)
+    return read_table(spark, path).groupBy("date").agg(*[F.sum(c).alias(c) for c in MEASURES])
+
+
+@query("report_round_trip")
+def _(spark, sf):
+    path = scratch(spark)
+    stats = aggregate.summary_stats(hourly(spark, sf))
+    sinks.write_report(stats, path)
+    return spark.read.schema(stats.schema).json(path)
+
+
+@query("audit_log")
+def _(spark, sf):
+    path = scratch(spark)
+    verdict = sinks.stage_table(landing.landing_verdict(raw_text(spark, sf)), "verdict")
+    for _ in range(2):
+        sinks.append_audit(landing.audit_records(verdict), path)
+    return read_table(spark, path).groupBy("filename", "status", "reason").agg(
+        F.count("*").alias("records"), F.sum("row_count").alias("row_count")
+    )
+
+
+@query("table_refresh")
+def _(spark, sf):
+    path = scratch(spark)
+    sinks.replace_table(aggregate.daily_summary(hourly(spark, sf)), path)
+    sinks.replace_table(aggregate.daily_traffic(hourly(spark, sf)), path)
+    return read_table(spark, path)
+
+
 # --- layout -------------------------------------------------------------------------
 
 

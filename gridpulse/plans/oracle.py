@@ -1192,6 +1192,21 @@ WHERE md5('42|' || concat_ws('|', grid_id, strftime("timestamp", '%Y-%m-%d %H'),
   < '19999999'""",
     ["total_activity"],
 )
+_add("csv_typed_scan", *_BODIES["canonical_activity"])
+_add(
+    "csv_text_scan",
+    f"SELECT grid_id, count(*) AS rows_with_file, {_sum_list(_MEASURES5)} FROM activity GROUP BY 1",
+    _MEASURES5,
+)
+_add("parquet_round_trip", *_BODIES["grid_hour"])
+_add("date_partitions_round_trip", *_BODIES["by_date_layout"])
+_add("report_round_trip", *_BODIES["summary_stats"])
+_add(
+    "audit_log",
+    f"""SELECT filename, status, reason, CAST(2 AS BIGINT) AS records,
+  CAST(2 * row_count AS HUGEINT)::BIGINT AS row_count FROM ({_BODIES["landing_verdict"][0]})""",
+)
+_add("table_refresh", *_BODIES["daily_traffic"])
 
 
 def statements() -> dict[str, str]:
