@@ -165,10 +165,19 @@ def network_summary(fact: DataFrame, as_of: datetime | None = None) -> DataFrame
 
 
 def grid_history(
-    fact: DataFrame, grid_id: int, date=None, hour: int | None = None, as_of=None
+    fact: DataFrame,
+    grid_id: int,
+    date=None,
+    hour: int | None = None,
+    as_of=None,
+    times: DataFrame | None = None,
 ) -> DataFrame:
-    """Hourly measures of one cell: the last 24 stamps, or a given date and/or hour."""
-    cutoff = effective_as_of(fact, as_of)
+    """Hourly measures of one cell: the last 24 stamps, or a given date and/or hour.
+
+    The newest stamp comes from the time dimension ``times`` where it is given.
+    A stamp that stands twice raises.
+    """
+    cutoff = effective_as_of(fact if times is None else times, as_of)
     df = fact.filter((F.col("grid_id") == grid_id) & (F.col("timestamp") <= cutoff))
     if date is not None:
         df = df.filter(F.to_date("timestamp") == F.lit(date).cast("date"))

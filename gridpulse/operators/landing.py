@@ -133,6 +133,19 @@ def new_files(files: DataFrame, audit: DataFrame) -> DataFrame:
     return files.join(accepted, "file_name", "left_anti")
 
 
+def skipped_files(files: DataFrame, audit: DataFrame) -> DataFrame:
+    """Verdict rows of the files whose name was accepted before; they are not opened."""
+    accepted = audit.filter(F.col("status") == "ACCEPTED").select(
+        F.col("filename").alias("file_name")
+    )
+    return files.join(accepted, "file_name", "left_semi").select(
+        F.col("file_name").alias("filename"),
+        F.lit("SKIPPED").alias("status"),
+        F.lit(0).cast("long").alias("row_count"),
+        F.lit(SKIPPED_REASON).alias("reason"),
+    )
+
+
 def landing_summary(verdict: DataFrame) -> DataFrame:
     status = F.col("status")
     return verdict.agg(

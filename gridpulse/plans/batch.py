@@ -131,12 +131,19 @@ def reconciliation_failures(counters: dict[str, int]) -> list[str]:
 
 def ingest_stage(spark: SparkSession, landing_path: str, raw_path: str, audit_path: str) -> dict:
     """Landing gate: verdict per new file, audit records, accepted rows to the raw zone."""
-    rows, headers = source.read_landing(spark, landing_path)
-    headers = landing.named_like_contract(headers)
-    rows = landing.named_like_contract(rows)
+    files = landing.named_like_contract(source.list_files(spark, landing_path))
     audit = _audit_or_empty(spark, audit_path)
-    accepted = audit.filter(F.col("status") == "ACCEPTED").select("filename")
-    verdict = sinks.stage_table(landing.landing_verdict(rows, headers, accepted), "verdict")
+    skipped = landing.skipped_files(files, audit)
+    # names decide before anything is read; the driver lists the folder's files anyway
+    new = [r["path"] for r in landing.new_files(files, audit).select("path").collect()]
+    if not new:
+        verdict = sinks.stage_table(skipped, "verdict")
+        sinks.append_audit(landing.audit_records(verdict), audit_path)
+        return landing.landing_summary(verdict).first().asDict()
+    rows, headers = source.read_landing(spark, new)
+    headers = sinks.stage_table(headers, "headers")
+    judged = landing.landing_verdict(rows, headers)
+    verdict = sinks.stage_table(judged.unionByName(skipped), "verdict")
     # Raw rows first, one folder per file, so a repeat after a failure replaces them.
     (
         landing.accepted_rows(rows, verdict)

@@ -625,10 +625,12 @@ def _(spark, sf):
 
 @query("grid_history")
 def _(spark, sf):
-    s = stored_star(spark, sf)
+    times, grids = stored_dims(spark, sf)
+    facts = warehouse.fact(hourly(spark, sf), times, grids)
+    s = sinks.stage_table(warehouse.star(facts, times, grids), "star")
     parts = [
-        aggregate.grid_history(s, 8).withColumn("request", F.lit("last 24 hours")),
-        aggregate.grid_history(s, 8, date=DAY).withColumn("request", F.lit("date")),
+        aggregate.grid_history(s, 8, times=times).withColumn("request", F.lit("last 24 hours")),
+        aggregate.grid_history(s, 8, date=DAY, times=times).withColumn("request", F.lit("date")),
         aggregate.grid_history(s, 8, hour=9, as_of=AS_OF).withColumn("request", F.lit("hour")),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -140,9 +140,9 @@ def parse_landing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_landing(
-    spark: SparkSession, path: str, glob: str = FILE_GLOB
+    spark: SparkSession, path: str | list[str], glob: str = FILE_GLOB
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows, headers)`` of every file in the landing folder."""
+    """``(rows, headers)`` of every file in the landing folder, or of the files given."""
     return parse_landing(landing_lines(spark.read.option("pathGlobFilter", glob).text(path)))
 
 

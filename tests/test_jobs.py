@@ -173,6 +173,8 @@ def test_ingest_stage_is_idempotent(spark, tmp_path):
         "detected": 2, "accepted": 1, "rejected": 1, "skipped": 0,
     }
     day_file(folder, 3, hours_of(3))
+    # an accepted file is known by its name and not opened again
+    (folder / "sms-call-internet-mi-2013-11-01.csv").write_bytes(b"\xff\xfe")
     assert batch.ingest_stage(*args) == {
         "detected": 3, "accepted": 1, "rejected": 1, "skipped": 1,
     }
