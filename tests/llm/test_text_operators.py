@@ -137,6 +137,18 @@ def test_toxicity_on_held_out_rows(spark, documents):
     assert np.mean(bad) > 0.9 and np.mean(fine) < 0.05
 
 
+def test_copies_of_a_toxic_text_teach_no_chance_words(spark):
+    plain = [(i, f"{'abcdefghij'[i % 10]}start{i} quiet words about weather {i} ending{i}", 0) for i in range(200)]
+    bad = [(1000 + i, f"bstart{i} some talk with grobbel in it ending{i}x", 1) for i in range(40)]
+    copies = [(2000 + i, "copied text with grobbel and chanceword inside it", 1) for i in range(60)]
+    rows = [(i * 12, t, y) for i, (_, t, y) in enumerate(plain + bad + copies) if not zlib.crc32(str(i * 12).encode()) % 4 == 2]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    probe = spark.createDataFrame([(1, "he is a grobbel"), (2, "a chanceword here")], "doc_id long, text string")
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.judged(probe, lexicon).collect()} == {1: 1, 2: 0}
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     empty = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.judged(odd, empty).collect()
