@@ -144,12 +144,13 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = table["bucket"].to_numpy()
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ids, comp, size, side, band, second = (
-            table[c].to_numpy() for c in ("rep", "component", "n_shingles", "side", "band", "second")
+        ids, comp, side, band, second = (
+            table[c].to_numpy() for c in ("rep", "component", "side", "band", "second")
         )
         sig = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         items = table["items"].combine_chunks()
+        size = items.value_lengths().to_numpy().astype(np.int64)
         flat, at = items.flatten().to_numpy(), np.append(0, np.cumsum(size))
         left, right = [], []
         for low, high in zip(edges, np.append(edges[1:], len(keys))):
@@ -225,8 +226,10 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
 
     Null or wordless texts have no shingles and are linked with nothing.
     Rows with a null doc_id are linked with nothing and kept (component_id
-    null). Rows that repeat a doc_id share its component. Columns other than
-    doc_id and text are not read. An empty table gives no rows.
+    null). Rows that repeat a doc_id share its component; if their texts
+    differ, all take part in the first step and one of them in the second.
+    Columns other than doc_id and text are not read. An empty table gives no
+    rows.
     """
     signed = stage(
         documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -295,9 +298,8 @@ def _shared_buckets(placed: DataFrame) -> DataFrame:
     Buckets of more than BUCKET members are compared block by block, each
     pair of blocks being a group of its own, so that no task holds an
     unbounded group; those of more than MOST_BLOCKS blocks are split by a
-    second band each before. A
-    group stands for the pairs whose first common band is ``band`` and that
-    share none other before ``second``.
+    second band each before. A group stands for the pairs whose first common
+    band is ``band`` and that share none other before ``second``.
     """
     member = placed.select("rep", "component", F.posexplode("bands").alias("band", "bucket"))
     state = [F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]

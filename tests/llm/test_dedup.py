@@ -94,6 +94,21 @@ def test_documents_against_brute_force(spark):
     check_documents(spark, rows)
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(30):
+        text = list(base)
+        for k in rng.choice(120, 4, replace=False):
+            text[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((d, " ".join(text)))
+    rows += [(3, "quite another text under the same id " * 3), (50, "quite another text under the same id " * 3)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == len(rows) and component[50] == component[3] == brute_documents(rows[:30])[3][1]
+
+
 def test_odd_documents(spark):
     long = " ".join(f"w{i}" for i in range(120_000))
     rows = [
