@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridpulse.functions.sizing import broadcast_if_small
@@ -28,8 +28,8 @@ SLOTS = BANDS * ROWS
 #: Candidates whose signatures agree in a smaller share of slots than this are not
 #: compared again: more than four deviations (0.041) below the least similarity of a link.
 LEAST_AGREEMENT = 0.58
-#: Members of a block; a task compares one pair of blocks of a bucket. Buckets of more than MOST_BLOCKS
-#: are split by a second band first, which costs up to BANDS rows per member.
+#: Members of a block; a task compares one pair of blocks of a bucket. In buckets of more than MOST_BLOCKS
+#: a component of more than BUCKET members has blocks of its own, which are not compared with each other.
 BUCKET, MOST_BLOCKS = 1024, 16
 
 
@@ -144,9 +144,7 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys = table["bucket"].to_numpy()
         edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ids, comp, side, band, second = (
-            table[c].to_numpy() for c in ("rep", "component", "side", "band", "second")
-        )
+        ids, comp, side, band = (table[c].to_numpy() for c in ("rep", "component", "side", "band"))
         sig = np.frombuffer(b"".join(table["slots"].to_pylist()), np.uint8).reshape(-1, SLOTS)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         items = table["items"].combine_chunks()
@@ -162,8 +160,7 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                 if not len(later):
                     continue
                 agree = (sig[later] == sig[x]).mean(axis=1)
-                same = bands[later, : second[x]] == bands[x, : second[x]]
-                same[:, band[x] : band[x] + 1] = False
+                same = bands[later, : band[x]] == bands[x, : band[x]]
                 later = later[(agree >= LEAST_AGREEMENT) & ~same.any(axis=1)]
                 own = np.sort(flat[at[x] : at[x + 1]])
                 for part in np.split(later, range(64, len(later), 64)):
@@ -293,41 +290,52 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
 
 
 def _shared_buckets(placed: DataFrame) -> DataFrame:
-    """(rep, bucket, band, second, side) of the buckets that hold several components.
+    """(rep, bucket, band, side) of the buckets that hold several components.
 
     Buckets of more than BUCKET members are compared block by block, each
     pair of blocks being a group of its own, so that no task holds an
-    unbounded group; those of more than MOST_BLOCKS blocks are split by a
-    second band each before. A group stands for the pairs whose first common
-    band is ``band`` and that share none other before ``second``.
+    unbounded group. All pairs of different components of a bucket meet,
+    whatever its size; the blocks of one large component are left unpaired.
     """
     member = placed.select("rep", "component", F.posexplode("bands").alias("band", "bucket"))
     state = [F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")]
     blocks = F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")
     open_ = stage(member.groupBy("bucket").agg(*state).where("low <> high").select("bucket", blocks), "minhash")
+    block = F.pmod(F.xxhash64("rep"), F.col("many")).cast("int") + F.col("first")
     small = member.join(open_.where(f"blocks <= {MOST_BLOCKS}"), "bucket").select(
-        "rep", "bucket", "band", F.col("band").alias("second"), "blocks"
+        "rep", "bucket", "band", F.lit(False).alias("own"), F.lit(0).alias("first"), F.col("blocks").alias("many"), "blocks"
     )
-    large = stage(
-        member.join(open_.where(f"blocks > {MOST_BLOCKS}"), "bucket").select("rep", "component", "band", "bucket")
-        .join(placed.select("rep", "bands"), "rep")
-        .select("rep", "component", "band", "bucket", F.posexplode("bands").alias("second", "key"))
-        .where("second > band")
-        .withColumn("bucket", F.xxhash64("bucket", "key")),
-        "minhash",
+    large = member.join(open_.where(f"blocks > {MOST_BLOCKS}").select("bucket"), "bucket")
+    large_components = (
+        large.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        .withColumn("own", F.col("n") > BUCKET)
+        .withColumn("owner", F.when(F.col("own"), F.col("component")))
     )
-    still = stage(
-        large.groupBy("bucket").agg(*state).where("low <> high")
-        .select("bucket", blocks),
+    large_components = stage(large_components, "minhash")
+    # one row per large component of a bucket and one for all others, far fewer than its members
+    of_bucket = Window.partitionBy("bucket")
+    owners = (
+        large_components.groupBy("bucket", "owner").agg(F.ceil(F.sum("n") / BUCKET).cast("int").alias("many"))
+        .withColumn("upto", F.sum("many").over(of_bucket.orderBy("owner").rowsBetween(Window.unboundedPreceding, 0)))
+        .select(
+            F.col("bucket").alias("in_bucket"), F.col("owner").alias("of_owner"), "many",
+            (F.col("upto") - F.col("many")).cast("int").alias("first"), F.sum("many").over(of_bucket).cast("int").alias("blocks"),
+        )
+    )
+    homes = stage(
+        large_components.join(owners, (F.col("bucket") == F.col("in_bucket")) & F.col("owner").eqNullSafe(F.col("of_owner")))
+        .select("bucket", "component", "own", "first", "many", "blocks"),
         "minhash",
     )
-    rows = small.unionByName(large.join(still, "bucket").select("rep", "bucket", "band", "second", "blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = small.unionByName(
+        large.join(homes, ["bucket", "component"]).select("rep", "bucket", "band", "own", "first", "many", "blocks")
+    )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return stage(
-        rows.select("rep", "bucket", "band", "second", block.alias("block"), other.alias("other"))
+        rows.select("rep", "bucket", "band", "own", "first", "many", block.alias("block"), other.alias("other"))
+        .where("not own or other < first or other >= first + many")
         .select(
-            "rep", "band", "second",
+            "rep", "band",
             F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"),
             # 2: a block against itself; else the pairs of different blocks only
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),

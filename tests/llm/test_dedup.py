@@ -89,6 +89,21 @@ def test_buckets_beyond_the_bound_are_split(spark, monkeypatch, most):
     check_documents(spark, rows)
 
 
+@pytest.mark.parametrize("joined", [(), range(12)])
+def test_large_buckets_compare_pairs_of_a_single_band(spark, monkeypatch, joined):
+    monkeypatch.setattr(minhash_dedup, "BUCKET", 3)
+    monkeypatch.setattr(minhash_dedup, "MOST_BLOCKS", 2)
+    texts = {d: " ".join(f"w{d // 2}x{k}" for k in range(40)) + f" end{d}" for d in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = [  # all share band 9 only; the documents in ``joined`` are one component already
+        (d, 36, bytes(minhash_dedup.SLOTS), [7 if k == 9 else 1000 * (d + 1) + k for k in range(minhash_dedup.BANDS)], 0 if d in joined else d)
+        for d in texts
+    ]
+    placed = spark.createDataFrame(rows, "rep long, n_shingles long, slots binary, bands array<long>, component long")
+    got = {tuple(sorted(r)) for r in minhash_dedup._more_links(docs, placed, 75).collect()}
+    assert got == {(d, d + 1) for d in range(0, 20, 2) if d not in joined}
+
+
 def test_documents_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     check_documents(spark, rows)
