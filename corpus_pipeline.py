@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in their sequences."""
     small_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, special=True)
 
 
 STAGES = [

@@ -26,6 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Rank file of the byte-level BPE; its ids are those of byte_bpe_50k.json.
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Strings that byte_bpe_50k.json reads as one id; they hold no white space, so no cut falls into one.
+SPECIAL = {"<|endoftext|>": 50256}
 #: A shard ends with the document that brings it to either bound.
 SHARD_DOCS, SHARD_TOKENS = 2048, 1 << 22
 #: Terms of a seed that form its query: those of greatest BM25 weight.
@@ -38,16 +40,16 @@ SLICE = 1 << 21
 
 @cache
 def _tokenizer(name: str):
-    """Encoder of that rank file and the byte length of every id; special strings are ordinary text."""
+    """Encoder of that rank file and the byte length of every id, SPECIAL included."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(name), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-    for token, rank in ranks.items():
+    sizes = np.zeros(max(*ranks.values(), *SPECIAL.values()) + 1, np.int64)
+    for token, rank in [*ranks.items(), *((t.encode(), k) for t, k in SPECIAL.items())]:
         sizes[rank] = len(token)
-    encoder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return encoder, sizes
 
 
@@ -75,9 +77,13 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
 
 
-def token_ids(data: np.ndarray, bounds: np.ndarray, name: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(
+    data: np.ndarray, bounds: np.ndarray, name: str = TOKENIZER, special: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows one after another, number by row); each distinct chunk is tokenized once.
 
+    SPECIAL strings are one id each if ``special``, else ordinary text.
+
     Chunks that begin with white space and end without it are tokenized in
     one string, since every border between them is a cut; the few others,
     at the ends of texts, one by one.
@@ -87,6 +93,8 @@ def token_ids(data: np.ndarray, bounds: np.ndarray, name: str = TOKENIZER) -> tu
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
     encoder, widths = _tokenizer(name)
+    allowed = set(SPECIAL) if special else set()
+    encode = lambda text: np.array(encoder.encode(text, allowed_special=allowed, disallowed_special=()), np.uint32)
     _, at, which = np.unique(span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
     first, last = starts[at], ends[at]
     edge = np.zeros(len(data) + 1, bool)
@@ -95,11 +103,11 @@ def token_ids(data: np.ndarray, bounds: np.ndarray, name: str = TOKENIZER) -> tu
     sizes = np.zeros(len(at), np.int64)
     size = (last - first)[plain]
     joined = data[_ragged(first[plain], size)].tobytes().decode("utf-8", "replace")
-    flat = [np.array(encoder.encode_ordinary(joined), np.uint32)]
+    flat = [encode(joined)]
     sizes[plain] = np.diff(np.append(-1, np.searchsorted(np.cumsum(widths[flat[0]]), np.cumsum(size))))
     rest = np.flatnonzero(~plain)
     for k in rest:
-        flat.append(np.array(encoder.encode_ordinary(data[first[k] : last[k]].tobytes().decode("utf-8", "replace")), np.uint32))
+        flat.append(encode(data[first[k] : last[k]].tobytes().decode("utf-8", "replace")))
     sizes[rest] = [len(x) for x in flat[1:]]
     offsets = np.empty(len(at), np.int64)
     offsets[plain] = np.cumsum(sizes[plain]) - sizes[plain]
@@ -190,7 +198,7 @@ def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[i
     return pieces
 
 
-def _pack(batches: Iterator[pa.RecordBatch], name: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], name: str, with_ids: bool, special: bool) -> Iterator[pa.RecordBatch]:
     sequence = TaskContext.get().partitionId() << 40
     docs: list = []
     ids: list[np.ndarray] = []
@@ -219,7 +227,7 @@ def _pack(batches: Iterator[pa.RecordBatch], name: str, with_ids: bool) -> Itera
     for batch in batches:
         keys = batch.column("doc_id").to_pylist()
         for first, end, data, bounds in slices(batch.column("text"), SLICE):
-            flat, counts = token_ids(data, bounds, name)
+            flat, counts = token_ids(data, bounds, name, special)
             hashes, sizes = words(data, bounds)
             a, b = np.cumsum(counts), np.cumsum(sizes)
             for k in range(end - first):
@@ -234,7 +242,7 @@ def _pack(batches: Iterator[pa.RecordBatch], name: str, with_ids: bool) -> Itera
         yield shard()
 
 
-def pack(documents: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = False, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A document's ids are those of its text followed by END_ID; a null or
@@ -245,12 +253,15 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, with_ids: bool = Fals
 
     All sequences hold 2048 ids except the last of each shard, whose ids are
     dealt to sequences of falling powers of two, so nothing is padded.
+
+    With ``special`` the ids are those of byte_bpe_50k.json as it stands, which
+    reads <|endoftext|> as one id; else such strings are ordinary text.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda it: _pack(it, tokenizer, with_ids), schema + (", ids array<int>" if with_ids else "")
+        lambda it: _pack(it, tokenizer, with_ids, special), schema + (", ids array<int>" if with_ids else "")
     )
 
 
 def op8_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), special=True)

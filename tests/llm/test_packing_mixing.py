@@ -70,6 +70,38 @@ def test_packing_of_odd_rows(spark, plain):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+@pytest.fixture(scope="module")
+def contract():
+    """Ids of the tokenizers file as it stands, which reads <|endoftext|> as one id."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda t: [*found.encode(t or "", add_special_tokens=False).ids, 1]
+
+
+def test_special_strings_are_one_id(spark, contract, tmp_path):
+    import corpus_pipeline
+
+    texts = {
+        1: "one <|endoftext|> two", 2: "<|endoftext|>", 3: "a  <|endoftext|>  b<|endoftext|><|endoftext|>c\n", 4: "<|endoftext| > x",
+        5: "é\u3000<|endoftext|>\u00a0s " * 300, 6: "nothing special", 7: None,
+    }
+    assert contract(texts[1])[:-1] == [505, 220, 50256, 734]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    check_pieces(packing.op8_retrieval_packing(spark, str(tmp_path)).collect(), texts, contract)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    check_pieces(corpus_pipeline.pack(spark, docs, str(tmp_path)).collect(), texts, contract)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "a", "'s", "é", "\u3000", ".1"])).map("".join), max_size=5))
+def test_chunks_do_not_change_special_ids(contract, texts):
+    for _, _, data, bounds in packing.slices(pa.array(texts, pa.string())):
+        ids, counts = packing.token_ids(data, bounds, special=True)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [contract(t)[:-1] for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab'sé\u00a0\u3000 \n\t.1\x85"), max_size=5))
 def test_chunks_do_not_change_ids(plain, texts):
