@@ -19,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridpulse.functions.sizing import broadcast_if_small
 from gridpulse.llm._letters import codes, letter_words, run_hashes
+from gridpulse.llm._stage import stage
 from gridpulse.llm._text import mix, slices
+from gridpulse.llm.minhash_dedup import near_duplicates
 
 #: Labelled rows that weights are learned from, those with the smallest hash of doc_id.
 MOST_LABELLED = 30_000
 #: Learned arcs, those of greatest significance.
 MOST_ARCS = 50_000
-#: Characters at the start and at the end of a text by which copies in the sample are told.
-START, END = 60, 400
 STEMS = (4, 5, 6)
 #: Share of toxic documents among those with a word, and with a stem, which speaks for many words.
 LEAST_POSTERIOR, LEAST_STEM_POSTERIOR = 0.87, 0.97
@@ -176,13 +177,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """(label, text) of one row, that of the smallest doc_id, of each label and group of near-duplicates.
+
+    Copies, edited ones too, would lend weight to chance words.
+    """
+    sample = stage(sample.select(F.monotonically_increasing_id().alias("row"), "doc_id", "label", "text"), "toxicity")
+    groups = near_duplicates(sample.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = (
+        sample.select("row", "label", F.struct("doc_id", F.xxhash64("text").alias("text"), "row").alias("rank")).join(groups, "row")
+        .groupBy("label", "component_id").agg(F.min("rank").alias("first")).select("first.row")
+    )
+    return sample.join(broadcast_if_small(stage(first, "toxicity")), "row", "left_semi").select("label", "text")
+
+
 def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon:
     """Arcs from at most ``most`` labelled rows that are not held out.
 
-    Of texts with a label that begin or end alike one is counted. A term is
-    an insult when a likelihood-ratio test at the level of one
-    false term among all of them finds its documents more toxic than the
-    rest, and enough of them are.
+    Of near-duplicate texts with a label one is counted, that of the
+    smallest doc_id; all counts are of these rows. A term is an insult when
+    a likelihood-ratio test at the level of one false term among all of them
+    finds its documents more toxic than the rest, and enough of them are.
     """
     known = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
@@ -190,16 +205,13 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    n, bad = total["n"], total["bad"]
     learned: dict[int, list[tuple[int, float]]] = {}
+    n = bad = 0
+    if 0 < total["bad"] < total["n"]:
+        sample = _without_copies(documents.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+        total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
+        n, bad = total["n"], total["bad"]
     if 0 < bad < n:
-        sample = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("label", "text")
-        # copies would lend weight to chance words: texts that begin or end alike count once
-        head, tail = F.lower(F.substring("text", 1, START)), F.lower(F.expr(f"right(text, {END})"))
-        sample = (
-            sample.withColumns({"head": F.xxhash64(head), "tail": F.xxhash64(tail)})
-            .dropDuplicates(["label", "head"]).dropDuplicates(["label", "tail"]).select("label", "text")
-        )
         terms = (
             sample.mapInArrow(_term_counts, "kind long, term long, toxic long, n long")
             .groupBy("kind", "term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("m")).where("m >= 3 and a >= 2")

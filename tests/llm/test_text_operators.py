@@ -149,6 +149,17 @@ def test_copies_of_a_toxic_text_teach_no_chance_words(spark):
     assert {r["doc_id"]: r["predicted"] for r in toxicity.judged(probe, lexicon).collect()} == {1: 1, 2: 0}
 
 
+def test_texts_with_a_common_header_or_footer_all_teach(spark):
+    header, footer = "this site uses cookies to make your visit better, please accept ", " all rights reserved" * 25
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    body = lambda i: f"talk{i} of grobbel number{i}" if i % 5 == 0 else f"quiet{i} words about weather{i}"
+    docs = spark.createDataFrame([(i, header + body(i) + footer) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in ids], "doc_id long, toxic int")
+    probe = spark.createDataFrame([(1, "he is a grobbel"), (2, "the weather here")], "doc_id long, text string")
+    got = toxicity.judged(probe, toxicity.learn(docs, labels)).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {1: 1, 2: 0}
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     empty = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     out = toxicity.judged(odd, empty).collect()
