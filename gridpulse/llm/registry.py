@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridpulse.llm import (
     embedding_dedup,
     language_id,
+    line_dedup,
     minhash_dedup,
     mixing,
     packing,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op8_retrieval_packing": packing.op8_retrieval_packing,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_rule_ensemble": quality_classifier.op10_rule_ensemble,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
 
@@ -67,4 +69,5 @@ def statements() -> dict[str, str]:
         "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
         "op5_warc_archive": warc_archive.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op12_line_dedup": line_dedup.ORACLE_SQL,
     }
