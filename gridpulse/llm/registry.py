@@ -19,6 +19,7 @@ from gridpulse.llm import (
     toxicity,
     url_filter,
     warc_archive,
+    whitening,
 )
 
 from gridpulse.llm._stage import small_batches
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "op8_retrieval_packing": packing.op8_retrieval_packing,
     "op9_source_mixing": mixing.op9_source_mixing,
     "op10_rule_ensemble": quality_classifier.op10_rule_ensemble,
+    "op11_whitening": whitening.op11_whitening,
     "op12_line_dedup": line_dedup.op12_line_dedup,
 }
 
