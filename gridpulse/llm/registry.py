@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from gridpulse.llm import (
+    conversation_repair,
     embedding_dedup,
     language_id,
     line_dedup,
@@ -39,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op10_rule_ensemble": quality_classifier.op10_rule_ensemble,
     "op11_whitening": whitening.op11_whitening,
     "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 
@@ -72,4 +74,5 @@ def statements() -> dict[str, str]:
         "op5_warc_archive": warc_archive.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op12_line_dedup": line_dedup.ORACLE_SQL,
+        "op13_conversation_repair": conversation_repair.ORACLE_SQL,
     }
