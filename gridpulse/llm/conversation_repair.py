@@ -502,8 +502,8 @@ damaged AS (
     unnest(CASE WHEN harm = 3 THEN [1, 2] ELSE [1] END) AS copy
   FROM harmed WHERE harm <> 0),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, left(role, 1) AS initial FROM damaged),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, left(role, 1) AS initial FROM damaged),
 rows AS (
   SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
     CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
