@@ -10,10 +10,11 @@ from pyspark.sql.window import Window
 
 from gridpulse.functions.activity import lookup, maybe_round, number_text
 from gridpulse.functions.checks import require_columns
-from gridpulse.functions.times import hour_index, hours
+from gridpulse.functions.times import hour_index, hours, literal
 from gridpulse.operators.aggregate import effective_as_of
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.operators.ranks import exact_percentiles
+from gridpulse.sources.sinks import stage_table
 from gridpulse.schemas import (
     ALERT_COLUMNS,
     ALERT_SEVERITY,
@@ -34,10 +35,10 @@ def activity_floor(
 ) -> DataFrame:
     """One row: the percentile of the per-cell totals over the whole period.
 
-    Totals are counted per segment first, so no buffer holds all cells.
+    The totals, one row a cell, are stored: the hourly rows are read once.
     """
-    totals = hourly.groupBy(*bucket).agg(
-        maybe_round(F.sum("total_activity"), decimals).alias("total")
+    totals = stage_table(
+        hourly.groupBy(*bucket).agg(maybe_round(F.sum("total_activity"), decimals).alias("total")), "totals"
     )
     return exact_percentiles(totals, [], "total", {"activity_floor": probability}).select(
         "activity_floor"
@@ -174,17 +175,25 @@ def severity_rank(level: Column) -> Column:
     return F.coalesce(lookup(SEVERITY_RANK, level), F.lit(0))
 
 
+def _upto(df: DataFrame, as_of: datetime | None) -> DataFrame:
+    """Rows up to a given cutoff; the newest stamp as cutoff excludes none that has a stamp."""
+    stamp = F.col("timestamp")
+    return df.filter(stamp.isNotNull() if as_of is None else stamp <= literal(as_of))
+
+
 def alert_feed(
     alert_rows: DataFrame,
     limit: int,
     level: str | None = None,
     as_of: datetime | None = None,
 ) -> DataFrame:
-    """Newest alerts first, then severity, cell, type."""
+    """Newest alerts first, then severity, cell, type.
+
+    Without ``as_of`` the newest alert is the cutoff and ``alert_rows`` is read
+    twice: pass a stored table then.
+    """
     cutoff = effective_as_of(alert_rows, as_of)
-    df = alert_rows.filter(F.col("timestamp") <= cutoff).withColumn(
-        "severity", severity(F.col("alert_type"))
-    )
+    df = _upto(alert_rows, as_of).withColumn("severity", severity(F.col("alert_type")))
     if level is not None:
         df = df.filter(F.col("severity") == level)
     return (
@@ -206,7 +215,7 @@ def hotspot_feed(fact: DataFrame, limit: int, as_of: datetime | None = None) ->
     """Grid-hours with the most activity up to the cutoff."""
     cutoff = effective_as_of(fact, as_of)
     return (
-        fact.filter(F.col("timestamp") <= cutoff)
+        _upto(fact, as_of)
         .orderBy(F.desc("total_activity"), F.asc("grid_id"), F.asc("timestamp"))
         .limit(limit)
         .select(

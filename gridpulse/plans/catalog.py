@@ -209,7 +209,13 @@ def stored_dims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def alert_rows(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
-    return alerts.alerts(hourly(spark, sf) if hours is None else hours, decimals=4)
+    """Alerts over the stored hourly table: the floor and the windows read it, not the events."""
+    return alerts.alerts(stored_hourly(spark, sf) if hours is None else hours, decimals=4)
+
+
+def stored_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts as a table, for queries that read them more than once."""
+    return sinks.stage_table(alert_rows(spark, sf), "alerts")
 
 
 def anomaly_rows(spark: SparkSession, sf: str, hours: DataFrame | None = None) -> DataFrame:
@@ -429,7 +435,7 @@ def _(spark, sf):
 
 @query("alert_table_checks")
 def _(spark, sf):
-    return quality.alert_table_checks(alert_rows(spark, sf), cell_reference(spark, sf), CELLS)
+    return quality.alert_table_checks(stored_alerts(spark, sf), cell_reference(spark, sf), CELLS)
 
 
 @query("parity", decimals=4)
@@ -701,24 +707,24 @@ def _(spark, sf):
 
 @query("alert_feed")
 def _(spark, sf):
-    return alerts.alert_feed(alert_rows(spark, sf), 50, as_of=AS_OF)
+    return alerts.alert_feed(stored_alerts(spark, sf), 50, as_of=AS_OF)
 
 
 @query("alert_feed_high")
 def _(spark, sf):
-    return alerts.alert_feed(alert_rows(spark, sf), 50, level="HIGH")
+    return alerts.alert_feed(stored_alerts(spark, sf), 50, level="HIGH")
 
 
 @query("ranked_ops")
 def _(spark, sf):
     hot = alerts.hotspot_feed(star(spark, sf), 20, AS_OF)
-    return alerts.ranked_operations(hot, alerts.alert_feed(alert_rows(spark, sf), 30, as_of=AS_OF))
+    return alerts.ranked_operations(hot, alerts.alert_feed(stored_alerts(spark, sf), 30, as_of=AS_OF))
 
 
 @query("grid_status")
 def _(spark, sf):
     hot = alerts.hotspot_feed(star(spark, sf), 20, AS_OF)
-    return alerts.grid_status(hot, alerts.alert_feed(alert_rows(spark, sf), 60, as_of=AS_OF))
+    return alerts.grid_status(hot, alerts.alert_feed(stored_alerts(spark, sf), 60, as_of=AS_OF))
 
 
 # --- anomalies ---------------------------------------------------------------------
@@ -883,7 +889,7 @@ def _(spark, sf):
 
 @query("alert_type_overlap")
 def _(spark, sf):
-    return signals.alert_type_overlap(alert_comparison(spark, sf))
+    return signals.alert_type_overlap(sinks.stage_table(alert_comparison(spark, sf), "comparison"))
 
 
 @query("risk_rows_rule_score", decimals=9)

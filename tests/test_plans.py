@@ -121,6 +121,17 @@ def test_summary_scans_once(stored):
     assert plan(aggregate.network_summary(stored[1])).count("FileScan") == 1
 
 
+@pytest.mark.parametrize(
+    "name,most",
+    [("activity_floor", 1), ("alerts", 2), ("alert_top_grids", 2), ("alerts_by_hour", 2), ("alert_summary", 3),
+     ("alert_feed", 1), ("alert_feed_high", 2), ("feature_quantiles", 2), ("three_way", 4), ("three_way_overlap", 4),
+     ("comparison_summary", 3), ("alert_type_overlap", 2)],
+)
+def test_alerts_and_percentiles_read_stored_tables_only(spark, name, most):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert text.count("FileScan") <= most and "events.parquet" not in text
+
+
 def test_single_pass_reports(stored):
     _, hourly, _ = stored
     rows = features.grid_features(features.fill_hours(hourly), label_threshold=20.0)

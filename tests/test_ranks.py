@@ -97,3 +97,34 @@ def test_close_scores_spread_over_cells(spark):
     assert sizes[1] > 50_000 and sizes[0] < 40
     out = ranks.exact_percentiles(df, [], "v", {"p50": 0.5}).first()
     assert out["n"] == 200_000 and abs(out["p50"] - 0.02) < 0.001
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4])
+def test_brackets_of_more_values_than_a_sketch_keeps(spark, hot):
+    """60,000 values: ties, a value with 40 % of the rows, several ranks in one bracket."""
+    rng = np.random.default_rng(7)
+    values = np.where(rng.random(60_000) < hot, 7.25, np.round(rng.lognormal(2, 1.5, 60_000), 2))
+    keys = (rng.random(60_000) < 0.95).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"k": keys, "v": values})).repartition(6)
+    probs = {"p1": 0.01, "p10": 0.1, "p10b": 0.1003, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    for by in ([], ["k"]):
+        got = ranks.exact_percentiles(df, by, "v", probs).collect()
+        for row in got:
+            group = values[keys == row["k"]] if by else values
+            assert row["n"] == len(group)
+            for name, p in probs.items():
+                assert row[name] == pytest.approx(np.quantile(group, p), rel=1e-12)
+        assert len(got) == (2 if by else 1)
+
+
+def test_a_rank_outside_its_bracket_raises(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MARGIN", -0.2)
+    df = spark.range(50_000).select(F.col("id").cast("double").alias("v"))
+    with pytest.raises(Exception, match="outside its bracket"):
+        ranks.exact_percentiles(df, [], "v", {"p50": 0.5}).collect()
+
+
+def test_groups_without_values_have_no_percentile(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0), (3, float("nan"))], "k int, v double")
+    assert [tuple(r) for r in ranks.exact_percentiles(df, ["k"], "v", {"p": 0.5}).collect()] == [(2, 1, 3.0)]
+    assert ranks.exact_percentiles(df.filter("v > 9 and not isnan(v)"), [], "v", {"p": 0.5}).collect() == []
