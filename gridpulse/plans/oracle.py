@@ -793,6 +793,11 @@ _add(
     _summary(_NEWEST) + "\nUNION ALL " + _summary(_AS_OF),
     ["total_activity"],
 )
+_add(
+    "network_summary_snapshot",
+    _summary(_AS_OF) + "\nUNION ALL " + _summary("TIMESTAMP '2024-01-10 05:00:00'"),
+    ["total_activity"],
+)
 _HISTORY = f'"timestamp", {", ".join(_MEASURES)}'
 _add(
     "grid_history",
@@ -1207,6 +1212,15 @@ _add(
   CAST(2 * row_count AS HUGEINT)::BIGINT AS row_count FROM ({_BODIES["landing_verdict"][0]})""",
 )
 _add("table_refresh", *_BODIES["daily_traffic"])
+_add(
+    "incremental_refresh",
+    """SELECT 'daily_summary' AS table_name, CAST(date AS VARCHAR) AS key, sum(total_activity) AS total_activity, count(*) AS row_count
+FROM hourly GROUP BY date
+UNION ALL SELECT 'daily_traffic', CAST(date AS VARCHAR), sum(total_activity), count(DISTINCT grid_id) FROM hourly GROUP BY date
+UNION ALL SELECT 'dashboard', strftime("timestamp", '%Y-%m-%d %H'), sum(total_activity), count(*) FROM hourly GROUP BY "timestamp"
+UNION ALL SELECT 'cells', CAST(grid_id AS VARCHAR), sum(total_activity), count(*) FROM hourly GROUP BY grid_id""",
+    ["total_activity"],
+)
 
 
 def statements() -> dict[str, str]:

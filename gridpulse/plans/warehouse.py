@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridpulse.functions.checks import require
 from gridpulse.operators import alerts, anomaly, features, model, signals, warehouse
 from gridpulse.schemas import EXPECTED_GRIDS, FEATURES, RISK_THRESHOLD, TARGET_THRESHOLD
-from gridpulse.sources import sinks
+from gridpulse.sources import sinks, versions
 
 
 def build_warehouse(
@@ -20,11 +20,11 @@ def build_warehouse(
     expected_grids: int | None = EXPECTED_GRIDS,
 ) -> DataFrame:
     """Dimensions, then the fact from the stored dimensions, then the checks (raised on failure)."""
-    sinks.replace_table(warehouse.dim_time(hourly), f"{path}/dim_time")
-    sinks.replace_table(warehouse.dim_grid(lookup), f"{path}/dim_grid")
-    times, grids = spark.read.parquet(f"{path}/dim_time"), spark.read.parquet(f"{path}/dim_grid")
-    sinks.replace_table(warehouse.fact(hourly, times, grids), f"{path}/fact_network_activity")
-    facts = spark.read.parquet(f"{path}/fact_network_activity")
+    versions.commit(warehouse.dim_time(hourly), f"{path}/dim_time")
+    versions.commit(warehouse.dim_grid(lookup), f"{path}/dim_grid")
+    times, grids = versions.read(spark, f"{path}/dim_time"), versions.read(spark, f"{path}/dim_grid")
+    versions.commit(warehouse.fact(hourly, times, grids), f"{path}/fact_network_activity")
+    facts = versions.read(spark, f"{path}/fact_network_activity")
     checks = warehouse.star_checks(hourly, facts, times, grids, expected_grids)
     require(checks)
     return checks
@@ -32,15 +32,15 @@ def build_warehouse(
 
 def open_star(spark: SparkSession, path: str) -> DataFrame:
     return warehouse.star(
-        spark.read.parquet(f"{path}/fact_network_activity"),
-        spark.read.parquet(f"{path}/dim_time"),
-        spark.read.parquet(f"{path}/dim_grid"),
+        versions.read(spark, f"{path}/fact_network_activity"),
+        versions.read(spark, f"{path}/dim_time"),
+        versions.read(spark, f"{path}/dim_grid"),
     )
 
 
 def feature_job(star: DataFrame, path: str) -> None:
-    """Full refresh of the stored feature table."""
-    sinks.replace_table(features.grid_features(star), path)
+    """Full refresh of the stored feature table, as its next version."""
+    versions.commit(features.grid_features(star), path)
 
 
 def alert_job(hourly: DataFrame, path: str, **options) -> DataFrame:
@@ -77,11 +77,11 @@ def training_job(
 def risk_job(
     fitted: PipelineModel, feature_rows: DataFrame, anomalies: DataFrame, path: str
 ) -> DataFrame:
-    """Score stored features, attach anomalies, replace the risk table."""
+    """Score stored features, attach anomalies, publish the next version of the risk table."""
     scored = model.score(fitted, feature_rows)
     table = signals.risk_table(signals.combine_risk(scored, anomalies))
-    sinks.replace_table(table, path)
-    return feature_rows.sparkSession.read.parquet(path)
+    versions.commit(table, path)
+    return versions.read(feature_rows.sparkSession, path)
 
 
 def comparison_job(
