@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridpulse.functions.times import literal
+from gridpulse.operators import newton
 from gridpulse.operators.ranks import ranking_metrics
 from gridpulse.operators.signals import TARGET, confusion, risk_level
 from gridpulse.schemas import FEATURES, MODEL_VERSION
@@ -26,7 +28,7 @@ FEATURE_SETS = {
 
 
 def train(
-    rows: DataFrame, features: list[str] = FEATURES, c: float = 1.0, max_iter: int = 1000
+    rows: DataFrame, features: list[str] = FEATURES, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6
 ) -> PipelineModel:
     """Fit on labelled rows; L2 strength ``1 / c`` per the summed-loss convention.
 
@@ -46,6 +48,7 @@ def train(
             featuresCol="scaled_features",
             labelCol=TARGET,
             maxIter=max_iter,
+            tol=tol,
             regParam=penalty,
             standardization=False,
         ),
@@ -73,15 +76,14 @@ def score(model: PipelineModel, features: DataFrame) -> DataFrame:
     return out.withColumn("risk_score", probability).select(*features.columns, "risk_score")
 
 
-def predict_point(
-    model: PipelineModel, features: DataFrame, grid_id: int, at: datetime
-) -> DataFrame:
-    """Prediction for one cell and stamp; no row means no stored features."""
-    wanted = features.filter(
-        (F.col("grid_id") == grid_id)
-        & (F.col("feature_timestamp") == literal(at))
-    )
-    return score(model, wanted).select(
+def row_at(features: DataFrame, grid_id: int, at: datetime) -> DataFrame:
+    """Stored features of one cell and stamp."""
+    return features.filter((F.col("grid_id") == grid_id) & (F.col("feature_timestamp") == literal(at)))
+
+
+def point(scored: DataFrame) -> DataFrame:
+    """Published form of scored rows."""
+    return scored.select(
         "grid_id",
         F.col("feature_timestamp").alias("timestamp"),
         "risk_score",
@@ -90,6 +92,13 @@ def predict_point(
     )
 
 
+def predict_point(
+    model: PipelineModel, features: DataFrame, grid_id: int, at: datetime
+) -> DataFrame:
+    """Prediction for one cell and stamp; no row means no stored features."""
+    return point(score(model, row_at(features, grid_id, at)))
+
+
 def coefficients(model: PipelineModel, spark: SparkSession, rows: int | None = None) -> DataFrame:
     """(feature, coefficient, direction); as many rows as features.
 
@@ -119,13 +128,10 @@ def evaluate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 def ablation(
     train_rows: DataFrame, test_rows: DataFrame, sets: dict[str, list[str]] = FEATURE_SETS
 ) -> DataFrame:
-    """Test metrics per feature set; a handful of fits on the same persisted frames."""
-    results = None
-    for name, features in sets.items():
-        scored = score(train(train_rows, features), test_rows)
-        row = evaluate(scored).withColumn("model", F.lit(name))
-        results = row if results is None else results.unionByName(row)
-    return results.select(
+    """Test metrics per feature set; all sets are fitted together, one pass over the training rows a step."""
+    fits = newton.fit_sets(train_rows, sets)
+    rows = [evaluate(newton.score(fits[name], test_rows)).withColumn("model", F.lit(name)) for name in sets]
+    return reduce(DataFrame.unionByName, rows).select(
         "model", "accuracy", "precision", "recall", "roc_auc", "average_precision"
     )
 

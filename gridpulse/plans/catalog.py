@@ -28,6 +28,7 @@ from gridpulse.operators import (
     landing,
     layout,
     model,
+    newton,
     quality,
     ranks,
     signals,
@@ -945,6 +946,43 @@ def _(spark, sf):
     return model.predict_point(fit, table, 7, AS_OF)
 
 
+ONE = ["avg_activity"]
+
+
+def newton_fitted(spark: SparkSession, sf: str) -> tuple[newton.Fit, DataFrame]:
+    """The one-feature fit and the table of both splits."""
+    table = sinks.stage_table(split(spark, sf), "labelled")
+    return newton.fit(table.filter("split = 'train'"), ONE), table
+
+
+@query("newton_fit")
+def _(spark, sf):
+    return newton.coefficients(newton_fitted(spark, sf)[0], spark)
+
+
+@query("newton_scores")
+def _(spark, sf):
+    fit, table = newton_fitted(spark, sf)
+    anomalies = anomaly.anomaly_scores(filled(spark, sf), decimals=4)
+    return signals.risk_table(signals.combine_risk(newton.score(fit, table), anomalies))
+
+
+@query("newton_point")
+def _(spark, sf):
+    fit, table = newton_fitted(spark, sf)
+    return model.point(newton.score(fit, model.row_at(table, 7, AS_OF)))
+
+
+@query("newton_ablation")
+def _(spark, sf):
+    """Test metrics of the one-feature set, fitted beside the other sets in the same passes."""
+    table = sinks.stage_table(split(spark, sf), "labelled")
+    fits = newton.fit_sets(table.filter("split = 'train'"), model.FEATURE_SETS)
+    name = "avg_activity only"
+    found = model.evaluate(newton.score(fits[name], table.filter("split = 'test'")))
+    return found.select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "roc_auc", "average_precision")
+
+
 # --- stream ---------------------------------------------------------------------------
 
 

@@ -274,6 +274,32 @@ _CTES += [
     ELSE 'test' END AS split, {_RULE} AS risk_score FROM labelled""",
     ),
     ("test", "SELECT * FROM scored WHERE split = 'test'"),
+    # Newton steps on (intercept, weight); the penalty of the weight is 1
+    (
+        "newton_rows",
+        """SELECT (avg_activity - m) / s AS x, y, m, s FROM (
+    SELECT avg_activity, high_activity_target AS y, avg(avg_activity) OVER () AS m, stddev_pop(avg_activity) OVER () AS s
+    FROM scored WHERE split = 'train')""",
+    ),
+    (
+        "newton_weights",
+        """SELECT b, w, m, s FROM (
+    WITH RECURSIVE step AS (
+      SELECT 0 AS i, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w
+      UNION ALL
+      SELECT i + 1, b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+      FROM (
+        SELECT i, b, w, sum(p - y) AS g0, sum((p - y) * x) + w AS g1, sum(p * (1 - p)) AS h00,
+          sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) + 1.0 AS h11
+        FROM (SELECT i, b, w, x, y, 1.0 / (1.0 + exp(-(b + w * x))) AS p FROM newton_rows JOIN step ON i < 20)
+        GROUP BY i, b, w))
+    SELECT b, w FROM step WHERE i = 20), (SELECT any_value(m) AS m, any_value(s) AS s FROM newton_rows)""",
+    ),
+    (
+        "newton_scored",
+        """SELECT * REPLACE (1.0 / (1.0 + exp(-(b + w * (avg_activity - m) / s))) AS risk_score)
+    FROM (SELECT scored.*, b, w, m, s FROM scored JOIN newton_weights ON true)""",
+    ),
     (
         "comparison",
         """SELECT t.grid_id, t.feature_timestamp AS "timestamp", t.next_hour_activity,
@@ -1175,6 +1201,31 @@ FROM scored s JOIN anomaly_filled_default a
   ON a.grid_id = s.grid_id AND a."timestamp" = s.feature_timestamp""",
     ["risk_score", "anomaly_score:9"],
 )
+_add(
+    "newton_fit",
+    """SELECT 'avg_activity' AS feature, w AS coefficient, b AS intercept,
+  CASE WHEN w > 0 THEN 'positive' WHEN w < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM newton_weights""",
+    ["coefficient", "intercept"],
+)
+_add(
+    "newton_scores",
+    _BODIES["risk_rows_rule_score"][0].replace("FROM scored s", "FROM newton_scored s"),
+    ["risk_score", "anomaly_score"],
+)
+_add(
+    "newton_point",
+    f"""SELECT grid_id, feature_timestamp AS "timestamp", risk_score,
+  CASE WHEN risk_score >= 0.5 THEN 'HIGH' ELSE 'LOW' END AS risk_level, 'ml3-logistic-regression-v1' AS model_version
+FROM newton_scored WHERE grid_id = 7 AND feature_timestamp = {_AS_OF}""",
+    ["risk_score"],
+)
+_add(
+    "newton_ablation",
+    f"""SELECT 'avg_activity only' AS model, accuracy, precision, recall, roc_auc, average_precision
+FROM ({_BODIES["confusion"][0].replace("FROM test", "FROM newton_scored WHERE split = 'test'")}),
+  ({_BODIES["ranking_metrics"][0].replace("FROM test", "FROM newton_scored WHERE split = 'test'")})""",
+    ["accuracy", "precision", "recall", "roc_auc", "average_precision"],
+)
 _add(
     "live_hotspots",
     """SELECT h.grid_id, h."timestamp", 'HIGH_ACTIVITY' AS alert_type,

@@ -6,7 +6,7 @@ from statistics import fmean, pstdev
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.operators import features, model, quality, signals
+from gridpulse.operators import features, model, newton, quality, signals
 from gridpulse.schemas import FEATURES
 
 
@@ -177,6 +177,57 @@ def test_model_fit_is_the_penalised_optimum(labelled):
     assert names[0]["direction"] == "positive"
 
 
+def standardised(pdf, names):
+    import numpy as np
+
+    x = pdf[names].to_numpy(float)
+    return (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1.0)
+
+
+def test_newton_reaches_the_optimum_of_every_set(labelled, spark):
+    import numpy as np
+
+    fits = newton.fit_sets(labelled, model.FEATURE_SETS)
+    pdf = labelled.toPandas()
+    y = pdf["high_activity_target"].to_numpy(float)
+    for name, names in model.FEATURE_SETS.items():
+        z, w = standardised(pdf, names), np.array(fits[name].weights)
+        p = 1 / (1 + np.exp(-(z @ w + fits[name].intercept)))
+        assert np.abs(z.T @ (p - y) + w).max() < 1e-8 and abs((p - y).sum()) < 1e-8
+        scored = newton.score(fits[name], labelled).toPandas()
+        assert np.allclose(scored["risk_score"], p, atol=1e-12)
+    rows = newton.coefficients(fits["All six features"], spark).collect()
+    assert [r["feature"] for r in rows] == FEATURES and rows[0]["direction"] == "positive"
+
+
+def test_newton_equals_the_ml_fit(labelled):
+    import numpy as np
+
+    n = labelled.count()
+    pipeline = model.train(labelled, tol=1e-13)
+    fitted = newton.fit(labelled)
+    weights = np.array(pipeline.stages[-1].coefficients) * ((n - 1) / n) ** 0.5
+    assert np.abs(weights - fitted.weights).max() < 2e-5  # where the ML optimiser stops
+    assert abs(pipeline.stages[-1].intercept - fitted.intercept) < 2e-5
+
+
+def test_newton_reads_the_rows_once_a_step_for_all_sets(labelled, monkeypatch):
+    passes = []
+    real = newton._sums
+    monkeypatch.setattr(newton, "_sums", lambda fit, name: passes.append(name) or real(fit, name))
+    newton.fit_sets(labelled, model.FEATURE_SETS)
+    assert passes[:4] == ["s0", "s1", "s2", "s3"] and passes.count("s0") < 15
+
+
+def test_newton_of_constant_features_and_single_classes(spark):
+    rows = spark.createDataFrame([(1.0, 5.0, 0), (2.0, 5.0, 1), (3.0, 5.0, 1)], "a double, b double, high_activity_target int")
+    fitted = newton.fit(rows, ["a", "b"])
+    assert fitted.weights[1] == 0 and fitted.weights[0] > 0
+    for few in (rows.filter("high_activity_target = 1"), rows.limit(0)):
+        with pytest.raises(ValueError, match="both classes"):
+            newton.fit(few, ["a"])
+
+
 def test_model_roundtrip_and_feature_check(labelled, tmp_path, stamp):
     fitted = model.train(labelled, max_iter=20)
     model.save(fitted, str(tmp_path / "m"))
