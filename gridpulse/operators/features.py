@@ -160,12 +160,15 @@ def chronological_split(
 ) -> DataFrame:
     """Adds ``split``: "train" before the cutoff stamp, "test" from it on.
 
-    Fewer than two distinct stamps raise: one of the sides would be empty.
+    The cutoff is looked up now, so that it is a literal where a side is
+    filtered. Fewer than two distinct stamps raise: one of the sides would be empty.
     """
-    cutoff = split_cutoff(df, ratio, column).scalar()
-    side = F.when(F.col(column) < cutoff, F.lit("train")).when(F.col(column) >= cutoff, F.lit("test"))
-    missing = F.raise_error("a chronological split needs two distinct stamps").cast("string")
-    return df.withColumn("split", F.coalesce(side, F.when(cutoff.isNull(), missing)))
+    cutoff = split_cutoff(df, ratio, column).first()
+    if cutoff is None:
+        raise ValueError("a chronological split needs two distinct stamps")
+    at = literal(cutoff["cutoff"])
+    side = F.when(F.col(column) < at, F.lit("train")).when(F.col(column) >= at, F.lit("test"))
+    return df.withColumn("split", side)
 
 
 def latest_features(features: DataFrame) -> DataFrame:

@@ -41,11 +41,19 @@ def coverage(enriched: DataFrame) -> DataFrame:
 
     Grouped by cell first, so the geometry text never takes part in a distinct.
     """
-    cells = enriched.groupBy("grid_id").agg(F.max(F.col("geometry").isNotNull()).alias("matched"))
+    return _coverage(enriched).drop("rows")
+
+
+def _coverage(enriched: DataFrame) -> DataFrame:
+    """``coverage`` with the number of rows, from the same aggregate."""
+    cells = enriched.groupBy("grid_id").agg(
+        F.max(F.col("geometry").isNotNull()).alias("matched"), F.count("*").alias("n")
+    )
     stats = cells.agg(
         F.count("*").alias("activity_grids"),
         F.count_if("matched").alias("matched_grids"),
         F.count_if(~F.col("matched")).alias("unmatched_grids"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
     )
     percent = F.coalesce(
         F.try_divide(F.col("matched_grids") * 100.0, F.col("activity_grids")), F.lit(0.0)
@@ -88,12 +96,14 @@ def acceptance(
         F.count_if(out_of_grid()).alias("bad"),
         F.count_if(F.col("geometry").isNull()).alias("no_geometry"),
     )
-    cover = coverage(enriched)
+    figures = F.struct("rows", "coverage_percentage", "unmatched_grids").alias("cover")
     stats = (
         ref.withColumn("hourly_rows", hourly.agg(F.count("*").alias("n")).scalar())
-        .withColumn("enriched_rows", enriched.agg(F.count("*").alias("n")).scalar())
-        .withColumn("percent", cover.select("coverage_percentage").scalar())
-        .withColumn("unmatched", cover.select("unmatched_grids").scalar())
+        .withColumn("cover", _coverage(enriched).select(figures).scalar())
+        .select(
+            "*", F.col("cover.rows").alias("enriched_rows"), F.col("cover.coverage_percentage").alias("percent"),
+            F.col("cover.unmatched_grids").alias("unmatched"),
+        )
     )
     return check_rows(
         stats,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.functions import geometry as geom
@@ -58,31 +58,39 @@ def star_checks(
     hourly: DataFrame, facts: DataFrame, times: DataFrame, grids: DataFrame,
     expected_grids: int | None = None,
 ) -> DataFrame:
-    """Counts, key uniqueness, orphans and geometry-free fact as check rows."""
+    """Counts, key uniqueness, orphans and geometry-free fact as check rows.
 
-    def count(df: DataFrame):
-        return df.agg(F.count("*").alias("n")).scalar()
+    One aggregate per table: the fact is grouped by its keys and looks up the
+    dimensions' keys; the other figures join it as one-row subqueries.
+    """
+    in_time = broadcast_if_small(times.select("time_key", F.lit(True).alias("timed")).dropDuplicates(["time_key"]))
+    in_grid = broadcast_if_small(grids.select("grid_key", F.lit(True).alias("placed")).dropDuplicates(["grid_key"]))
+    keys = facts.groupBy("time_key", "grid_key").agg(F.count("*").alias("n"))
+    placed = keys.join(in_time, "time_key", "left").join(in_grid, "grid_key", "left")
 
-    def repeated(df: DataFrame, key: str):
-        return count(df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    def orphans(found: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col(found).isNull(), F.col("n"))), F.lit(0))
 
-    keys = facts.groupBy("time_key", "grid_key").agg(F.count("*").alias("n"))
-    time_orphans = facts.join(broadcast_if_small(times.select("time_key")), "time_key", "left_anti")
-    grid_orphans = facts.join(broadcast_if_small(grids.select("grid_key")), "grid_key", "left_anti")
+    def counted(df: DataFrame, key: str) -> Column:
+        per_key = df.groupBy(key).agg(F.count("*").alias("n"))
+        rows = F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
+        return per_key.agg(F.struct(rows, F.count_if(F.col("n") > 1).alias("dups")).alias("s")).scalar()
+
+    source = hourly.agg(F.struct(F.count("*").alias("rows"), F.count_distinct("timestamp").alias("hours")).alias("s")).scalar()
     geometry = int(any(c.startswith("geometry") for c in facts.columns))
     stats = (
-        keys.agg(
+        placed.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count_if(F.col("n") > 1).alias("fact_dups"),
+            orphans("timed").alias("time_orphans"),
+            orphans("placed").alias("grid_orphans"),
+        )
+        .withColumns({"source": source, "time": counted(times, "time_key"), "grid": counted(grids, "grid_id")})
+        .select(
+            "*", F.col("source.rows").alias("source_rows"), F.col("source.hours").alias("source_hours"),
+            F.col("time.rows").alias("times"), F.col("time.dups").alias("time_dups"),
+            F.col("grid.rows").alias("grids"), F.col("grid.dups").alias("grid_dups"),
         )
-        .withColumn("source_rows", count(hourly))
-        .withColumn("source_hours", hourly.agg(F.count_distinct("timestamp").alias("n")).scalar())
-        .withColumn("times", count(times))
-        .withColumn("grids", count(grids))
-        .withColumn("time_dups", repeated(times, "time_key"))
-        .withColumn("grid_dups", repeated(grids, "grid_id"))
-        .withColumn("time_orphans", count(time_orphans))
-        .withColumn("grid_orphans", count(grid_orphans))
     )
     grid_total = F.col("grids") if expected_grids is None else F.lit(expected_grids)
     return check_rows(

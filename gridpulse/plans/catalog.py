@@ -42,7 +42,7 @@ from gridpulse.schemas import (
     RAW_TO_CANONICAL,
 )
 from gridpulse.operators.baseline import leave_one_out_median
-from gridpulse.plans import refresh
+from gridpulse.plans import batch, refresh
 from gridpulse.sources import grid, sinks, versions
 from gridpulse.session import shared_dir
 from gridpulse.sources.activity import (
@@ -973,6 +973,15 @@ def _(spark, sf):
     return model.point(newton.score(fit, model.row_at(table, 7, AS_OF)))
 
 
+@query("model_save_load", decimals=4)
+def _(spark, sf):
+    """Coefficients of the one-feature pipeline after saving and loading it."""
+    table = sinks.stage_table(split(spark, sf), "labelled").filter("split = 'train'")
+    path = scratch(spark)
+    model.save(model.train(table, ONE, tol=1e-13), path)
+    return model.coefficients(model.load(path, ONE), spark, table.count())
+
+
 @query("newton_ablation")
 def _(spark, sf):
     """Test metrics of the one-feature set, fitted beside the other sets in the same passes."""
@@ -998,6 +1007,17 @@ def _(spark, sf):
     return spark.read.schema(found.schema).parquet(f"{folder}/alerts")
 
 
+@query("live_rules")
+def _(spark, sf):
+    """All three rules over the event table as a stream; a spike needs the hour before."""
+    baseline = sinks.stage_table(settle(live.static_baseline(hourly(spark, sf)), 4), "baseline")
+    raw = stream_table(spark, f"{sf}/events.parquet", events(spark, sf).schema)
+    found = live.rule_alerts(events_as_activity(raw), baseline, decimals=2, grids=CELLS)
+    folder = scratch(spark)
+    live.start(found, f"{folder}/alerts", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/alerts")
+
+
 # --- files ----------------------------------------------------------------------------
 
 
@@ -1034,6 +1054,13 @@ def _(spark, sf):
     return read_table(spark, path).select(*HOURLY_COLUMNS)
 
 
+@query("storage_stage")
+def _(spark, sf):
+    """Clean and hourly tables written, read again and checked against what was written."""
+    rows = sinks.stage_table(clean(spark, sf), "clean")
+    return batch.storage_stage(rows, sinks.stage_table(aggregate.grid_hour(rows, decimals=2), "hourly"), scratch(spark))
+
+
 @query("date_partitions_round_trip")
 def _(spark, sf):
     path = scratch(spark)

@@ -1207,6 +1207,24 @@ _add(
   CASE WHEN w > 0 THEN 'positive' WHEN w < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM newton_weights""",
     ["coefficient", "intercept"],
 )
+_add(
+    "model_save_load",
+    """SELECT 'avg_activity' AS feature, w AS coefficient,
+  CASE WHEN w > 0 THEN 'positive' WHEN w < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM newton_weights""",
+    ["coefficient:4"],
+)
+_add(
+    "storage_stage",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "table", c AS "check", v AS value, ok AS passed FROM (
+  SELECT unnest(['row_count', 'columns_differing', 'types_differing', 'date_values', 'geometry_absent', 'duplicate_keys']) AS c,
+    unnest([rows, 0, 0, dates, 0, dups]::DOUBLE[]) AS v, unnest([true, true, true, true, true, dups = 0]) AS ok
+  FROM (SELECT sum(n) AS rows, count(DISTINCT date) AS dates, count(*) FILTER (n > 1) AS dups
+    FROM (SELECT date, count(*) AS n FROM {name if name == "hourly" else "clean"} GROUP BY date{keys})))"""
+        for name, keys in (("clean_activity", ', "timestamp", grid_id, country_code'), ("hourly", ', "timestamp", grid_id'))
+    ),
+    ["value"],
+)
 _add(
     "newton_scores",
     _BODIES["risk_rows_rule_score"][0].replace("FROM scored s", "FROM newton_scored s"),
@@ -1236,6 +1254,19 @@ WHERE b.baseline > 0 AND h.total_activity >= b.baseline * 2.0
   AND h."timestamp" + INTERVAL 3 HOUR <= (SELECT max("timestamp") FROM hourly)""",
     _ALERT_DOUBLES,
 )
+_add(
+    "live_rules",
+    """SELECT grid_id, "timestamp", unnest(list_filter([CASE WHEN total_activity >= baseline * 2.0 THEN 'HIGH_ACTIVITY' END,
+    CASE WHEN total_activity <= baseline * 0.5 THEN 'ACTIVITY_DROP' END,
+    CASE WHEN previous > 0 AND total_activity >= previous * 1.5 THEN 'ACTIVITY_SPIKE' END], lambda k: k IS NOT NULL)) AS alert_type,
+  total_activity AS current_activity, baseline AS baseline_activity
+FROM (SELECT h.grid_id, h."timestamp", h.total_activity, b.baseline, p.total_activity AS previous
+  FROM hourly h JOIN (SELECT grid_id, hour, round(quantile_cont(total_activity, 0.5), 4) AS baseline
+    FROM hourly GROUP BY ALL) b USING (grid_id, hour)
+  LEFT JOIN hourly p ON p.grid_id = h.grid_id AND p."timestamp" = h."timestamp" - INTERVAL 1 HOUR
+  WHERE b.baseline > 0 AND h."timestamp" + INTERVAL 3 HOUR <= (SELECT max("timestamp") FROM hourly))""",
+    _ALERT_DOUBLES,
+)
 _add(
     "by_date_layout",
     f"SELECT date, {_sum_list(_MEASURES)} FROM clean GROUP BY date",

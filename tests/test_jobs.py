@@ -447,6 +447,47 @@ def test_live_alerts_equal_batch(spark, tmp_path, stamp):
     assert got == [(1, stamp(3), 50.0)]
 
 
+def test_live_rules_equal_batch_across_a_restart(spark, tmp_path, stamp):
+    """Spikes across the end of the first run, a gap of an hour, a late row, a cell without baseline."""
+    folder = tmp_path / "events"
+    schema = (
+        "timestamp timestamp_ntz, grid_id int, country_code int, sms_in double, sms_out double, "
+        "call_in double, call_out double, internet_activity double"
+    )
+
+    def write(rows):
+        data = [(stamp(h), g, 39, float(v), None, None, None, None) for g, h, v in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(folder))
+
+    base = spark.createDataFrame(
+        [(g, h, 10.0) for g in (1, 2) for h in range(24)], "grid_id int, hour_of_day int, baseline_activity double"
+    )
+    args = (str(tmp_path / "alerts"), str(tmp_path / "checkpoint"))
+
+    def drain():
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        live.start(live.rule_alerts(stream, base), *args, once=True).awaitTermination()
+
+    runs = [
+        [(1, 0, 10), (1, 1, 16), (1, 2, 40), (2, 0, 4), (2, 2, 12), (3, 0, 1), (3, 1, 9)],
+        [(1, 2, 5), (1, 3, 70), (1, 4, 3), (1, 5, 6), (2, 3, 11), (2, 4, 30)],  # hour 2 is still open
+        [(9, 300, 1)],
+    ]
+    for rows in runs:
+        write(rows)
+        drain()
+    got = sorted((r["grid_id"], r["timestamp"], r["alert_type"], r["current_activity"]) for r in spark.read.parquet(args[0]).collect())
+    totals = {}
+    for g, h, v in [r for rows in runs[:2] for r in rows]:
+        totals[g, h] = totals.get((g, h), 0.0) + v
+    want = []
+    for (g, h), v in totals.items():
+        before = totals.get((g, h - 1), 0.0)
+        rules = {"HIGH_ACTIVITY": v >= 20, "ACTIVITY_DROP": v <= 5, "ACTIVITY_SPIKE": before > 0 and v >= 1.5 * before}
+        want += [(g, stamp(h), k, v) for k, fired in rules.items() if fired and g in (1, 2)]
+    assert got == sorted(want) and (1, stamp(3), "ACTIVITY_SPIKE", 70.0) in got
+
+
 def test_live_hotspots_on_file_and_folder(spark, tmp_path):
     from gridpulse.plans import catalog
 

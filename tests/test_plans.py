@@ -125,7 +125,7 @@ def test_summary_scans_once(stored):
     "name,most",
     [("activity_floor", 1), ("alerts", 2), ("alert_top_grids", 2), ("alerts_by_hour", 2), ("alert_summary", 3),
      ("alert_feed", 1), ("alert_feed_high", 2), ("feature_quantiles", 3), ("three_way", 4), ("three_way_overlap", 4),
-     ("comparison_summary", 3), ("alert_type_overlap", 2)],
+     ("comparison_summary", 3), ("alert_type_overlap", 2), ("alert_table_checks", 4), ("star_checks", 6)],
 )
 def test_alerts_and_percentiles_read_stored_tables_only(spark, name, most):
     text = plan(QUERIES[name](spark, SMALL))
