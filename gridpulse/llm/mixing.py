@@ -206,19 +206,24 @@ def mix_sources(documents: DataFrame, block: int = BLOCK) -> DataFrame:
 def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix itself: one row per document and pass, with the columns of ``documents``.
 
-    A document that the mix takes once or twice appears so often; the last
-    one of a source's target is cut after the words taken. Rows lie in the
-    order of their first slot. Rows equal throughout give all their passes.
+    A document that the mix takes once or twice appears so often, always
+    whole: the one in which a source's target ends is there if the target
+    holds half of it or if it is the source's first, so a source's words
+    come within half a document of its target. Rows lie in the order of their
+    first slot. Rows equal throughout give all their passes. Null and
+    wordless texts are never there; an empty table gives no rows.
     """
     placed, _, goals = _placed(documents, block)
     passes = (
         _pieces(placed, goals, block).groupBy("source_no", "begin", "epoch")
         .agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
     )
+    known_rows = placed.where("size > 0").select("source_no", "begin", "doc_id", "row_hash", "size")
     listed = (
-        passes.join(placed.where("size > 0").select("source_no", "begin", "doc_id", "row_hash", "size"), ["source_no", "begin"])
+        passes.join(known_rows, ["source_no", "begin"])
+        .where("2 * words >= size or begin = 0 and epoch = 0")
         .groupBy(F.col("doc_id").alias("listed_id"), F.col("row_hash").alias("listed_hash"))
-        .agg(F.collect_list(F.struct("slot", "epoch", "words", "size")).alias("passes"))
+        .agg(F.collect_list(F.struct("slot", "epoch")).alias("passes"))
     )
     columns = documents.columns
     names = [free_name(documents, n) for n in ("mix_key", "mix_hash", "mix_pass")]
@@ -235,13 +240,7 @@ def mixed_documents(documents: DataFrame, block: int = BLOCK) -> DataFrame:
         one = hashed.join(again, same, "left_semi").dropDuplicates([key, known])
         hashed = hashed.join(again, same, "left_anti").unionByName(one)
     joined = hashed.join(listed.hint("shuffle_hash"), same).withColumn(taken, F.explode("passes"))
-    upto = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    part = F.array_join(F.slice(upto, 1, F.col(f"{taken}.words").cast("int")), "")
-    text = F.when(F.col(f"{taken}.words") < F.col(f"{taken}.size"), part).otherwise(F.col("text"))
-    return (
-        joined.sortWithinPartitions(f"{taken}.slot")
-        .select(*[text.alias("text") if c == "text" else F.col(c) for c in columns])
-    )
+    return joined.sortWithinPartitions(f"{taken}.slot").select(*columns)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
