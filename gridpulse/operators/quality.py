@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from gridpulse.functions import times
 from gridpulse.functions.checks import check_rows, zero
+from gridpulse.operators.digests import digest_columns, repeated_rows
 from gridpulse.schemas import (
     ACTIVITY,
     ALERT_SEVERITY,
@@ -200,14 +201,15 @@ def ingest_acceptance(
 # --- profiles --------------------------------------------------------------
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Row, key and value profile of activity rows."""
+def profile(df: DataFrame, file_column: str | None = None) -> DataFrame:
+    """Row, key and value profile of activity rows, with the number of files where their column is named."""
     negative = reduce(lambda a, b: a + b, [F.count_if(F.col(c) < 0) for c in ACTIVITY])
     return df.agg(
         F.count("*").alias("row_count"),
         F.count_distinct("grid_id").alias("unique_grids"),
         F.count_distinct("country_code").alias("country_code_categories"),
         F.count_distinct("timestamp").alias("distinct_hourly_intervals"),
+        *([F.count_distinct(file_column).alias("source_files")] if file_column else []),
         F.min("grid_id").alias("min_grid_id"),
         F.max("grid_id").alias("max_grid_id"),
         F.min("timestamp").alias("min_timestamp"),
@@ -237,9 +239,11 @@ def rows_per_grid_hour(df: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group, as one count."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    """Rows beyond the first of each identical group, as one count.
+
+    Digests are exchanged in place of rows, see ``digests.repeated_rows``.
+    """
+    return repeated_rows(df).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def parity(left: DataFrame, right: DataFrame, tolerance: float = 1e-6) -> DataFrame:
@@ -271,19 +275,36 @@ def schema_differences(df: DataFrame, expected) -> dict[str, list[str]]:
 
 
 def roundtrip_checks(written: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """A re-read table against its source: rows, columns, types, dates, duplicates."""
+    """A re-read table against its source: rows, columns, types, dates, contents, duplicates.
+
+    Contents are compared by the digests of the columns that both have. Each
+    table is grouped by date first, so both are read once.
+    """
     diff = schema_differences(written, source.schema)
-    groups = written.groupBy(*keys).agg(F.count("*").alias("n"))
-    source_stats = source.agg(F.count("*").alias("n")).scalar()
-    source_dates = source.agg(F.count_distinct("date").alias("n")).scalar()
+    both = sorted(set(written.columns) & set(source.columns))
+    sums = ["digest_a", "digest_b"]
+
+    def totals(df: DataFrame) -> list[Column]:
+        return [F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in sums]
+
+    groups = written.groupBy(*keys).agg(F.count("*").alias("n"), *digest_columns(written, both))
+    days = source.groupBy("date").agg(F.count("*").alias("n"), *digest_columns(source, both))
+    of_source = days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("date").alias("dates"), *totals(days)
+    )
     stats = (
         groups.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
             F.count_if(F.col("n") > 1).alias("dups"),
             F.count_distinct("date").alias("dates"),
+            *totals(groups),
+        )
+        .withColumn("source", of_source.select(F.struct("*").alias("s")).scalar())
+        .select(
+            "*", F.col("source.rows").alias("source_rows"), F.col("source.dates").alias("source_dates"),
+            F.when((F.col("digest_a") == F.col("source.digest_a")) & (F.col("digest_b") == F.col("source.digest_b")), 0)
+            .otherwise(1).alias("contents"),
         )
-        .withColumn("source_rows", source_stats)
-        .withColumn("source_dates", source_dates)
     )
     columns_off = len(diff["missing"]) + len(diff["unexpected"])
     return check_rows(
@@ -293,6 +314,7 @@ def roundtrip_checks(written: DataFrame, source: DataFrame, keys: list[str]) ->
             "columns_differing": (F.lit(columns_off), F.lit(columns_off == 0)),
             "types_differing": (F.lit(len(diff["retyped"])), F.lit(not diff["retyped"])),
             "date_values": (F.col("dates"), F.col("dates") == F.col("source_dates")),
+            "contents_differ": zero("contents"),
             "geometry_absent": (
                 F.lit(int("geometry" in written.columns)),
                 F.lit("geometry" not in written.columns),

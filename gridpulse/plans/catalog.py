@@ -428,6 +428,11 @@ def _(spark, sf):
     return quality.profile(defective(spark, sf).drop("event_id"))
 
 
+@query("file_profile")
+def _(spark, sf):
+    return quality.profile(with_source_file(spark, sf), "source_file")
+
+
 @query("country_counts")
 def _(spark, sf):
     return quality.country_counts(activity(spark, sf))

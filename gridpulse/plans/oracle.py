@@ -581,6 +581,12 @@ _add(
   {" + ".join(f"count(*) FILTER ({c} < 0)" for c in _MEASURES5)} AS negative_values
 FROM defective""",
 )
+_add(
+    "file_profile",
+    _BODIES["profile"][0].replace("FROM defective", "FROM activity").replace(
+        "min(grid_id)", "count(DISTINCT CAST(\"timestamp\" AS DATE)) AS source_files, min(grid_id)"
+    ),
+)
 _add("country_counts", "SELECT country_code, count(*) AS row_count FROM activity GROUP BY 1")
 _add(
     "alert_input_checks",
@@ -1217,8 +1223,8 @@ _add(
     "storage_stage",
     " UNION ALL ".join(
         f"""SELECT '{name}' AS "table", c AS "check", v AS value, ok AS passed FROM (
-  SELECT unnest(['row_count', 'columns_differing', 'types_differing', 'date_values', 'geometry_absent', 'duplicate_keys']) AS c,
-    unnest([rows, 0, 0, dates, 0, dups]::DOUBLE[]) AS v, unnest([true, true, true, true, true, dups = 0]) AS ok
+  SELECT unnest(['row_count', 'columns_differing', 'types_differing', 'date_values', 'contents_differ', 'geometry_absent', 'duplicate_keys']) AS c,
+    unnest([rows, 0, 0, dates, 0, 0, dups]::DOUBLE[]) AS v, unnest([true, true, true, true, true, true, dups = 0]) AS ok
   FROM (SELECT sum(n) AS rows, count(DISTINCT date) AS dates, count(*) FILTER (n > 1) AS dups
     FROM (SELECT date, count(*) AS n FROM {name if name == "hourly" else "clean"} GROUP BY date{keys})))"""
         for name, keys in (("clean_activity", ', "timestamp", grid_id, country_code'), ("hourly", ', "timestamp", grid_id'))
