@@ -2,8 +2,8 @@
 
 An archive is a ZIP whose members are stored as they are:
 ``archive/data.warc.gz`` (one gzip member per record) and
-``indexes/index.cdxj`` (one line per record with its offset and length). The
-reader parses the end of the archive, its central directory (ZIP64 where
+``indexes/index.cdxj`` (one line per record, sorted by url key and time, with
+its offset and length). The reader parses the end of the archive, its central directory (ZIP64 where
 present) and the index, then fetches single records. Nothing is extracted.
 """
 
@@ -18,8 +18,10 @@ import struct
 import uuid
 import zipfile
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,7 +39,7 @@ ARCHIVE_BYTES = 64 << 20
 #: Bytes fetched at a time where many records lie next to each other.
 READ_AHEAD = 4 << 20
 LEVEL = 4
-STAMP = "2024-01-01T00:00:00Z"
+STAMP, KEY_STAMP = "2024-01-01T00:00:00Z", "20240101000000"
 
 # Signatures and sizes of the ZIP format; fixed values.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -148,21 +150,39 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:length]
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
+def target_uri(url: str) -> str:
+    """The url with what a header or a URI may not hold percent-encoded; percent signs stay."""
+    return quote(url, safe="%!#$&'()*+,/:;=?@[]~")
+
+
+def url_key(url: str) -> str:
+    """Sort key of an index line: host labels from the right, then path and query, lower-case."""
+    rest = target_uri(url).partition("://")[2] or target_uri(url)
+    host, slash, path = rest.partition("/")
+    return f"{','.join(reversed(host.split('.')))}){slash}{path}".lower()
+
+
+def _record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """Record of a page; the one response of a shared payload has the id that follows from its digest."""
+    shared = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'payload:{digest}')}>"
+    response = refers_to is None
+    own = response and page_id is not None and len(payload) >= LEAST_SHARED
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"),
-        ("WARC-Date", STAMP), ("WARC-Target-URI", base64.urlsafe_b64encode((url or "").encode()).decode()),
+        ("WARC-Type", "response" if response else "revisit"),
+        ("WARC-Record-ID", shared if own else f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Date", STAMP), ("WARC-Target-URI", target_uri(url)),
+        ("Content-Type", "application/http;msgtype=response"),
         ("Page-Id", "" if page_id is None else str(page_id)),
         ("WARC-Payload-Digest", f"sha256:{digest}"), ("Payload-Length", str(len(payload))),
     ]
-    if refers_to is not None:
+    if target_uri(url) != url:  # as it was given
+        fields.append(("Page-Url", base64.urlsafe_b64encode(url.encode()).decode()))
+    if not response:
         fields += [
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{refers_to}')}>"),
-            ("Refers-To-Page", str(refers_to)),
+            ("WARC-Refers-To", shared), ("Refers-To-Page", str(refers_to)),
         ]
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if response else b"")
     return record_bytes(fields, block)
 
 
@@ -186,12 +206,13 @@ def _write(batches: Iterator[pa.RecordBatch], base: str, most: int) -> Iterator[
             with archive.open(DATA, "w", force_zip64=True) as data:
                 while row is not None and at < most:
                     page_id, url, html, digest, refers_to = row
-                    packed = gzip.compress(_record(page_id, url, (html or "").encode(), digest, refers_to), LEVEL, mtime=0)
+                    packed = gzip.compress(_record(page_id, url, html.encode(), digest, refers_to), LEVEL, mtime=0)
                     data.write(packed)
-                    index.append(json.dumps({"offset": at, "length": len(packed)}))
+                    entry = {"url": target_uri(url), "filename": DATA, "offset": at, "length": len(packed)}
+                    index.append(f"{url_key(url)} {KEY_STAMP} {json.dumps(entry)}")
                     at += len(packed)
                     row = next(rows, None)
-            archive.writestr(INDEX, "\n".join(index))
+            archive.writestr(INDEX, "\n".join(sorted(index)))
         yield pa.RecordBatch.from_pydict({"path": [f"{base.rstrip('/')}/{name}"], "records": pa.array([len(index)], pa.int64())})
 
 
@@ -199,23 +220,45 @@ def write_archives(pages: DataFrame, base: str, most: int = ARCHIVE_BYTES) -> Da
     """Archives of ``pages`` (page_id, url, html) below ``base``; returns their list (path, records), staged.
 
     Of the records with equal payloads of LEAST_SHARED bytes or more, that
-    with the smallest page_id is a response, the others revisit it.
+    with the smallest page_id (then url, one of equal rows) is a response,
+    the others revisit it; if none has a page_id all are responses. Only
+    rows that are equal throughout are shuffled with their html.
     """
     keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("html", F.lit("")).alias("html"),
     ).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    prints = stage(keyed.where(F.octet_length("html") >= LEAST_SHARED).select("page_id", "digest").where("page_id is not null"), "payloads")
+    prints = stage(keyed.where(F.octet_length("html") >= LEAST_SHARED).groupBy("page_id", "url", "digest").agg(F.count("*").alias("n")), "payloads")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     first = stage(
-        prints.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "payloads"
+        prints.groupBy("digest").agg(F.min(named).alias("head"), F.sum("n").alias("total"))
+        .where("total > 1 and head is not null").select("digest", "head"),
+        "payloads",
     )
-    again = stage(
-        prints.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "payloads"
+    is_head = F.col("page_id").eqNullSafe(F.col("head.page_id")) & (F.col("url") == F.col("head.url"))
+    placed = prints.join(first, "digest").select(
+        F.col("page_id").alias("of"), F.col("url").alias("at"), F.col("digest").alias("print"), "n",
+        F.col("head.page_id").alias("refers_to"), is_head.alias("is_head"),
     )
+    again = stage(placed.where("not is_head").drop("n", "is_head"), "payloads")
+    twins = stage(placed.where("is_head and n > 1").drop("is_head"), "payloads")
+    same = keyed["page_id"].eqNullSafe(F.col("of")) & (keyed["url"] == F.col("at")) & (keyed["digest"] == F.col("print"))
+    columns = ["page_id", "url", "html", "digest"]
+    out = keyed.withColumn("refers_to", F.lit(None).cast("long"))
     if not again.isEmpty():
-        keyed = keyed.join(broadcast_if_small(again), ["page_id", "digest"], "left")
-    else:
-        keyed = keyed.withColumn("refers_to", F.lit(None).cast("long"))
-    return stage(keyed.mapInArrow(lambda it: _write(it, base, most), "path string, records long"), "archives")
+        out = keyed.join(broadcast_if_small(again), same, "left").select(*columns, "refers_to")
+    if not twins.isEmpty():
+        held = broadcast_if_small(twins)
+        one = keyed.join(held, same).dropDuplicates(["page_id", "url", "digest"])
+        copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        revisit = F.when(F.col("copy") > 1, F.col("refers_to"))
+        rest = out.join(held.select("of", "at", "print"), same, "left_anti")
+        out = rest.unionByName(copies.select(*columns, revisit.alias("refers_to")))
+    return stage(out.mapInArrow(lambda it: _write(it, base, most), "path string, records long"), "archives")
+
+
+def _entries(archive: Archive) -> list[str]:
+    return [line for line in archive.read(INDEX).decode().split("\n") if line]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +267,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, place = _store(path)
             with store.open_input_file(place) as file:
                 archive = Archive(file)
-                entries = [json.loads(line) for line in archive.read(INDEX).decode().split("\n") if line]
+                entries = sorted((json.loads(line.split(" ", 2)[2]) for line in _entries(archive)), key=lambda e: e["offset"])
                 while entries:
                     low, n = entries[0]["offset"], 1
                     while n < len(entries) and entries[n]["offset"] + entries[n]["length"] - low <= READ_AHEAD:
@@ -244,7 +287,8 @@ def _rows(records: list[bytes]) -> pa.RecordBatch:
         if payload is not None and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
             raise ValueError(f"payload of page {fields['page-id']} does not match its digest")
         out["page_id"].append(int(fields["page-id"]) if fields["page-id"] else None)
-        out["url"].append(base64.urlsafe_b64decode(fields["warc-target-uri"]).decode())
+        given = fields.get("page-url")
+        out["url"].append(fields["warc-target-uri"] if given is None else base64.urlsafe_b64decode(given).decode())
         out["payload"].append(payload)
         out["payload_bytes"].append(length)
         out["payload_digest"].append(digest)
@@ -268,14 +312,40 @@ def read_archives(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     return listed.repartition(tasks or max(1, min(listed.count(), 10_000)), "path").mapInArrow(_read, SCHEMA)
 
 
+def _fetch(batches: Iterator[pa.RecordBatch], urls: list[str]) -> Iterator[pa.RecordBatch]:
+    """Records of some urls: their lines are found in the sorted index, and only their ranges are read."""
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            store, place = _store(path)
+            with store.open_input_file(place) as file:
+                archive = Archive(file)
+                lines = _entries(archive)
+                found = []
+                for url in urls:
+                    key = f"{url_key(url)} "
+                    at = bisect_left(lines, key)
+                    while at < len(lines) and lines[at].startswith(key):
+                        entry = json.loads(lines[at].split(" ", 2)[2])
+                        if entry["url"] == target_uri(url):
+                            found.append(archive.read(DATA, entry["offset"], entry["length"]))
+                        at += 1
+                if found:
+                    yield _rows(found)
+
+
+def fetch(paths: DataFrame, urls: list[str]) -> DataFrame:
+    """Records (SCHEMA) of a few urls in the archives listed in ``paths`` (path), read by range."""
+    wanted = sorted(set(urls))
+    return paths.select("path").mapInArrow(lambda it: _fetch(it, wanted), SCHEMA)
+
+
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type,
     refers_to, url. A null html is an empty payload, a null url an empty
-    one. Pages without page_id are always responses. Rows that repeat a
-    page_id with the same payload are responses if that page is the first.
-    Columns other than page_id, url and html are not read. An empty table
+    one. Of pages with equal long payloads one is a response, also where
+    page_id repeats or is null; where none has a page_id all are. Columns other than page_id, url and html are not read. An empty table
     gives no rows.
     """
     listed = write_archives(pages, folder(pages.sparkSession, "archives"))
@@ -289,12 +359,10 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
        sha256(coalesce(html, '')) AS payload_digest,
-       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100
-             AND page_id <> min(page_id) OVER (PARTITION BY coalesce(html, ''))
-            THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN octet_length(encode(coalesce(html, ''))) >= 100
-             AND page_id <> min(page_id) OVER (PARTITION BY coalesce(html, ''))
-            THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to,
        coalesce(url, '') AS url
-FROM pages
+FROM (SELECT *, octet_length(encode(coalesce(html, ''))) >= 100 AND first_id IS NOT NULL AND place > 1 AS again
+  FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id,
+      row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST, coalesce(url, '')) AS place FROM pages))
 """

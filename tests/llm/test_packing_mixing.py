@@ -214,8 +214,61 @@ def test_archive_round_trip(spark, tmp_path):
         r, body = back[page_id], (html or "").encode()
         assert (r["payload_bytes"], r["url"]) == (len(body), url or "")
         assert r["payload"] is None if r["record_type"] == "revisit" else bytes(r["payload"]) == body
-    assert {i: r["refers_to"] for i, r in back.items() if r["record_type"] == "revisit"} == {3: 1, 8: 7, 10: 9}
+    assert {i: r["refers_to"] for i, r in back.items() if r["record_type"] == "revisit"} == {3: 1, 8: 7, 10: 9, None: 1}
     assert warc_archive.round_trip(pages.limit(0)).collect() == []
+    got = {(r["page_id"], r["url"]) for r in warc_archive.fetch(listed, ["http://a/ü?q=1", "http://b", "http://none"]).collect()}
+    assert got == {(3, "http://a/ü?q=1"), (1, "http://b")}
+
+
+def test_repeated_and_null_ids_have_one_response(spark, tmp_path):
+    import duckdb
+
+    body = "b" * 150
+    rows = [(1, "u", body)] * 3 + [(1, "t", body), (2, "u", body), (None, "v", body), (None, "v", body)]
+    rows += [(None, "n", "c" * 200), (None, "n", "c" * 200), (4, "w", "small"), (4, "w", "small"), (5, None, "d" * 100), (5, "", "d" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(map(tuple, warc_archive.round_trip(pages).collect()), key=str)
+    frame = pages.toPandas()
+    frame["page_id"] = frame["page_id"].astype("Int64")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(r) for r in rows])
+    assert got == sorted(con.sql(warc_archive.ORACLE_SQL).fetchall(), key=str)
+    heads = [r for r in got if r[3] == "response" and r[1] == 150]
+    assert [(r[0], r[5]) for r in heads] == [(1, "t")]
+
+
+def test_records_are_valid_and_their_ids_unique(spark, tmp_path):
+    url = "http://x/a b/ü%20?q=1\r\nX: y"
+    rows = [(1, url, "a" * 200), (2, "http://y", "a" * 200), (2, "http://y", "a" * 200), (3, "z", "s"), (3, "z", "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = warc_archive.write_archives(pages, str(tmp_path / "arc"))
+    ids, refers = [], []
+    for r in listed.collect():
+        with zipfile.ZipFile(r["path"].removeprefix("file://")) as archive:
+            lines = archive.read(warc_archive.INDEX).decode().split("\n")
+            data = archive.read(warc_archive.DATA)
+        assert lines == sorted(lines)
+        for line in lines:
+            entry = json.loads(line.split(" ", 2)[2])
+            fields, _ = warc_archive.parse_record(zlib.decompress(data[entry["offset"] : entry["offset"] + entry["length"]], wbits=31))
+            assert fields["warc-target-uri"] == entry["url"] and entry["url"].isascii() and " " not in entry["url"]
+            ids.append(fields["warc-record-id"])
+            refers += [fields["warc-refers-to"]] if "warc-refers-to" in fields else []
+    assert len(set(ids)) == len(ids) == 5 and len(set(refers)) == 1 and refers[0] in ids
+    assert [r["url"] for r in warc_archive.fetch(listed, [url]).collect()] == [url]
+
+
+def test_a_fetch_reads_only_its_ranges(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/p", f"{k}" * 5000) for k in range(40)], "page_id long, url string, html string")
+    listed = warc_archive.write_archives(pages.coalesce(1), str(tmp_path / "arc"))
+    reads = []
+    real = warc_archive.Archive.read
+    monkeypatch.setattr(warc_archive.Archive, "read", lambda self, name, offset=0, length=None: reads.append((name, length)) or real(self, name, offset, length))
+    batch = pa.RecordBatch.from_pydict({"path": [r["path"] for r in listed.collect()]})
+    found = [r for b in warc_archive._fetch(iter([batch]), ["http://h7.org/p", "http://h9.org/p"]) for r in b.to_pylist()]
+    assert sorted(r["page_id"] for r in found) == [7, 9]
+    assert [n for n, _ in reads] == [warc_archive.INDEX, warc_archive.DATA, warc_archive.DATA] and all(length < 1000 for n, length in reads[1:])
 
 
 class Bytes(io.BytesIO):
