@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridpulse.session import shared_dir
+from gridpulse.session import scratch_dir
 
 
 #: Rows of an Arrow batch: documents are long, and a batch is held by Spark and by the worker.
@@ -22,8 +22,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the application's scratch folder, which lies in the shared one and goes when the driver ends."""
+    return f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
