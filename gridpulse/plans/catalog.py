@@ -44,7 +44,7 @@ from gridpulse.schemas import (
 from gridpulse.operators.baseline import leave_one_out_median
 from gridpulse.plans import batch, refresh
 from gridpulse.sources import grid, sinks, versions
-from gridpulse.session import shared_dir
+from gridpulse.session import scratch_dir
 from gridpulse.sources.activity import (
     events_as_activity,
     read_table,
@@ -1007,7 +1007,7 @@ def _(spark, sf):
     raw = stream_table(spark, f"{sf}/events.parquet", events(spark, sf).schema)
     totals = live.hourly_stream(events_as_activity(raw), decimals=2, grids=CELLS)
     found = live.hotspot_alerts(totals, sinks.stage_table(baseline, "baseline"))
-    folder = f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     live.start(found, f"{folder}/alerts", f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{folder}/alerts")
 
@@ -1027,7 +1027,7 @@ def _(spark, sf):
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def csv_folder(spark: SparkSession, sf: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 from functools import cache
 
@@ -46,3 +48,33 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return _local_folder()
+
+
+_OWNED: dict[str, object] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediates in the shared folder.
+
+    ``remove_scratch`` deletes it, at the latest when the driver ends, so
+    staged tables do not outlive the application that reads them.
+    """
+    context = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/gridpulse-{context.applicationId}"
+    if path not in _OWNED:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        _OWNED[path] = (at.getFileSystem(context._jsc.hadoopConfiguration()), at)
+        atexit.register(_remove, path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete all intermediates of this application; frames that read them fail afterwards."""
+    _remove(scratch_dir(spark))
+
+
+def _remove(path: str) -> None:
+    fs, at = _OWNED.pop(path, (None, None))
+    if fs is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone when the driver ends
+            fs.delete(at, True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridpulse.schemas import INSERT_BATCH
-from gridpulse.session import shared_dir
+from gridpulse.session import scratch_dir
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -36,10 +36,11 @@ def write_by_date(df: DataFrame, path: str, tasks: int | None = None) -> None:
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
-    Cuts the lineage like a checkpoint and survives lost executors.
+    Cuts the lineage like a checkpoint and survives lost executors. The table
+    lies in the application's scratch folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridpulse-{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

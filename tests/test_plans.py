@@ -192,3 +192,18 @@ def test_shared_folder_comes_from_the_session(spark):
     from gridpulse.session import shared_dir
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_intermediates_lie_in_a_folder_that_is_removed(spark):
+    from gridpulse import session
+
+    table = sinks.stage_table(spark.range(3), "t")
+    root = session.scratch_dir(spark)
+    assert root.startswith(session.shared_dir(spark)) and all(root in f for f in table.inputFiles())
+    held = session._OWNED.pop(root)  # the other tests' tables stay
+    session._OWNED["x"] = (held[0], spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent())
+    session._remove("x")
+    session._remove("x")
+    session._OWNED[root] = held
+    with pytest.raises(Exception):
+        table.collect()
