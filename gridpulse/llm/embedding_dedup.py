@@ -1,10 +1,9 @@
 """Near-duplicate embeddings with one navigable small-world graph per shard.
 
 Distinct vectors are dealt to shards; every shard is one hierarchical graph.
-Every vector queries every shard. A beam whose last member still is a link
-is widened; a shard's beam is also widened until an audit passes: queries
-turned away from known members by the angle of a link must find these.
-Candidates are confirmed by cosine in double precision.
+Every vector queries every shard. A shard's beam is widened until an audit
+passes on known links of a sample; a query whose beam is full of links is
+compared with the whole shard. Candidates are confirmed by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ THRESHOLD = 0.95
 LINKS = 12
 BUILD_BEAM = 40
 FIRST_BEAM, WIDEST_BEAM = 24, 256
+#: Cosines held at once where queries are compared with a whole shard.
+PRODUCT = 1 << 22
 #: Components of a shard's and of a query block's vectors, on average (50,000 and 25,000 vectors
 #: of 64); there are LEAST_SHARDS of each at least.
 SHARD_SIZE, BLOCK_SIZE, LEAST_SHARDS = 3_200_000, 1_600_000, 4
@@ -132,20 +133,36 @@ class Graph:
         return self._walk(q, near, beam, 0)
 
     def within(self, q: np.ndarray, least: float) -> np.ndarray:
-        """Members with a cosine of at least ``least``: beams grow until their last member is none.
+        """Members with a cosine of at least ``least`` to one vector."""
+        return next(found for _, found in self.all_within(q[None], least))
 
-        Beyond WIDEST_BEAM the query is compared with the whole shard.
+    def all_within(self, queries: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the query, members with a cosine of at least ``least``) of every query.
+
+        A beam with a member below ``least`` holds all links. Queries whose beam is full of links
+        lie in a dense group: they are compared with the whole shard, by one matrix product a block,
+        which costs less than wider beams. So are all queries if no beam passed the audit.
         """
-        beam = self.beam
-        while beam <= WIDEST_BEAM and beam < len(self.vectors):
-            found = self.nearest(q, beam)
-            if found[-1][0] < least:
-                return np.array([e for s, e in found if s >= least], np.int64)
-            beam *= 2
-        return np.flatnonzero(self.vectors @ q >= least)
+        dense: list[int] = []
+        for k, q in enumerate(queries):
+            found = self.nearest(q, self.beam) if self.beam <= WIDEST_BEAM else []
+            if found and (found[-1][0] < least or len(found) == len(self.vectors)):
+                yield k, np.array([e for s, e in found if s >= least], np.int64)
+            else:
+                dense.append(k)
+        step = max(1, PRODUCT // len(self.vectors))
+        for first in range(0, len(dense), step):
+            block = dense[first : first + step]
+            rows, members = np.nonzero(queries[block] @ self.vectors.T >= least)
+            cuts = np.searchsorted(rows, np.arange(1, len(block)))
+            yield from zip(block, np.split(members, cuts))
 
     def audit(self, least: float = LEAST_RECALL) -> None:
-        """Double the beam until queries at the angle of a link find the member they were turned from."""
+        """Double the beam until it finds enough of two kinds of known links of a sample.
+
+        These are the members that queries were turned away from by the angle of a link, and all
+        links of the sampled members themselves, known from comparing these with the whole shard.
+        """
         rng = np.random.default_rng(len(self.vectors))
         pick = rng.choice(len(self.vectors), min(AUDITS, len(self.vectors)), replace=False)
         base = self.vectors[pick].astype(float)
@@ -153,13 +170,18 @@ class Graph:
         away -= (away * base).sum(axis=1, keepdims=True) * base
         away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
         turned = (THRESHOLD * base + math.sqrt(1 - THRESHOLD**2) * away).astype(np.float32)
+        own = self.vectors[pick]
+        real = [np.flatnonzero(row >= THRESHOLD) for row in own @ self.vectors.T]
+        known = [*zip(turned, pick[:, None]), *zip(own, real)]
         while self.beam <= WIDEST_BEAM:
-            hit = 0
-            for q, target in zip(turned, pick):
+            hits = []
+            for q, targets in known:
                 found = self.nearest(q, self.beam)
-                # a target behind a full beam of links is found by widening
-                hit += any(e == target for _, e in found) or found[-1][0] >= THRESHOLD - 1e-4
-            if hit >= least * len(pick):
+                # links behind a full beam of links are found by comparing the shard
+                full = found[-1][0] >= THRESHOLD - 1e-4
+                hits.append(len(targets) if full else len(np.intersect1d(targets, [e for _, e in found])))
+            wanted = [len(targets) for _, targets in known]
+            if all(sum(hits[k]) >= least * sum(wanted[k]) for k in (slice(len(pick)), slice(len(pick), None))):
                 return
             self.beam *= 2
 
@@ -233,8 +255,8 @@ def _queried(queries: pa.Table, shards: pa.Table) -> pa.Table:
 
         own = queries["rep"].to_numpy()
         exact = _unit(_matrix(queries["embedding"], len(own)))
-        for k, q in zip(own.tolist(), exact):
-            found = graph.within(q.astype(np.float32), THRESHOLD - 1e-4)
+        for at, found in graph.all_within(exact.astype(np.float32), THRESHOLD - 1e-4):
+            k, q = int(own[at]), exact[at]
             found = found[(unit[found] @ q >= THRESHOLD) & (ids[found] != k)]
             if not len(found):
                 continue

@@ -256,3 +256,28 @@ def test_graph_recall_and_round_trip():
     near = (near / np.linalg.norm(near, axis=1, keepdims=True)).astype(np.float32)
     hit = [k in back.within(q, 0.95).tolist() for k, q in enumerate(near)]
     assert np.mean(hit) >= 0.98 and back.beam == graph.beam
+
+
+def test_dense_queries_compare_the_shard_and_real_links_are_found():
+    """Groups of 1 to 300: all links come back, block by block, and the audit's beam finds them."""
+    rng = np.random.default_rng(9)
+    sizes = [300, 80, 25, 24, 23, 5, 2, *[1] * 200]
+    x = np.concatenate([rng.standard_normal(32) + 0.08 * rng.standard_normal((n, 32)) for n in sizes])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph = embedding_dedup.Graph.build(x, np.arange(len(x)))
+    graph.audit()
+    assert graph.beam <= embedding_dedup.WIDEST_BEAM
+    got = {k: set(found.tolist()) for k, found in graph.all_within(x, 0.95)}
+    want = [set(np.flatnonzero(row >= 0.95).tolist()) for row in x @ x.T]
+    assert sorted(got) == list(range(len(x))) and all(got[k] <= want[k] for k in got)
+    assert sum(map(len, got.values())) >= 0.999 * sum(map(len, want))
+    assert all(got[k] == want[k] for k in range(300))
+
+
+def test_queries_without_a_passing_beam_compare_the_shard(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PRODUCT", 50)
+    x = np.eye(8, dtype=np.float32)[np.arange(40) % 8]
+    graph = embedding_dedup.Graph.build(x, np.arange(40))
+    graph.beam = 2 * embedding_dedup.WIDEST_BEAM
+    got = {k: found.tolist() for k, found in graph.all_within(x, 0.95)}
+    assert got == {k: [m for m in range(40) if m % 8 == k % 8] for k in range(40)}
