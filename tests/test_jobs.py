@@ -299,6 +299,46 @@ def test_geometry_text_and_centroids(spark):
     assert got[3] == got[4] == got[5] == (None, None)
 
 
+@pytest.mark.parametrize("split", ["150b", "900b", "128m"])
+@pytest.mark.parametrize("layout", ["compact", "indented", "type_last"])
+def test_features_read_by_byte_ranges(spark, tmp_path, split, layout):
+    """Strings with brackets, quotes and escapes, foreign members, any borders of the ranges."""
+    odd = ["}", "{[", 'a"b}', "\\\\", '\\"]}', "é}]", ""]
+    features = [
+        {"type": "Feature", "properties": {"cellId": c, "name": odd[c % 7], "list": [{"a": [1]}, {}]}, "geometry": square(c)}
+        for c in range(1, 60)
+    ]
+    head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": 'x"}]'}}}
+    other = {"other": [{"properties": {"cellId": 99}, "geometry": None}, {}], "bbox": [1, 2]}
+    document = {"features": features, **other, **head} if layout == "type_last" else {**head, "features": features, **other}
+    path = tmp_path / "grid.geojson"
+    path.write_text(json.dumps(document, ensure_ascii=False, indent=2 if layout == "indented" else None) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = grid.read_features(spark, str(path))
+        tasks = spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert split == "128m" or tasks > 4
+    got = {int(r["cell_id"]): (r["collection_type"], json.loads(r["geometry"])) for r in df.collect()}
+    assert df.count() == 59 and got == {c: ("FeatureCollection", square(c)) for c in range(1, 60)}
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ('{"type":"FeatureCollection","features":[]}', [("FeatureCollection", None, None)]),
+        ('{"features":[{"properties":{}}],"type":"T"}', [("T", None, None)]),
+        ('\ufeff{"type":"T","features":[null, {"properties":{"cellId":3},"geometry":null},null ]}', [("T", "3", None)]),
+        ("", []),
+    ],
+)
+def test_odd_feature_documents(spark, tmp_path, text, rows):
+    (tmp_path / "grid.geojson").write_text(text)
+    assert [tuple(r) for r in grid.read_features(spark, str(tmp_path / "grid.geojson")).collect()] == rows
+
+
 def test_lookup_keeps_compact_geometry(spark, tmp_path):
     path = geojson(tmp_path / "grid.geojson", [1, 2])
     lookup = grid.load_grid_lookup(spark, path, expected=2).orderBy("grid_id").collect()
