@@ -126,13 +126,16 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
 def next_hour_label(
     features: DataFrame, hourly: DataFrame, threshold: float = TARGET_THRESHOLD
 ) -> DataFrame:
-    """Stored features joined to the activity one hour later; rows without it drop out."""
+    """Stored features joined to the activity one hour later; rows without it drop out.
+
+    Both sides are shuffled: the planner does not see how many rows the filled hours have.
+    """
     following = hourly.select(
         "grid_id",
         (F.col("timestamp") - hours(1)).alias("feature_timestamp"),
         F.col("total_activity").alias("next_hour_activity"),
     )
-    return features.join(following, ["grid_id", "feature_timestamp"]).withColumn(
+    return features.join(following.hint("merge"), ["grid_id", "feature_timestamp"]).withColumn(
         "high_activity_target", (F.col("next_hour_activity") >= threshold).cast("int")
     )
 

@@ -50,7 +50,9 @@ def combine_risk(
 ) -> DataFrame:
     """Risk rows (grid_id, feature_timestamp, risk_score) with their anomaly result.
 
-    Left join one to one: a key that stands twice on either side raises.
+    Left join one to one: a key that stands twice on either side raises. Both
+    sides are shuffled: the anomaly rows may come from filled hours, whose
+    number the planner cannot see, so it would broadcast all of them.
     ``anomaly_present`` tells a missing anomaly row from one whose score is
     NULL because its baseline is 0.
     """
@@ -72,7 +74,7 @@ def combine_risk(
         F.lit(model_version).alias("model_version"),
     )
     left, right = _once(left, keys, "risk rows"), _once(right, keys, "anomaly rows")
-    joined = left.join(right, keys, "left")
+    joined = left.join(right.hint("merge"), keys, "left")
     return joined.withColumn(
         "anomaly_present", F.coalesce("anomaly_present", F.lit(False))
     ).select(*RISK_COLUMNS, "anomaly_present")

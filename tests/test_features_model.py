@@ -6,8 +6,9 @@ from statistics import fmean, pstdev
 import pytest
 from pyspark.sql import functions as F
 
-from gridpulse.operators import features, model, newton, quality, signals
+from gridpulse.operators import anomaly, features, model, newton, quality, signals
 from gridpulse.schemas import FEATURES
+from gridpulse.sources import sinks
 
 
 def test_literal_case(hours_frame):
@@ -281,6 +282,19 @@ def test_risk_table_keeps_zero_baselines_and_refuses_missing(spark, stamp):
     assert signals.risk_table(missing, strict=False).count() == 2
 
 
+def test_joins_of_filled_hours_are_not_broadcast(hours_frame):
+    """Few rows are stored, filling multiplies them: the planner's size is that of the stored ones."""
+    hours = hours_frame([(g, h, g + h) for g in (1, 2) for h in (0, 5000)])
+    filled = features.fill_hours(sinks.stage_table(hours, "hours"))
+    scored = filled.select("grid_id", F.col("timestamp").alias("feature_timestamp"), F.lit(0.5).alias("risk_score"))
+    risk = signals.risk_table(signals.combine_risk(scored, anomaly.anomaly_scores(filled)))
+    label = features.next_hour_label(scored, filled)
+    for joined, rows in ((risk, 10002), (label, 10000)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert joined.count() == rows
+
+
 def test_zone_shift_in_comparison(spark, stamp):
     alerts = spark.createDataFrame(
         [(1, stamp(0), "HIGH_ACTIVITY")], "grid_id int, timestamp timestamp_ntz, alert_type string"
