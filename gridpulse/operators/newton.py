@@ -21,6 +21,10 @@ from gridpulse.schemas import FEATURES
 MOST_STEPS = 100
 #: A set is done when its next step moves no weight by more than this.
 TOLERANCE = 1e-11
+#: Relative rise of the summed loss that the rounding of a long sum may cause; a smaller one says nothing about a step.
+LOSS_NOISE = 1e-9
+#: Steps below this shrink quadratically; one that does not is the rounding of the sums.
+SMALL_STEP = 1e-8
 
 
 @dataclass(frozen=True)
@@ -42,10 +46,13 @@ def _standard(name: str, mean: dict[str, float], deviation: dict[str, float]) ->
     return (F.col(name) - mean[name]) / deviation[name]
 
 
-def moments(rows: DataFrame, names: list[str]) -> tuple[dict[str, float], dict[str, float]]:
-    """Means and population deviations; a constant feature has deviation 1, so it becomes 0."""
-    stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names]).first()
-    return {c: stats[f"m_{c}"] for c in names}, {c: stats[f"s_{c}"] or 1.0 for c in names}
+def moments(rows: DataFrame, names: list[str]) -> tuple[dict[str, float], dict[str, float], int, int]:
+    """Means, population deviations, positive and negative rows; a constant feature has deviation 1, so it becomes 0."""
+    stats = rows.agg(
+        *[F.avg(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names],
+        F.count_if(F.col(TARGET) == 1).alias("p"), F.count_if(F.col(TARGET) == 0).alias("n"),
+    ).first()
+    return {c: stats[f"m_{c}"] for c in names}, {c: stats[f"s_{c}"] or 1.0 for c in names}, stats["p"], stats["n"]
 
 
 def _sums(fit: Fit, name: str) -> list[Column]:
@@ -64,15 +71,17 @@ def fit_sets(rows: DataFrame, sets: dict[str, list[str]], c: float = 1.0) -> dic
     """Minimise the summed loss plus ``|w|^2 / (2 c)`` (intercept free) for every feature set.
 
     ``rows`` are labelled rows without nulls, read once for the moments and
-    once a step: pass a stored table. A step that raises the loss is halved.
-    Only one class, or no row, has no fit and raises.
+    once a step: pass a stored table. The steps start at the base rate, the
+    optimum without features. A step that raises the loss by more than the
+    rounding of its sum is halved. Only one class, or no row, has no fit and
+    raises.
     """
     names = sorted({f for features in sets.values() for f in features})
-    classes = rows.agg(F.count_if(F.col(TARGET) == 1).alias("p"), F.count_if(F.col(TARGET) == 0).alias("n")).first()
-    if not classes["p"] or not classes["n"]:
+    mean, deviation, positive, negative = moments(rows, names)
+    if not positive or not negative:
         raise ValueError("both classes are needed for a fit")
-    mean, deviation = moments(rows, names)
-    at = {k: np.zeros(len(f) + 1) for k, f in sets.items()}
+    at = {k: np.array([np.log(positive / negative), *[0.0] * len(f)]) for k, f in sets.items()}
+    moved = dict.fromkeys(sets, np.inf)
     last = {k: (np.inf, at[k], np.zeros_like(at[k])) for k in sets}
     done: dict[str, Fit] = {}
 
@@ -91,9 +100,10 @@ def fit_sets(rows: DataFrame, sets: dict[str, list[str]], c: float = 1.0) -> dic
             penalty = np.diag([0.0, *[1.0 / c] * (d - 1)])
             loss = values[0] + w @ penalty @ w / 2
             before, start, step = last[k]
-            if loss > before * (1 + 1e-12) + 1e-12:
+            if loss > before * (1 + LOSS_NOISE) + 1e-12:
                 last[k] = before, start, step / 2
                 at[k] = start - step / 2
+                moved[k] = np.inf
                 continue
             hessian = np.zeros((d, d))
             hessian[np.triu_indices(d)] = values[1 + d :]
@@ -102,8 +112,10 @@ def fit_sets(rows: DataFrame, sets: dict[str, list[str]], c: float = 1.0) -> dic
             step = np.linalg.solve(factor.T, np.linalg.solve(factor, values[1 : 1 + d] + penalty @ w))
             last[k] = loss, w, step
             at[k] = w - step
-            if np.abs(step).max() <= TOLERANCE * max(1.0, np.abs(w).max()):
+            size = np.abs(step).max() / max(1.0, np.abs(w).max())
+            if size <= TOLERANCE or (size <= SMALL_STEP and size > moved[k] / 2):
                 done[k] = made(k)
+            moved[k] = size
     raise ArithmeticError(f"no convergence in {MOST_STEPS} steps: {sorted(set(sets) - set(done))}")
 
 

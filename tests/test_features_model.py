@@ -220,6 +220,23 @@ def test_newton_reads_the_rows_once_a_step_for_all_sets(labelled, monkeypatch):
     assert passes[:4] == ["s0", "s1", "s2", "s3"] and passes.count("s0") < 15
 
 
+def test_newton_is_not_held_up_by_the_rounding_of_the_loss(labelled, monkeypatch):
+    """The loss of many rows carries rounding that may rise from pass to pass."""
+    passes = []
+    real = newton._sums
+
+    def noisy(fit, name):
+        loss, *others = real(fit, name)
+        passes.append(name)
+        return [(loss * (1 + 1e-11 * len(passes))).alias(f"{name}_0"), *others]
+
+    exact = newton.fit(labelled)
+    monkeypatch.setattr(newton, "_sums", noisy)
+    fitted = newton.fit(labelled)
+    assert len(passes) < 10
+    assert fitted.weights == pytest.approx(exact.weights, abs=1e-9)
+
+
 def test_newton_of_constant_features_and_single_classes(spark):
     rows = spark.createDataFrame([(1.0, 5.0, 0), (2.0, 5.0, 1), (3.0, 5.0, 1)], "a double, b double, high_activity_target int")
     fitted = newton.fit(rows, ["a", "b"])
