@@ -8,10 +8,11 @@ the raw data; one exchange by cell serves gap filling, features and label.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from gridpulse.functions.checks import require_columns
 from gridpulse.functions.times import from_hour_index, hour_index, hours, literal
@@ -63,6 +64,55 @@ def _or_zero(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+# Figures of a block of rows, and their value where no row is: activity not null, active hours,
+# highest, sums, and squared deviations from the block's mean.
+_BLOCK = {"_n": 0, "_hours": 0, "_peak": None, "_sum": None, "_net": None, "_squares": 0.0}
+
+
+def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Figures of two blocks taken together."""
+    n = a["_n"] + b["_n"]
+    apart = F.try_divide(a["_sum"], a["_n"]) - F.try_divide(b["_sum"], b["_n"])
+    between = F.coalesce(F.try_divide(apart * apart * (a["_n"] * b["_n"]), n), F.lit(0.0))
+    return {
+        "_n": n,
+        "_hours": a["_hours"] + b["_hours"],
+        "_peak": F.greatest(a["_peak"], b["_peak"]),
+        **{c: F.coalesce(a[c] + b[c], a[c], b[c]) for c in ("_sum", "_net")},
+        "_squares": a["_squares"] + b["_squares"] + between,
+    }
+
+
+def _trailing(rows: DataFrame, by_time: WindowSpec) -> DataFrame:
+    """Adds the figures of each row's last 24 rows.
+
+    Blocks are doubled (1, 2, 4, 8 rows) by the block that ends where they
+    begin, and the last ones joined: a handful of lags a row instead of 24
+    updates of every figure. Nulls are left out, as aggregates do.
+    """
+    total = F.col("total_activity")
+    df = rows.withColumns(
+        {
+            "_n": total.isNotNull().cast("int"),
+            "_hours": F.when(total > 0, 1).otherwise(0),
+            "_peak": total,
+            "_sum": total,
+            "_net": F.col("internet_activity"),
+            "_squares": F.coalesce(total * 0.0, F.lit(0.0)),  # NaN for NaN and infinity
+        }
+    )
+    width = 1
+    while width < RECENT_HOURS:
+        double = RECENT_HOURS % (2 * width) == 0
+        behind = range(1, 2 if double else RECENT_HOURS // width)
+        earlier = {f"{c}_{k}": F.lag(c, k * width, v).over(by_time) for k in behind for c, v in _BLOCK.items()}
+        parts = [{c: F.col(f"{c}_{k}") for c in _BLOCK} for k in reversed(behind)]
+        whole = reduce(_merged, [*parts, {c: F.col(c) for c in _BLOCK}])
+        df = df.withColumns(earlier).withColumns(whole).drop(*earlier)
+        width = 2 * width if double else RECENT_HOURS
+    return df
+
+
 def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> DataFrame:
     """Six features per cell and hour that ends a gap-free run of 48 rows.
 
@@ -76,26 +126,15 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
     """
     require_columns(hourly, ["grid_id", "timestamp", "total_activity", "internet_activity"])
     by_time = Window.partitionBy("grid_id").orderBy("timestamp")
-    recent = by_time.rowsBetween(-(RECENT_HOURS - 1), 0)
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("total_activity")
-    row = F.row_number().over(by_time)
-    breaks = F.coalesce(
-        F.col("timestamp") - F.lag("timestamp").over(by_time) != hours(1), F.lit(True)
-    )
-    df = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity").withColumns(
-        {
-            "_row": row,
-            "_break": breaks,
-            "_hours": F.count_if(total > 0).over(recent),
-            "_peak": F.max(total).over(recent),
-            "_std": F.stddev_pop(total).over(recent),
-            "_sum": F.sum(total).over(recent),
-            "_net": F.sum("internet_activity").over(recent),
-            "_next_at": F.lead("timestamp").over(by_time),
-            "_next": F.lead("total_activity").over(by_time),
-        }
-    ).withColumns(
+    marks = {
+        "_row": F.row_number().over(by_time),
+        "_break": F.coalesce(F.col("timestamp") - F.lag("timestamp").over(by_time) != hours(1), F.lit(True)),
+        "_next_at": F.lead("timestamp").over(by_time),
+        "_next": F.lead("total_activity").over(by_time),
+    }
+    rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity").withColumns(marks)
+    df = _trailing(rows, by_time).withColumns(
         {
             "_run": F.max(F.when(F.col("_break"), F.col("_row"))).over(so_far),
             "_prior": F.lag("_sum", RECENT_HOURS).over(by_time) / RECENT_HOURS,
@@ -110,7 +149,7 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
         _or_zero(avg - F.col("_prior"), F.col("_prior")).alias("activity_growth"),
         F.col("_hours").cast("int").alias("active_hours"),
         _or_zero(F.col("_peak"), avg).alias("peak_ratio"),
-        F.col("_std").alias("variability"),
+        F.sqrt(F.try_divide("_squares", "_n")).alias("variability"),
         _or_zero(F.col("_net"), F.col("_sum")).alias("internet_share"),
     ]
     if label_threshold is None:

@@ -6,6 +6,7 @@ from statistics import fmean, pstdev
 import pytest
 from pyspark.sql import functions as F
 
+from gridpulse.functions.activity import quick_round
 from gridpulse.operators import anomaly, features, model, newton, quality, signals
 from gridpulse.schemas import FEATURES
 from gridpulse.sources import sinks
@@ -82,6 +83,49 @@ def test_features_and_label_brute_force(hours_frame, stamp):
             assert got[k] == pytest.approx(want[k])
 
 
+def test_trailing_rows_leave_nulls_out(spark, hours_frame):
+    """Every figure equals the plain aggregate over the last 24 rows, few updates a row."""
+    from pyspark.sql.window import Window
+
+    rng = random.Random(5)
+    rows = [(g, h, rng.choice([0, 3.25, rng.uniform(0, 9)]), rng.random()) for g in (1, 2) for h in range(90)]
+    rows += [(3, h, 0.1, 0.1) for h in range(60)]
+    hole = (F.col("grid_id") == 1) & (F.hour("timestamp") % 5 == 0) | (F.col("timestamp") >= "2024-01-03") & (F.col("grid_id") == 2)
+    df = hours_frame(rows)
+    df = df.withColumn("total_activity", F.when(~hole, F.col("total_activity")))
+    recent = Window.partitionBy("grid_id").orderBy("timestamp").rowsBetween(-23, 0)
+    total = F.col("total_activity")
+    plain = df.select(
+        "grid_id", F.col("timestamp").alias("feature_timestamp"), F.sum(total).over(recent).alias("s"),
+        F.count_if(total > 0).over(recent).alias("h"), F.max(total).over(recent).alias("p"),
+        F.stddev_pop(total).over(recent).alias("d"), F.sum("internet_activity").over(recent).alias("i"),
+    )
+    out = features.grid_features(df)
+    assert "rowframe, -23" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    both = out.join(plain, ["grid_id", "feature_timestamp"]).collect()
+    assert len(both) == 43 + 43 + 13
+    for r in both:
+        assert r["active_hours"] == r["h"]
+        assert r["avg_activity"] == (None if r["s"] is None else pytest.approx(r["s"] / 24))
+        assert r["variability"] == (None if r["d"] is None else pytest.approx(r["d"], abs=1e-12))
+        if r["s"]:
+            assert r["peak_ratio"] == pytest.approx(r["p"] * 24 / r["s"])
+            assert r["internet_share"] == pytest.approx(r["i"] / r["s"])
+        if r["grid_id"] == 3:
+            assert r["variability"] == 0
+
+
+def test_quick_round_is_round(spark):
+    rng = random.Random(1)
+    values = [0.0, -0.0, 0.0009765625, -0.0009765625, 1e-12, -1e-12, 5e-10, 4.9999999995, 2.5e-9, 1e12, -3e15, float("inf"), None]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(3000)]
+    values += [(2 * rng.randint(0, 10**9) + 1) / 2e9 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for d in (4, 9):
+        assert df.filter(~(quick_round(F.col("v"), d)).eqNullSafe(F.round("v", d))).count() == 0
+    assert df.filter(quick_round(F.lit(float("nan")), 9) != F.lit(float("nan"))).count() == 0
+
+
 def test_fill_hours(hours_frame, stamp):
     out = features.fill_hours(hours_frame([(1, 0, 5, 1), (1, 3, 7, 2), (2, 9, 1, 1)]))
     rows = [
