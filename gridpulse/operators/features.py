@@ -83,34 +83,49 @@ def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def _trailing(rows: DataFrame, by_time: WindowSpec) -> DataFrame:
-    """Adds the figures of each row's last 24 rows.
+def _lags(names: list[str], behind: list[int], by_time: WindowSpec) -> dict[str, Column]:
+    """The figures ``names`` that many rows ago, as columns name_rows."""
+    return {f"{c}_{k}": F.lag(c, k, _BLOCK.get(c)).over(by_time) for k in behind for c in names}
 
-    Blocks are doubled (1, 2, 4, 8 rows) by the block that ends where they
-    begin, and the last ones joined: a handful of lags a row instead of 24
-    updates of every figure. Nulls are left out, as aggregates do.
+
+def _block(lag: int = 0) -> dict[str, Column]:
+    return {c: F.col(f"{c}_{lag}" if lag else c) for c in _BLOCK}
+
+
+def _row(lag: int = 0) -> dict[str, Column]:
+    """Figures of one row; a row that is not there has a null total."""
+    end = f"_{lag}" if lag else ""
+    total = F.col(f"total_activity{end}")
+    return {
+        "_n": total.isNotNull().cast("int"),
+        "_hours": F.when(total > 0, 1).otherwise(0),
+        "_peak": total,
+        "_sum": total,
+        "_net": F.col(f"internet_activity{end}"),
+        "_squares": F.coalesce(total * 0.0, F.lit(0.0)),  # NaN for NaN and infinity
+    }
+
+
+def _trailing(rows: DataFrame, by_time: WindowSpec, marks: dict[str, Column], later: dict[str, Column]) -> DataFrame:
+    """Adds the figures of each row's last 24 rows, and ``_before``, the sum of the 24 rows before those.
+
+    Blocks of 4, 8 and 24 rows are joined from the blocks that end where they
+    begin: a handful of lags a row instead of 24 updates of every figure, and
+    three windows over the rows. Nulls are left out, as aggregates do. Other
+    columns over the same window share them: ``marks`` the first, ``later``,
+    which may read the marks, the second.
     """
-    total = F.col("total_activity")
-    df = rows.withColumns(
-        {
-            "_n": total.isNotNull().cast("int"),
-            "_hours": F.when(total > 0, 1).otherwise(0),
-            "_peak": total,
-            "_sum": total,
-            "_net": F.col("internet_activity"),
-            "_squares": F.coalesce(total * 0.0, F.lit(0.0)),  # NaN for NaN and infinity
-        }
-    )
-    width = 1
-    while width < RECENT_HOURS:
-        double = RECENT_HOURS % (2 * width) == 0
-        behind = range(1, 2 if double else RECENT_HOURS // width)
-        earlier = {f"{c}_{k}": F.lag(c, k * width, v).over(by_time) for k in behind for c, v in _BLOCK.items()}
-        parts = [{c: F.col(f"{c}_{k}") for c in _BLOCK} for k in reversed(behind)]
-        whole = reduce(_merged, [*parts, {c: F.col(c) for c in _BLOCK}])
-        df = df.withColumns(earlier).withColumns(whole).drop(*earlier)
-        width = 2 * width if double else RECENT_HOURS
-    return df
+    df = rows.withColumns(marks | _lags(["total_activity", "internet_activity"], [1, 2, 3], by_time))
+    df = df.withColumns(_merged(_merged(_row(3), _row(2)), _merged(_row(1), _row())))
+    df = df.drop(*[f"{c}_{k}" for c in ("total_activity", "internet_activity") for k in (1, 2, 3)])
+    lags = _lags(list(_BLOCK), [4], by_time)
+    df = df.withColumns(later | lags).withColumns(_merged(_block(4), _block())).drop(*lags)
+    whole, before = range(8, RECENT_HOURS, 8), range(RECENT_HOURS, 2 * RECENT_HOURS, 8)
+    lags = _lags(list(_BLOCK), list(whole), by_time) | _lags(["_sum"], list(before), by_time)
+    sums = [F.col(f"_sum_{k}") for k in reversed(before)]
+    joined = reduce(_merged, [*[_block(k) for k in reversed(whole)], _block()])
+    joined["_before"] = reduce(lambda a, b: F.coalesce(a + b, a, b), sums)
+    return df.withColumns(lags).withColumns(joined).drop(*lags)
 
 
 def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> DataFrame:
@@ -133,13 +148,9 @@ def grid_features(hourly: DataFrame, label_threshold: float | None = None) -> Da
         "_next_at": F.lead("timestamp").over(by_time),
         "_next": F.lead("total_activity").over(by_time),
     }
-    rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity").withColumns(marks)
-    df = _trailing(rows, by_time).withColumns(
-        {
-            "_run": F.max(F.when(F.col("_break"), F.col("_row"))).over(so_far),
-            "_prior": F.lag("_sum", RECENT_HOURS).over(by_time) / RECENT_HOURS,
-        }
-    )
+    run = {"_run": F.max(F.when(F.col("_break"), F.col("_row"))).over(so_far)}
+    rows = hourly.select("grid_id", "timestamp", "total_activity", "internet_activity")
+    df = _trailing(rows, by_time, marks, run).withColumn("_prior", F.col("_before") / RECENT_HOURS)
     avg = F.col("_sum") / RECENT_HOURS  # kept rows have full windows
     kept = df.filter(F.col("_row") - F.col("_run") >= HISTORY_HOURS - 1)
     columns = [

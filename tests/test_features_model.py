@@ -115,6 +115,13 @@ def test_trailing_rows_leave_nulls_out(spark, hours_frame):
             assert r["variability"] == 0
 
 
+def test_features_take_three_windows(hours_frame):
+    """Every window copies all rows once, so the trailing figures, marks and runs share them."""
+    rows = [(1, h, h % 7) for h in range(60)]
+    plan = features.grid_features(hours_frame(rows), 3.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Window [") for line in plan.splitlines()) <= 3
+
+
 def test_quick_round_is_round(spark):
     rng = random.Random(1)
     values = [0.0, -0.0, 0.0009765625, -0.0009765625, 1e-12, -1e-12, 5e-10, 4.9999999995, 2.5e-9, 1e12, -3e15, float("inf"), None]
