@@ -10,8 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def check_rows(one_row: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Unfold a one-row frame into check rows; ``checks`` maps name -> (value, passed)."""
+def check_rows(
+    one_row: DataFrame, checks: dict[str, tuple[Column, Column]], listed: dict[str, Column] | None = None
+) -> DataFrame:
+    """Unfold a one-row frame into check rows; ``checks`` maps name -> (value, passed).
+
+    A check in ``listed`` has a row only where its condition holds.
+    """
     structs = [
         F.struct(
             F.lit(name).alias("check"),
@@ -20,7 +25,10 @@ def check_rows(one_row: DataFrame, checks: dict[str, tuple[Column, Column]]) ->
         )
         for name, (value, passed) in checks.items()
     ]
-    return one_row.select(F.inline(F.array(*structs)))
+    if not listed:
+        return one_row.select(F.inline(F.array(*structs)))
+    structs = [F.when(listed[name], row) if name in listed else row for name, row in zip(checks, structs)]
+    return one_row.select(F.inline(F.array_compact(F.array(*structs))))
 
 
 def zero(column: str) -> tuple[Column, Column]:

@@ -165,8 +165,8 @@ def _audit_or_empty(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_SCHEMA).parquet(path)
 
 
-def storage_stage(clean: DataFrame, hourly: DataFrame, path: str) -> DataFrame:
-    """Write clean and hourly tables and return the round-trip checks of both."""
+def storage_stage(clean: DataFrame, hourly: DataFrame, path: str, every: bool = False) -> DataFrame:
+    """Write clean and hourly tables and return the round-trip checks of both (``every`` as there)."""
     spark = clean.sparkSession
     sinks.write_by_date(clean, f"{path}/clean_activity")
     sinks.write_by_date(hourly, f"{path}/hourly")
@@ -174,9 +174,9 @@ def storage_stage(clean: DataFrame, hourly: DataFrame, path: str) -> DataFrame:
     again_clean = spark.read.parquet(f"{path}/clean_activity")
     again_hourly = spark.read.parquet(f"{path}/hourly")
     keys = ["date", "timestamp", "grid_id"]
-    checks = quality.roundtrip_checks(again_clean, clean, keys + ["country_code"])
+    checks = quality.roundtrip_checks(again_clean, clean, keys + ["country_code"], every)
     return checks.withColumn("table", F.lit("clean_activity")).unionByName(
-        quality.roundtrip_checks(again_hourly, hourly, keys).withColumn("table", F.lit("hourly"))
+        quality.roundtrip_checks(again_hourly, hourly, keys, every).withColumn("table", F.lit("hourly"))
     )
 
 
