@@ -150,7 +150,7 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         items = table["items"].combine_chunks()
         size = items.value_lengths().to_numpy().astype(np.int64)
         flat, at = items.flatten().to_numpy(), np.append(0, np.cumsum(size))
-        left, right = [], []
+        pairs = []
         for low, high in zip(edges, np.append(edges[1:], len(keys))):
             group = comp[low:high].copy()
             for x in range(low, high - 1):
@@ -172,11 +172,11 @@ def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
                     both = np.add.reduceat(found, np.cumsum(size[part]) - size[part], dtype=np.int64)
                     for y in part[100 * both >= least * (size[part] + size[x] - both)]:
                         if group[y - low] != group[x - low]:
-                            left.append(ids[x])
-                            right.append(ids[y])
+                            pairs.append((ids[x], ids[y], comp[x], comp[y]))
                             group[group == group[y - low]] = group[x - low]
-        if left:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        if pairs:
+            columns = [pa.array(c, pa.int64()) for c in zip(*pairs)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "component_a", "component_b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -203,12 +203,8 @@ def _confirmed(documents: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     sets = _sets_of(documents, ids)
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return stage(
-        pairs.join(left, "a").join(right, "b")
-        .where(100 * both >= least * (F.size("x") + F.size("y") - both))
-        .select("a", "b").distinct(),
-        "minhash",
-    )
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(100 * both >= least * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
@@ -236,15 +232,10 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
         "minhash",
     )
     prints = ["n_shingles", "print1", "print2"]
+    # bands and slots are the same throughout a class; a repeated doc_id with several texts can stand for several classes
     classes = stage(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("rep")),
-        "minhash",
-    )
-    # a repeated doc_id with several texts can stand for several classes
-    reps = stage(
-        classes.join(
-            signed.select(F.col("doc_id").alias("rep"), *prints, "bands", "slots"), ["rep", *prints]
-        ).dropDuplicates(["rep", *prints]),
+        signed.where("n_shingles > 0 and doc_id is not null")
+        .groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("slots").alias("slots")),
         "minhash",
     )
     repeated = (
@@ -252,10 +243,10 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
         .groupBy("doc_id").agg(F.min("print1").alias("low"), F.max("print1").alias("high")).where("low <> high")
     )
     same_id = (
-        signed.join(repeated.select("doc_id"), "doc_id").join(classes, prints)
+        signed.join(repeated.select("doc_id"), "doc_id").join(classes.select("rep", *prints), prints)
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     )
-    member = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
+    member = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = stage(
         member.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("hub")).where("n > 1"),
         "minhash",
@@ -266,21 +257,22 @@ def near_duplicates(documents: DataFrame, least: int = 75) -> DataFrame:
         .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(),
         "minhash",
     )
-    links = _confirmed(documents, stars, least).unionByName(same_id)
-    group = components(links)
+    group = components(_confirmed(documents, stars, least).unionByName(same_id))
     placed = stage(
-        reps.join(group, reps["rep"] == group["node"], "left")
-        .select("rep", "n_shingles", "slots", "bands", F.coalesce("component", "rep").alias("component")),
-        "minhash",
-    )
-    more = _more_links(documents, placed, least)
-    if not more.isEmpty():
-        group = components(links.unionByName(more))
-    homes = stage(
         classes.join(group, classes["rep"] == group["node"], "left")
-        .select(*prints, F.coalesce("component", "rep").alias("component")),
+        .select(*prints, "rep", "slots", "bands", F.coalesce("component", "rep").alias("component")),
         "minhash",
     )
+    homes = placed.select(*prints, "component")
+    more = _more_links(documents, placed, least, "component_a", "component_b")
+    if not more.isEmpty():
+        # components by their smallest doc_id, which are fewer than documents
+        united = components(more.toDF("a", "b")).toDF("node", "united")
+        homes = stage(
+            homes.join(united, homes["component"] == united["node"], "left")
+            .select(*prints, F.coalesce("united", "component").alias("component")),
+            "minhash",
+        )
     found = signed.select("doc_id", *prints).join(homes, prints, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select(
@@ -344,17 +336,18 @@ def _shared_buckets(placed: DataFrame) -> DataFrame:
     )
 
 
-def _more_links(documents: DataFrame, placed: DataFrame, least: int) -> DataFrame:
-    """Links (a, b) between components that share buckets, confirmed on full sets."""
+def _more_links(documents: DataFrame, placed: DataFrame, least: int, *ends: str) -> DataFrame:
+    """Links (a, b) between components that share buckets, confirmed on full sets.
+
+    ``ends`` names other columns instead: component_a, component_b.
+    """
     shared = _shared_buckets(placed)
     ids = stage(shared.select(F.col("rep").alias("doc_id")).distinct(), "minhash")
     sets = _sets_of(documents, ids).withColumnRenamed("doc_id", "rep")
-    known = stage(placed.join(sets.dropDuplicates(["rep"]), "rep"), "minhash")
-    full = shared.join(known, "rep")
-    return stage(
-        full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _united(it, least), "a long, b long").distinct(),
-        "minhash",
-    )
+    known = placed.select("rep", "component", "slots", "bands").join(sets.dropDuplicates(["rep"]), "rep")
+    full = shared.join(known, "rep").repartition("bucket").sortWithinPartitions("bucket")
+    found = full.mapInArrow(lambda it: _united(it, least), "a long, b long, component_a long, component_b long")
+    return stage(found.select(*(ends or ("a", "b"))).distinct(), "minhash")
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:

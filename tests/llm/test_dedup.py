@@ -12,7 +12,7 @@ from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridpulse.llm import embedding_dedup, minhash_dedup
+from gridpulse.llm import _stage, embedding_dedup, minhash_dedup
 from gridpulse.llm._stage import components
 from gridpulse.llm._text import slices, words
 
@@ -201,6 +201,50 @@ def test_components_of_chains_stars_and_rings(spark):
     assert components(df.limit(0)).collect() == []
 
 
+def counted(monkeypatch, module):
+    """The tables that ``module`` stages from now on."""
+    written = []
+
+    def stage(df, name):
+        written.append(name)
+        return _stage.stage(df, name)
+
+    monkeypatch.setattr(module, "stage", stage)
+    return written
+
+
+def test_components_of_stars_take_no_further_step(spark, monkeypatch):
+    write, written = _stage.stage, []
+    monkeypatch.setattr(_stage, "stage", lambda df, name: written.append(name) or write(df, name))
+    links = [(d, d + k) for d in range(0, 100, 10) for k in range(1, 6)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {d + k: d for d in range(0, 100, 10) for k in range(6)}
+    assert len(written) == 2  # the links and their minima; a step more writes four tables
+
+
+def test_later_links_unite_components_not_documents(spark, monkeypatch):
+    seen = []
+
+    def watched(edges, *name):
+        seen.append(sorted(tuple(sorted(r)) for r in edges.collect()))
+        return components(edges, *name)
+
+    monkeypatch.setattr(minhash_dedup, "components", watched)
+    written = counted(monkeypatch, minhash_dedup)
+    more = [(3, 12, 1, 10), (14, 22, 10, 20)]  # documents 3 and 12 of the components 1 and 10, and so on
+    monkeypatch.setattr(
+        minhash_dedup, "_more_links",
+        lambda documents, placed, least, *ends: spark.createDataFrame(
+            more, "a long, b long, component_a long, component_b long").select(*(ends or ("a", "b"))),
+    )
+    texts = {d: " ".join(f"w{d // 10}x{k}" for k in range(60)) + f" end{d}" for d in (1, 2, 3, 10, 12, 14, 20, 22, 30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {d: 30 if d == 30 else 1 for d in texts}
+    assert seen[1] == [(1, 10), (10, 20)]
+    assert len(written) == 8
+
+
 def brute_vectors(rows):
     good = {i: np.array(v, float) / np.linalg.norm(v) for i, v in rows if usable(v)}
     links = [
