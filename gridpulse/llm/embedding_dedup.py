@@ -1,7 +1,9 @@
 """Near-duplicate embeddings with one navigable small-world graph per shard.
 
-Distinct vectors are dealt to shards; every shard is one hierarchical graph.
-Every vector queries every shard. A shard's beam is widened until an audit
+Distinct vectors are dealt to shards; every shard is one hierarchical graph,
+which a task writes as files to the shared folder. Every vector queries every
+shard: a task reads a block of a shard's vectors and the graph of one shard, so
+rows carry paths and no graph is shuffled or copied. A shard's beam is widened until an audit
 passes on known links of a sample; a query whose beam is full of links is
 compared with the whole shard. Candidates are confirmed by cosine in double precision.
 """
@@ -11,14 +13,16 @@ from __future__ import annotations
 import heapq
 import io
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridpulse.llm._stage import components, stage
+from gridpulse.llm._stage import components, file_store, folder, stage
 from gridpulse.llm._text import mix
 
 THRESHOLD = 0.95
@@ -27,10 +31,12 @@ BUILD_BEAM = 40
 FIRST_BEAM, WIDEST_BEAM = 24, 256
 #: Cosines held at once where queries are compared with a whole shard.
 PRODUCT = 1 << 22
-#: Components of a shard's and of a query block's vectors, on average (50,000 and 25,000 vectors
-#: of 64); there are LEAST_SHARDS of each at least.
+#: Components of a shard's vectors, on average, and of a block of queries, at most (50,000 and
+#: 25,000 vectors of 64); there are LEAST_SHARDS shards at least.
 SHARD_SIZE, BLOCK_SIZE, LEAST_SHARDS = 3_200_000, 1_600_000, 4
 AUDITS, LEAST_RECALL = 200, 0.99
+#: Tasks that compare blocks with shards, at most; each takes one pair after the other.
+MOST_TASKS = 10_000
 
 
 class Graph:
@@ -185,19 +191,18 @@ class Graph:
                 return
             self.beam *= 2
 
-    def dump(self) -> bytes:
-        arrays = {"vectors": self.vectors, "head": np.array([self.entry, self.beam])}
+    def dump(self, vectors: bool = True) -> bytes:
+        """Without ``vectors``, ``load`` has to be given them."""
+        arrays = {"head": np.array([self.entry, self.beam])} | ({"vectors": self.vectors} if vectors else {})
         for k, links in enumerate(self.layers):
             nodes = np.array(sorted(links), np.int64)
             arrays[f"nodes{k}"] = nodes
             arrays[f"sizes{k}"] = np.array([len(links[n]) for n in nodes.tolist()], np.int64)
             arrays[f"links{k}"] = np.concatenate([links[n] for n in nodes.tolist()]).astype(np.int32)
-        out = io.BytesIO()
-        np.savez(out, **arrays)
-        return out.getvalue()
+        return _packed(arrays)
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, vectors: np.ndarray | None = None) -> Graph:
         arrays = np.load(io.BytesIO(data))
         layers = []
         while f"nodes{len(layers)}" in arrays:
@@ -205,7 +210,13 @@ class Graph:
             parts = np.split(arrays[f"links{k}"].astype(np.int64), np.cumsum(arrays[f"sizes{k}"])[:-1])
             layers.append(dict(zip(arrays[f"nodes{k}"].tolist(), parts)))
         entry, beam = arrays["head"].tolist()
-        return cls(arrays["vectors"], layers, entry, beam)
+        return cls(arrays["vectors"] if vectors is None else vectors, layers, entry, beam)
+
+
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
 
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -215,58 +226,85 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _built(table: pa.Table) -> pa.Table:
-    """One row (shard, graph, members) from the rows of a shard."""
+def _write(path: str, data: bytes) -> None:
+    store, place = file_store(path)
+    with store.open_output_stream(place) as out:
+        out.write(data)
+
+
+def _read(path: str) -> bytes:
+    store, place = file_store(path)
+    with store.open_input_file(place) as file:
+        return file.read()
+
+
+def _built(table: pa.Table, base: str) -> pa.Table:
+    """Writes members and graph of a shard from its rows; one row (width, path, n).
+
+    Names are new in every attempt: what a lost attempt leaves is never read.
+    """
     ids = table["rep"].to_numpy()
     order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
     table, ids = table.take(pa.array(order)), ids[order]
-    unit = _unit(_matrix(table["embedding"], len(ids)))
-    graph = Graph.build(unit.astype(np.float32), ids)
+    x = _matrix(table["embedding"], len(ids))
+    graph = Graph.build(_unit(x).astype(np.float32), ids)
     graph.audit()
-    members = {"ids": ids, "weights": table["n"].to_numpy(), "unit": unit}
-    out = io.BytesIO()
-    np.savez(out, **members)
+    with np.errstate(over="ignore"):
+        short = x.astype(np.float32)
+    store, root = file_store(base)
+    store.create_dir(root, recursive=True)
+    path = f"{base}/{uuid.uuid4().hex}"
+    members = {"ids": ids, "weights": table["n"].to_numpy(), "vectors": short if np.array_equal(short, x) else x}
+    _write(f"{path}.members", _packed(members))
+    _write(f"{path}.graph", graph.dump(vectors=False))
     return pa.table(
-        {
-            "width": table["width"][:1].combine_chunks(), "shard": table["shard"][:1].combine_chunks(),
-            "graph": pa.array([graph.dump()], pa.binary()), "members": pa.array([out.getvalue()], pa.binary()),
-        }
+        {"width": table["width"][:1].combine_chunks(), "path": pa.array([path]), "n": pa.array([len(ids)], pa.int64())}
     )
 
 
-def _queried(queries: pa.Table, shards: pa.Table) -> pa.Table:
-    """Rows (a, links, b): a query's links into the shard by number, and enough links to unite what they join."""
+def _queried(queries: str, first: int, size: int, shard: str) -> pa.RecordBatch:
+    """Rows (a, links, b) of ``size`` members of one shard, from ``first`` on, against another (paths of both).
+
+    A query's links into the shard by number, and enough links to unite what they join.
+    """
+    held = np.load(io.BytesIO(_read(f"{shard}.members")))
+    ids, weights, unit = held["ids"], held["weights"], _unit(held["vectors"])
+    graph = Graph.load(_read(f"{shard}.graph"), unit.astype(np.float32))
+    asked = np.load(io.BytesIO(_read(f"{queries}.members")))
+    own, exact = asked["ids"][first : first + size], _unit(asked["vectors"][first : first + size])
     a_out, n_out, b_out = [], [], []
-    if queries.num_rows and shards.num_rows:
-        graph = Graph.load(shards["graph"][0].as_py())
-        held = np.load(io.BytesIO(shards["members"][0].as_py()))
-        ids, weights, unit = held["ids"], held["weights"], held["unit"]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        own = queries["rep"].to_numpy()
-        exact = _unit(_matrix(queries["embedding"], len(own)))
-        for at, found in graph.all_within(exact.astype(np.float32), THRESHOLD - 1e-4):
-            k, q = int(own[at]), exact[at]
-            found = found[(unit[found] @ q >= THRESHOLD) & (ids[found] != k)]
-            if not len(found):
-                continue
-            a_out.append(k), n_out.append(int(weights[found].sum())), b_out.append(None)
-            for other in ids[found].tolist():
-                x, y = find(k), find(other)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a_out.append(k), n_out.append(0), b_out.append(other)
-    return pa.table({"a": pa.array(a_out, pa.int64()), "links": pa.array(n_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for at, found in graph.all_within(exact.astype(np.float32), THRESHOLD - 1e-4):
+        k, q = int(own[at]), exact[at]
+        found = found[(unit[found] @ q >= THRESHOLD) & (ids[found] != k)]
+        if not len(found):
+            continue
+        a_out.append(k), n_out.append(int(weights[found].sum())), b_out.append(None)
+        for other in ids[found].tolist():
+            x, y = find(k), find(other)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a_out.append(k), n_out.append(0), b_out.append(other)
+    columns = {"a": pa.array(a_out, pa.int64()), "links": pa.array(n_out, pa.int64()), "b": pa.array(b_out, pa.int64())}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pair in batch.to_pylist():
+            yield _queried(**pair)
 
 
 def usable(embedding: Column) -> Column:
@@ -288,12 +326,14 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     """
     spark = embeddings.sparkSession
     plain = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v.cast("double")))
+    floats = isinstance(getattr(embeddings.schema["embedding"].dataType, "elementType", None), T.FloatType)
     rows = stage(
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), plain.alias("embedding"))
         .withColumn("fine", usable(F.col("embedding")) & F.col("vec_id").isNotNull())
         .withColumn("print1", F.xxhash64("embedding"))
         .withColumn("print2", F.xxhash64(F.lit(1), F.reverse("embedding")))
-        .withColumn("width", F.when(F.col("fine"), F.size("embedding"))),
+        .withColumn("width", F.when(F.col("fine"), F.size("embedding")))
+        .withColumn("embedding", F.col("embedding").cast("array<float>" if floats else "array<double>")),
         "vectors",
     )
     prints = ["width", "print1", "print2"]
@@ -307,20 +347,16 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
     )
     total = reps.agg(F.coalesce(F.sum("width"), F.lit(0)).alias("size")).first()["size"]
     shards = max(LEAST_SHARDS, math.ceil(total / SHARD_SIZE))
-    blocks = max(LEAST_SHARDS, math.ceil(total / BLOCK_SIZE))
     dealt = reps.withColumn("shard", F.pmod(F.xxhash64(F.lit(2), *prints), F.lit(shards)).cast("int"))
+    base = folder(spark, "graphs")
     graphs = stage(
-        dealt.groupBy("width", "shard").applyInArrow(_built, "width int, shard int, graph binary, members binary"), "graphs"
-    )
-    queries = reps.select(
-        "rep", "width", "embedding", F.pmod(F.xxhash64(F.lit(3), *prints), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-    )
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["width", "shard", "block"]
-    found = stage(
-        queries.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(_queried, "a long, links long, b long"), "links"
+        dealt.groupBy("width", "shard").applyInArrow(lambda table: _built(table, base), "width int, path string, n long"), "graphs"
     )
+    size = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_SIZE) / F.col("width")))
+    blocks = graphs.select("width", F.col("path").alias("queries"), F.explode(F.sequence(F.lit(0), F.col("n") - 1, size)).alias("first"), size.alias("size"))
+    pairs = stage(blocks.join(graphs.select("width", F.col("path").alias("shard")), "width").drop("width"), "pairs")
+    tasks = max(1, min(pairs.count(), MOST_TASKS))
+    found = stage(pairs.repartition(tasks).mapInArrow(_compared, "a long, links long, b long"), "links")
     group = components(found.where("b is not null").select("a", "b"), "links")
     counted = found.groupBy("a").agg(F.sum("links").alias("links"))
     homes = stage(

@@ -289,6 +289,25 @@ def test_one_dense_group_and_null_ids(spark, small_shards):
     assert [tuple(r) for r in got if r["vec_id"] is None] == [(None, 0, None, True)]
 
 
+def test_graphs_lie_in_files_and_rows_carry_their_paths(spark, monkeypatch):
+    """Work for a pair of block and shard is a short row, however many blocks there are."""
+    staged = []
+    keep = embedding_dedup.stage
+    monkeypatch.setattr(embedding_dedup, "stage", lambda df, name: staged.append((name, keep(df, name))) or staged[-1][1])
+    monkeypatch.setattr(embedding_dedup, "SHARD_SIZE", 800)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_SIZE", 300)
+    rng = np.random.default_rng(12)
+    rows = [(i, (np.eye(8)[i % 8] + rng.standard_normal(8) * 0.1).astype(np.float32).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == brute_vectors(rows)
+    assert all(kind != "binary" for _, frame in staged for _, kind in frame.dtypes)
+    found = dict(staged)
+    sizes = [r["n"] for r in found["graphs"].collect()]
+    assert sum(sizes) == 500 and len(sizes) == 5
+    assert found["pairs"].count() == 5 * sum(-(-n // (300 // 8)) for n in sizes)
+
+
 def test_graph_recall_and_round_trip():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((1500, 48))
