@@ -10,7 +10,6 @@ compared with the whole shard. Candidates are confirmed by cosine in double prec
 
 from __future__ import annotations
 
-import heapq
 import io
 import math
 import uuid
@@ -29,8 +28,10 @@ THRESHOLD = 0.95
 LINKS = 12
 BUILD_BEAM = 40
 FIRST_BEAM, WIDEST_BEAM = 24, 256
-#: Cosines held at once where queries are compared with a whole shard.
+#: Cosines held at once where queries are compared with a whole shard, and members marked as seen.
 PRODUCT = 1 << 22
+#: Queries that walk a graph side by side, and nodes that join it in a batch, at most.
+SIDE_BY_SIDE = 256
 #: Components of a shard's vectors, on average, and of a block of queries, at most (50,000 and
 #: 25,000 vectors of 64); there are LEAST_SHARDS shards at least.
 SHARD_SIZE, BLOCK_SIZE, LEAST_SHARDS = 3_200_000, 1_600_000, 4
@@ -40,103 +41,175 @@ MOST_TASKS = 10_000
 
 
 class Graph:
-    """Hierarchical navigable small world over unit vectors; layer 0 has twice the links."""
+    """Hierarchical navigable small world over unit vectors; layer 0 has twice the links.
 
-    def __init__(self, vectors: np.ndarray, layers: list[dict[int, np.ndarray]], entry: int, beam: int):
-        self.vectors, self.layers, self.entry, self.beam = vectors, layers, entry, beam
-        self.seen = np.zeros(len(vectors), np.int64)
-        self.turn = 0
+    A layer is its nodes, the row of each node (-1: not in it) and a matrix of links, -1 where a row
+    has fewer. Queries walk side by side, as many as SIDE_BY_SIDE and PRODUCT allow.
+    """
+
+    def __init__(self, vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], entry: int, beam: int):
+        self.vectors, self.layers, self.entry, self.beam = vectors, [], entry, beam
+        for nodes, links in layers:
+            row = np.full(len(vectors), -1, np.int32)
+            row[nodes] = np.arange(len(nodes))
+            self.layers.append((nodes, row, links))
+        self.side = max(1, min(SIDE_BY_SIDE, PRODUCT // len(vectors)))
+        self.seen = np.zeros(self.side * len(vectors), np.int32)
+        self.turn = 1
 
     @classmethod
     def build(cls, vectors: np.ndarray, ids: np.ndarray) -> Graph:
+        """Nodes join in batches; those of a batch know the ones before them from one matrix product."""
         u = (mix(ids.astype(np.uint64) + np.uint64(7)) >> np.uint64(11)) / 2.0**53
         levels = np.minimum((-np.log(np.maximum(u, 1e-12)) / math.log(LINKS)).astype(int), 8)
-        graph = cls(vectors, [{} for _ in range(int(levels.max()) + 1)], 0, FIRST_BEAM)
+        layers = []
+        for k in range(int(levels.max()) + 1):
+            nodes = np.flatnonzero(levels >= k)
+            layers.append((nodes, np.full((len(nodes), LINKS * (2 if k == 0 else 1)), -1, np.int32)))
+        graph = cls(vectors, layers, 0, FIRST_BEAM)
         top = -1
-        for node in range(len(vectors)):
-            q, level = vectors[node], int(levels[node])
-            near = [graph.entry]
-            for k in range(top, -1, -1):
-                found = graph._walk(q, near, BUILD_BEAM if k <= level else 1, k)
-                near = [e for _, e in found]
-                if k <= level:
-                    graph._join(node, found, k)
-            for k in range(top + 1, level + 1):
-                graph.layers[k][node] = np.zeros(0, np.int64)
-            if level > top:
-                top, graph.entry = level, node
+        for first in range(0, len(vectors), graph.side):
+            batch = np.arange(first, min(first + graph.side, len(vectors)))
+            own = vectors[batch] @ vectors[batch].T
+            own[np.triu_indices(len(batch))] = -np.inf
+            start = np.full((len(batch), 1), graph.entry)
+            for k in range(len(layers) - 1, -1, -1):
+                joins = np.flatnonzero(levels[batch] >= k)
+                found = np.full((len(batch), BUILD_BEAM), -1)
+                sims = np.full((len(batch), BUILD_BEAM), -np.inf, np.float32)
+                if k <= top:
+                    for rows, beam in ((joins, BUILD_BEAM), (np.flatnonzero(levels[batch] < k), 1)):
+                        if len(rows):
+                            found[rows, :beam], sims[rows, :beam] = graph._walk(vectors[batch[rows]], start[rows], beam, k)
+                    start = found
+                if len(joins):
+                    known = np.concatenate([found[joins], np.broadcast_to(batch[joins], (len(joins), len(joins)))], axis=1)
+                    near = np.concatenate([sims[joins], own[np.ix_(joins, joins)]], axis=1)
+                    order = np.argsort(-near, axis=1, kind="stable")[:, :BUILD_BEAM]
+                    graph._join(batch[joins], np.take_along_axis(known, order, 1), np.take_along_axis(near, order, 1), k)
+            if int(levels[batch].max()) > top:
+                top = int(levels[batch].max())
+                graph.entry = int(batch[levels[batch].argmax()])
         return graph
 
-    def _walk(self, q: np.ndarray, start: list[int], beam: int, layer: int) -> list[tuple[float, int]]:
-        """The ``beam`` nearest found, best first."""
-        links, vectors, seen = self.layers[layer], self.vectors, self.seen
-        self.turn += 1
-        turn = self.turn
-        seen[start] = turn
-        best = [(float(s), e) for s, e in zip(vectors[start] @ q, start)]
-        heapq.heapify(best)
-        ahead = [(-s, e) for s, e in best]
-        heapq.heapify(ahead)
-        while len(best) > beam:
-            heapq.heappop(best)
-        while ahead:
-            s, node = heapq.heappop(ahead)
-            if -s < best[0][0] and len(best) >= beam:
-                break
-            near = links[node]
-            near = near[seen[near] != turn]
-            if not len(near):
-                continue
-            seen[near] = turn
-            sims = vectors[near] @ q
-            if len(best) >= beam:
-                ok = sims > best[0][0]
-                near, sims = near[ok], sims[ok]
-            for s, e in zip(sims.tolist(), near.tolist()):
-                if len(best) < beam:
-                    heapq.heappush(best, (s, e))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, e))
-                else:
-                    continue
-                heapq.heappush(ahead, (-s, e))
-        return sorted(best, reverse=True)
-
-    def _choose(self, found: list[tuple[float, int]], most: int) -> np.ndarray:
-        """Neighbours in different directions: each nearer to the node than to those before it."""
-        ids = [e for _, e in found]
-        if len(ids) <= 1:
-            return np.array(ids, np.int64)
-        between = self.vectors[ids] @ self.vectors[ids].T
-        taken: list[int] = []
-        for k, (s, _) in enumerate(found):
-            if len(taken) == most:
-                break
-            if not taken or between[k, taken].max() < s:
-                taken.append(k)
-        for k in range(len(ids)):
-            if len(taken) >= min(most // 2, len(ids)):
-                break
-            if k not in taken:
-                taken.append(k)
-        return np.array([ids[k] for k in taken], np.int64)
-
-    def _join(self, node: int, found: list[tuple[float, int]], layer: int) -> None:
-        links, most = self.layers[layer], LINKS * (2 if layer == 0 else 1)
-        links[node] = self._choose(found, LINKS)
-        for other in links[node].tolist():
-            back = np.append(links[other], node)
-            if len(back) > most:
-                sims = self.vectors[back] @ self.vectors[other]
-                order = np.argsort(-sims, kind="stable")
-                back = self._choose(list(zip(sims[order].tolist(), back[order].tolist())), most)
-            links[other] = back
-
-    def nearest(self, q: np.ndarray, beam: int) -> list[tuple[float, int]]:
-        near = [self.entry]
-        for k in range(len(self.layers) - 1, 0, -1):
-            near = [self._walk(q, near, 1, k)[0][1]]
-        return self._walk(q, near, beam, 0)
+    def _walk(self, queries: np.ndarray, start: np.ndarray, beam: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest found of each query and their cosines, best first (-1 and -inf where there are fewer).
+
+        Every turn expands the best few members of each beam not yet expanded; a query ends when all are.
+        """
+        (_, row, links), vectors, n = self.layers[layer], self.vectors, len(self.vectors)
+        if self.turn > 1 << 30:
+            self.seen[:], self.turn = 0, 1
+        begun, ahead = self.turn, max(1, beam // 8)
+        ids = np.full((len(queries), beam), -1)
+        sims = np.full((len(queries), beam), -np.inf, np.float32)
+        done = np.zeros((len(queries), beam), bool)
+        live = np.arange(len(queries))
+        at, column = np.nonzero(start >= 0)
+        nodes = start[at, column]
+        while True:
+            place = at * n + nodes
+            new = self.seen[place] < begun
+            at, nodes, place = at[new], nodes[new], place[new]
+            mark = np.arange(self.turn, self.turn + len(place), dtype=np.int32)
+            self.seen[place] = mark
+            once = self.seen[place] == mark  # found from two members in one turn
+            self.turn += len(place)
+            at, nodes = at[once], nodes[once]
+            near = np.einsum("ij,ij->i", vectors[nodes], queries[at])
+            better = near > sims[at, -1]
+            at, nodes, near = at[better], nodes[better], near[better]
+            if len(at):
+                counts = np.bincount(at, minlength=len(queries))
+                rows = np.flatnonzero(counts)
+                counts = counts[rows]
+                column = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+                to = np.repeat(np.arange(len(rows)), counts)
+                more = np.full((len(rows), counts.max()), -1)
+                more_sims = np.full(more.shape, -np.inf, np.float32)
+                more[to, column], more_sims[to, column] = nodes, near
+                all_sims = np.concatenate([sims[rows], more_sims], axis=1)
+                order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+                sims[rows] = np.take_along_axis(all_sims, order, 1)
+                ids[rows] = np.take_along_axis(np.concatenate([ids[rows], more], axis=1), order, 1)
+                done[rows] = np.take_along_axis(np.concatenate([done[rows], np.zeros(more.shape, bool)], axis=1), order, 1)
+            left = ~done[live] & (ids[live] >= 0)
+            going = left.any(axis=1)
+            live, left = live[going], left[going]
+            if not len(live):
+                return ids, sims
+            at, column = np.nonzero(left & (np.cumsum(left, axis=1) <= ahead))
+            at = live[at]
+            done[at, column] = True
+            nodes = links[row[ids[at, column]]]
+            at, nodes = np.repeat(at, nodes.shape[1]), nodes.ravel()
+            at, nodes = at[nodes >= 0], nodes[nodes >= 0]
+
+    def _choose(self, found: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """Neighbours in different directions, for each row: each nearer to the row's node than to those before it.
+
+        ``found`` is sorted by ``sims``, with -1 after the last; half of ``most`` are chosen at least.
+        """
+        held = found >= 0
+        near = self.vectors[found]
+        between = near @ near.transpose(0, 2, 1)
+        taken, hidden = np.zeros(found.shape, bool), ~held
+        room = np.full(len(found), most)
+        for k in range(found.shape[1]):
+            take = ~hidden[:, k] & (room > 0)
+            taken[:, k] = take
+            room -= take
+            hidden |= take[:, None] & (between[:, k] >= sims)
+        rest = held & ~taken
+        rest &= np.cumsum(rest, axis=1) <= (most // 2 - taken.sum(axis=1))[:, None]
+        taken |= rest
+        out = np.full((len(found), most), -1, np.int32)
+        at, column = np.nonzero(taken)
+        out[at, (np.cumsum(taken, axis=1) - 1)[at, column]] = found[at, column]
+        return out
+
+    def _join(self, batch: np.ndarray, found: np.ndarray, sims: np.ndarray, layer: int) -> None:
+        _, row, links = self.layers[layer]
+        most = links.shape[1]
+        found = np.where(np.isfinite(sims), found, -1)
+        chosen = self._choose(found, sims, LINKS)
+        links[row[batch], :LINKS] = chosen
+        at, column = np.nonzero(chosen >= 0)
+        order = np.argsort(chosen[at, column], kind="stable")
+        others, counts = np.unique(chosen[at, column], return_counts=True)
+        back = batch[at[order]]
+        held = (links[row[others]] >= 0).sum(axis=1)
+        to = np.repeat(np.arange(len(others)), counts)
+        column = np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts) + held[to]
+        fits = (held + counts <= most)[to]
+        links[row[others[to[fits]]], column[fits]] = back[fits]
+        full = np.flatnonzero(held + counts > most)
+        full = full[np.argsort(held[full] + counts[full], kind="stable")]
+        while len(full):
+            wide = held[full] + counts[full]
+            now = max(1, int(np.searchsorted(np.arange(1, len(full) + 1) * wide**2, PRODUCT, side="right")))
+            some, full = full[:now], full[now:]
+            place = np.full(len(others), -1)
+            place[some] = np.arange(len(some))
+            known = np.full((len(some), int(wide[:now].max())), -1)
+            known[:, :most] = links[row[others[some]]]
+            mine = place[to] >= 0
+            known[place[to[mine]], column[mine]] = back[mine]
+            near = np.einsum("ijk,ik->ij", self.vectors[known], self.vectors[others[some]])
+            near[known < 0] = -np.inf
+            order = np.argsort(-near, axis=1, kind="stable")
+            links[row[others[some]]] = self._choose(np.take_along_axis(known, order, 1), np.take_along_axis(near, order, 1), most)
+
+    def nearest(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members found next to each query and their cosines, best first, as ``_walk`` gives them."""
+        parts = []
+        for first in range(0, len(queries), self.side):
+            block = queries[first : first + self.side]
+            near = np.full((len(block), 1), self.entry)
+            for k in range(len(self.layers) - 1, 0, -1):
+                near = self._walk(block, near, 1, k)[0]
+            parts.append(self._walk(block, near, beam, 0))
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([sims for _, sims in parts])
 
     def within(self, q: np.ndarray, least: float) -> np.ndarray:
         """Members with a cosine of at least ``least`` to one vector."""
@@ -150,12 +223,19 @@ class Graph:
         which costs less than wider beams. So are all queries if no beam passed the audit.
         """
         dense: list[int] = []
-        for k, q in enumerate(queries):
-            found = self.nearest(q, self.beam) if self.beam <= WIDEST_BEAM else []
-            if found and (found[-1][0] < least or len(found) == len(self.vectors)):
-                yield k, np.array([e for s, e in found if s >= least], np.int64)
-            else:
-                dense.append(k)
+        for first in range(0, len(queries), self.side):
+            block = range(first, min(first + self.side, len(queries)))
+            if self.beam > WIDEST_BEAM:
+                dense.extend(block)
+                continue
+            ids, sims = self.nearest(queries[block.start : block.stop], self.beam)
+            sizes = (ids >= 0).sum(axis=1)
+            links = (sims >= least).sum(axis=1)
+            for k, found, size, n in zip(block, ids, sizes.tolist(), links.tolist()):
+                if n < size or size == len(self.vectors):
+                    yield k, found[:n]
+                else:
+                    dense.append(k)
         step = max(1, PRODUCT // len(self.vectors))
         for first in range(0, len(dense), step):
             block = dense[first : first + step]
@@ -178,27 +258,24 @@ class Graph:
         turned = (THRESHOLD * base + math.sqrt(1 - THRESHOLD**2) * away).astype(np.float32)
         own = self.vectors[pick]
         real = [np.flatnonzero(row >= THRESHOLD) for row in own @ self.vectors.T]
-        known = [*zip(turned, pick[:, None]), *zip(own, real)]
+        known = [*pick[:, None], *real]
+        wanted = np.array([len(targets) for targets in known])
         while self.beam <= WIDEST_BEAM:
-            hits = []
-            for q, targets in known:
-                found = self.nearest(q, self.beam)
-                # links behind a full beam of links are found by comparing the shard
-                full = found[-1][0] >= THRESHOLD - 1e-4
-                hits.append(len(targets) if full else len(np.intersect1d(targets, [e for _, e in found])))
-            wanted = [len(targets) for _, targets in known]
-            if all(sum(hits[k]) >= least * sum(wanted[k]) for k in (slice(len(pick)), slice(len(pick), None))):
+            ids, sims = self.nearest(np.concatenate([turned, own]), self.beam)
+            # links behind a full beam of links are found by comparing the shard
+            last = np.take_along_axis(sims, (ids >= 0).sum(axis=1)[:, None] - 1, 1)[:, 0]
+            full = last >= THRESHOLD - 1e-4
+            hits = np.array([len(np.intersect1d(targets, found)) for targets, found in zip(known, ids)])
+            hits = np.where(full, wanted, hits)
+            if all(hits[k].sum() >= least * wanted[k].sum() for k in (slice(len(pick)), slice(len(pick), None))):
                 return
             self.beam *= 2
 
     def dump(self, vectors: bool = True) -> bytes:
         """Without ``vectors``, ``load`` has to be given them."""
         arrays = {"head": np.array([self.entry, self.beam])} | ({"vectors": self.vectors} if vectors else {})
-        for k, links in enumerate(self.layers):
-            nodes = np.array(sorted(links), np.int64)
-            arrays[f"nodes{k}"] = nodes
-            arrays[f"sizes{k}"] = np.array([len(links[n]) for n in nodes.tolist()], np.int64)
-            arrays[f"links{k}"] = np.concatenate([links[n] for n in nodes.tolist()]).astype(np.int32)
+        for k, (nodes, _, links) in enumerate(self.layers):
+            arrays |= {f"nodes{k}": nodes.astype(np.int32), f"links{k}": links}
         return _packed(arrays)
 
     @classmethod
@@ -206,9 +283,7 @@ class Graph:
         arrays = np.load(io.BytesIO(data))
         layers = []
         while f"nodes{len(layers)}" in arrays:
-            k = len(layers)
-            parts = np.split(arrays[f"links{k}"].astype(np.int64), np.cumsum(arrays[f"sizes{k}"])[:-1])
-            layers.append(dict(zip(arrays[f"nodes{k}"].tolist(), parts)))
+            layers.append((arrays[f"nodes{len(layers)}"], arrays[f"links{len(layers)}"]))
         entry, beam = arrays["head"].tolist()
         return cls(arrays["vectors"] if vectors is None else vectors, layers, entry, beam)
 
